@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 from .common import read_table
-from . import quality
+from . import bpe, licenses, quality, secrets
+
+
+def op3_license_scan(spark, sf_dir):
+    return licenses.op3(read_table(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark, sf_dir):
     return quality.op4(read_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark, sf_dir):
+    return secrets.op6(read_table(spark, sf_dir, "documents"))
+
+
+def op9_byte_bpe(spark, sf_dir):
+    return bpe.op9(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_quality_rules,)}
+    return {f.__name__: f for f in (op3_license_scan, op4_quality_rules, op6_secret_scan, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import read_table
-from . import bpe, licenses, quality, secrets
+from . import bpe, licenses, quality, secrets, urls
 
 
 def op3_license_scan(spark, sf_dir):
@@ -14,6 +14,10 @@ def op4_quality_rules(spark, sf_dir):
     return quality.op4(read_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark, sf_dir):
+    return urls.op5(read_table(spark, sf_dir, "pages"))
+
+
 def op6_secret_scan(spark, sf_dir):
     return secrets.op6(read_table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op9_byte_bpe(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_license_scan, op4_quality_rules, op6_secret_scan, op9_byte_bpe)}
+    return {f.__name__: f for f in (op3_license_scan, op4_quality_rules, op5_url_filter, op6_secret_scan, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .common import read_table
-from . import bpe, licenses, quality, secrets, urls
+from . import bpe, licenses, mixing, quality, secrets, urls
+
+
+def op2_mix_sources(spark, sf_dir):
+    return mixing.op2(read_table(spark, sf_dir, "documents"))
 
 
 def op3_license_scan(spark, sf_dir):
@@ -27,7 +31,7 @@ def op9_byte_bpe(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_license_scan, op4_quality_rules, op5_url_filter, op6_secret_scan, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_license_scan, op4_quality_rules, op5_url_filter, op6_secret_scan, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

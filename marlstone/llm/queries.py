@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import read_table
-from . import bpe, licenses, mixing, quality, secrets, urls
+from . import bpe, licenses, mixing, quality, secrets, urls, warc
 
 
 def op2_mix_sources(spark, sf_dir):
@@ -30,8 +30,12 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe.op9(read_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark, sf_dir):
+    return warc.op10(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix_sources, op3_license_scan, op4_quality_rules, op5_url_filter, op6_secret_scan, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_license_scan, op4_quality_rules, op5_url_filter, op6_secret_scan, op9_byte_bpe, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

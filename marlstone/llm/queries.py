@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .common import read_table
-from . import bpe, licenses, mixing, quality, secrets, urls, warc
+from . import ann, bpe, licenses, mixing, quality, secrets, urls, warc
+
+
+def op1_ann(spark, sf_dir):
+    return ann.op1(read_table(spark, sf_dir, "embeddings"))
 
 
 def op2_mix_sources(spark, sf_dir):
@@ -35,7 +39,7 @@ def op10_warc(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix_sources, op3_license_scan, op4_quality_rules, op5_url_filter, op6_secret_scan, op9_byte_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_ann, op2_mix_sources, op3_license_scan, op4_quality_rules, op5_url_filter, op6_secret_scan, op9_byte_bpe, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding with a global distinct-word shuffle.
 
-Documents are dealt into blocks of bounded size. Each block sends its distinct pre-tokens to the partition of the word's hash,
-where rows are sorted by word, so that every distinct word of the corpus is encoded once, whatever number of blocks has it; the
-ids go back to the blocks, where each document's pre-tokens, in order of position, are replaced by their ids. What is shuffled is
-one row for each (block, distinct word) and the compressed texts, never a row for each pre-token. A word's rows are as many as
-blocks have it, a share of 1 / (distinct words of a block) at most, so no partition is hot.
+Documents are dealt into blocks of bounded size. Each block sends its distinct pre-tokens to the part of the word's hash (one
+part for each shuffle partition), so that every distinct word of the corpus is encoded once, whatever number of blocks has it; the
+ids go back to the blocks, where each document's pre-tokens, in order of position, are replaced by their ids. What is shuffled are
+the distinct words of each block, sorted and compressed, one row for each (block, part), their ids, and the compressed texts: never
+a row for each pre-token. A word stands once in a block, so no part is hot.
 
 Decoding looks each id up in the token-byte table, which is as large as the vocabulary: a map-side hash join.
 
 Blocks only save work: if a lost executor's rows are dealt into other blocks, a word missing from a block's answer is encoded in
-place, so the result doesn't depend on it.
+place, so the result doesn't depend on it (a digest of the words tells whether an answer fits).
 
 Defined results: a null text is an empty one: no ids. Repeated rows are encoded each for itself; other columns are not read. An id
 outside the vocabulary decodes to no bytes. Very long texts are blocks of their own.
@@ -57,23 +57,62 @@ def splitter(pattern: str):
     return lambda text: full(text) if unusual(text) or rare(text) else fast(text)
 
 
-def _distinct_words(pattern: str):
-    def run(batches):
-        import zlib
+def pack(data: list[bytes], level: int = 3) -> bytes:
+    """Byte strings as one compressed blob: count, lengths, contents."""
+    import numpy as np
+    import zstandard
+
+    lengths = np.fromiter(map(len, data), np.uint32, len(data))
+    return zstandard.ZstdCompressor(level=level).compress(np.uint32(len(data)).tobytes() + lengths.view(np.uint8).reshape(-1, 4).T.tobytes() + b"".join(data))
+
+
+def unpack(blob: bytes) -> list[bytes]:
+    import numpy as np
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    lengths = np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n).T.copy().view(np.uint32).ravel()
+    ends = (np.cumsum(lengths, dtype=np.int64) + 4 + 4 * n).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)] if n else []
+
+
+def by_part(words: set[str], parts: int) -> dict[int, list[bytes]]:
+    """The words of each part, sorted. A word's part is the same in every block."""
+    import zlib
 
+    found: dict[int, list[bytes]] = {}
+    for word in map(str.encode, words):
+        found.setdefault(zlib.crc32(word) % parts, []).append(word)
+    for held in found.values():
+        held.sort()
+    return found
+
+
+def mark(words: list[bytes]) -> bytes:
+    """Digest by which a block knows that an answer is for its very list of words."""
+    import hashlib
+
+    whole = hashlib.blake2b(digest_size=16)
+    for word in words:
+        whole.update(len(word).to_bytes(4, "little") + word)
+    return whole.digest()
+
+
+def _distinct_words(pattern: str, parts: int):
+    def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        split, part = splitter(pattern), TaskContext.get().partitionId()
+        split, at = splitter(pattern), TaskContext.get().partitionId()
         for i, table in enumerate(blocks(batches, "text", BLOCK_CHARS)):
             words: set[str] = set()
             for text in table.column("text").to_pylist():
                 words.update(split(text))
-            held = sorted(words)
-            del words
-            for at in range(0, len(held), 50_000):
-                some = held[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([part << 24 | i] * len(some), pa.int64()), pa.array(some, pa.string())], ["block", "word"])
+            held = by_part(words, parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at << 24 | i] * len(held), pa.int64()), pa.array(held.keys(), pa.int32()), pa.array([pack(x) for x in held.values()], pa.binary())], ["block", "part", "words"]
+            )
 
     return run
 
@@ -81,65 +120,84 @@ def _distinct_words(pattern: str):
 def _packed_texts():
     def run(batches):
         import pyarrow as pa
-        import zstandard
         from pyspark import TaskContext
 
-        pack, part = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId()
+        at = TaskContext.get().partitionId()
         for i, table in enumerate(blocks(batches, "text", BLOCK_CHARS)):
-            for batch in table.to_batches():
-                texts = pa.array([pack(x.encode()) for x in batch.column("text").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([part << 24 | i] * batch.num_rows, pa.int64()), batch.column("doc_id"), texts], ["block", "doc_id", "packed"])
+            # parts of a block, so that no batch to the JVM is large
+            for batch in table.combine_chunks().to_batches(max_chunksize=2_000):
+                ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id"))
+                texts = pack([x.encode() for x in batch.column("text").to_pylist()], 6)
+                yield pa.RecordBatch.from_arrays([pa.array([at << 24 | i], pa.int64()), ids, pa.array([texts], pa.binary())], ["block", "doc_ids", "texts"])
 
     return run
 
 
 def _encoder(ranks: dict[bytes, int]):
-    """Pre-token -> its ids as packed 32-bit integers."""
+    """Bytes of a pre-token -> its ids as packed 32-bit integers."""
     import numpy as np
     import tiktoken
 
     core = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    return lambda word: np.array([ranks[b]] if (b := word.encode()) in ranks else core.encode_ordinary(word), np.int32).tobytes()
+    return lambda word: np.array([ranks[word]] if word in ranks else core.encode_ordinary(word.decode()), np.int32).tobytes()
+
+
+#: Words that a task remembers; a part has fewer unless there are too few shuffle partitions for the corpus.
+REMEMBERED = 1_000_000
 
 
 def _encode_words(path: str):
     def run(batches):
         import pyarrow as pa
 
-        encode, last, code = _encoder(load_ranks(path)), None, b""
+        encode, known = _encoder(load_ranks(path)), {}
         for batch in batches:
-            codes = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, code = word, encode(word)
-                codes.append(code)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("word"), pa.array(codes, pa.binary())], ["block", "word", "code"])
+            for block, part, blob in zip(*(batch.column(k).to_pylist() for k in ("block", "part", "words")), strict=True):
+                words = unpack(blob)
+                if len(known) > REMEMBERED:
+                    known.clear()
+                codes = []
+                for word in words:
+                    code = known.get(word)
+                    if code is None:
+                        code = known[word] = encode(word)
+                    codes.append(code)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([mark(words)], pa.binary()), pa.array([pack(codes)], pa.binary())], ["block", "part", "mark", "codes"]
+                )
 
     return run
 
 
-def _assemble(path: str, pattern: str):
+def _assemble(path: str, pattern: str, parts: int):
     def run(key, docs, words):
         import pyarrow as pa
-        import zstandard
-
-        split, unpack = splitter(pattern), zstandard.ZstdDecompressor().decompress
-        codes = dict(zip(words.column("word").to_pylist(), words.column("code").to_pylist(), strict=True))
-        encode, out, ends, total = None, [], [0], 0
-        for packed in docs.column("packed").to_pylist():
-            pieces = split(unpack(packed).decode())
-            try:
-                code = b"".join(map(codes.__getitem__, pieces))
-            except KeyError:
+
+        split, encode = splitter(pattern), None
+        answers = {x["part"]: x for x in words.to_pylist()}
+        texts = [x.decode() for blob in docs.column("texts").to_pylist() for x in unpack(blob)]
+        seen: set[str] = set()
+        for text in texts:
+            seen.update(split(text))
+        codes: dict[str, bytes] = {}
+        for part, held in by_part(seen, parts).items():
+            answer = answers.pop(part, None)
+            if answer is not None and answer["mark"] == mark(held):
+                found = unpack(answer["codes"])
+            else:
                 encode = encode or _encoder(load_ranks(path))
-                codes.update((w, encode(w)) for w in set(pieces) - codes.keys())
-                code = b"".join(map(codes.__getitem__, pieces))
+                found = [encode(x) for x in held]
+            codes.update(zip(map(bytes.decode, held), found, strict=True))
+        out, ends, total = [], [0], 0
+        for text in texts:
+            code = b"".join(map(codes.__getitem__, split(text)))
             out.append(code)
             total += len(code) // 4
             ends.append(total)
         values = pa.Array.from_buffers(pa.int32(), total, [None, pa.py_buffer(b"".join(out))])
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": ids})
+        doc_ids = pa.chunked_array([x.flatten() for x in docs.column("doc_ids").chunks])
+        return pa.table({"doc_id": doc_ids, "ids": ids})
 
     return run
 
@@ -153,10 +211,11 @@ def encode(docs: DataFrame, text: str = "text", ranks: str | None = None, patter
     ranks, pattern = ranks or default_ranks(), pattern or public_tokenizers.PATTERN
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    words = rows.select("text").mapInArrow(_distinct_words(pattern), "block long, word string")
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(ranks), "block long, word string, code binary")
-    texts = rows.mapInArrow(_packed_texts(), f"block long, doc_id {kind}, packed binary")
-    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(ranks, pattern), f"doc_id {kind}, ids array<int>")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = rows.select("text").mapInArrow(_distinct_words(pattern, parts), "block long, part int, words binary")
+    coded = words.repartition(parts, "part").mapInArrow(_encode_words(ranks), "block long, part int, mark binary, codes binary")
+    texts = rows.mapInArrow(_packed_texts(), f"block long, doc_ids array<{kind}>, texts binary")
+    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(ranks, pattern, parts), f"doc_id {kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, ids: str = "ids", ranks: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one block of documents holds at most (a single longer document is a block of its own).
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
 #: Bounds of one Arrow batch between the JVM and a Python worker.
 ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
 

@@ -84,9 +84,9 @@ def target_weights(counts: dict[str | None, int], targets: dict[str, float] | No
 
 def mix(
     docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", targets: dict[str, float] | None = None,
-    block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, bucket_rows: int = BUCKET_ROWS,
+    block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, bucket_rows: int = BUCKET_ROWS, out: str = "mix",
 ) -> DataFrame:
-    """``docs`` with struct column ``mix``: block, release, deadline, slot, place (of the row in its slot), within."""
+    """``docs`` with struct column ``out``: block, release, deadline, slot, place (of the row in its slot), within."""
     spark = docs.sparkSession
     found = docs.groupBy(source).count().limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -119,15 +119,15 @@ def mix(
         F.struct(
             (F.col("b") + 1).alias("block"), (period + F.floor((j - 1) * resolution / F.col("share"))).alias("release"), (period + F.ceil(j * resolution / F.col("share"))).alias("deadline"),
             slot.alias("slot"), (F.col("i") % block_rows).alias("place"), (slot < horizon).alias("within"),
-        ).alias("mix"),
+        ).alias(out),
     )
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
     """``docs`` in the order of the schedule: range-partitioned and sorted by slot and place. Every row stays."""
-    by = ["mix.slot", "mix.place"]
+    by = ["__mix.slot", "__mix.place"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mix(docs, **options).repartitionByRange(n, *by).sortWithinPartitions(*by).drop("mix")
+    return mix(docs, out="__mix", **options).repartitionByRange(n, *by).sortWithinPartitions(*by).drop("__mix")
 
 
 def op2(docs: DataFrame) -> DataFrame:

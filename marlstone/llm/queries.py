@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import read_table
-from . import ann, bpe, licenses, mixing, quality, secrets, urls, warc
+from . import ann, bpe, langid, licenses, mixing, neardup, quality, secrets, urls, warc
 
 
 def op1_ann(spark, sf_dir):
@@ -30,6 +30,14 @@ def op6_secret_scan(spark, sf_dir):
     return secrets.op6(read_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark, sf_dir):
+    return langid.op7(read_table(spark, sf_dir, "documents"))
+
+
+def op8_near_dedup(spark, sf_dir):
+    return neardup.op8(read_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     return bpe.op9(read_table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_warc(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ann, op2_mix_sources, op3_license_scan, op4_quality_rules, op5_url_filter, op6_secret_scan, op9_byte_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_ann, op2_mix_sources, op3_license_scan, op4_quality_rules, op5_url_filter, op6_secret_scan, op7_language_id, op8_near_dedup, op9_byte_bpe, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -94,20 +94,20 @@ def linked(found: DataFrame) -> DataFrame:
     return near.groupBy("row").agg(F.array_sort(F.collect_set("w")).alias("linked"))
 
 
-def secret_scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with struct column ``secrets``: n_assign, n_access, n_hex, base (sorted spans), spans (sorted, linked weak ones too).
+def secret_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str = "secrets") -> DataFrame:
+    """``docs`` with struct column ``out``: n_assign, n_access, n_hex, base (sorted spans), spans (sorted, linked weak ones too).
 
     Linked spans come back by a row key made of ``key`` and the text, so that repeated rows share one result and the key is the same
     wherever it is computed anew. Only documents with weak candidates beside an identifier send spans through the interval join.
     """
     row = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit(""))))
-    found = find(docs.withColumn("row", row), text)
+    found = find(docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"), row.alias("row")), "text")
     base = F.array_sort(F.concat("found.assign", "found.access", "found.hex"))
     sizes = {f"n_{k}": F.size(f"found.{k}").cast("long") for k in KINDS[:3]}
     links = linked(found.select("row", "found").where((F.size("found.weak") > 0) & (F.size("found.access") > 0)))
     none = F.array().cast(f"array<{SPAN}>")
     secrets = F.struct(*[v.alias(k) for k, v in sizes.items()], base.alias("base"), F.array_sort(F.concat(base, F.coalesce("linked", none))).alias("spans"))
-    return found.join(links, "row", "left").withColumn("secrets", secrets).drop("row", "found", "linked")
+    return found.join(links, "row", "left").select("doc.*", secrets.alias(out))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
@@ -125,7 +125,7 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the secrets of ``text`` replaced and n_chars, if there, counted anew. Every row stays."""
-    out = secret_scan(docs, text).withColumn(text, redacted(F.col(text), F.col("secrets.spans"))).drop("secrets")
+    out = secret_scan(docs, text, out="__secrets").withColumn(text, redacted(F.col(text), F.col("__secrets.spans"))).drop("__secrets")
     return out.withColumn("n_chars", F.char_length(text).cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -89,6 +89,14 @@ def by_part(words: set[str], parts: int) -> dict[int, list[bytes]]:
     return found
 
 
+class Places(dict):
+    """Word -> its place among the distinct words, in order of first use."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
+
+
 def mark(words: list[bytes]) -> bytes:
     """Digest by which a block knows that an answer is for its very list of words."""
     import hashlib
@@ -171,26 +179,26 @@ def _encode_words(path: str):
 
 def _assemble(path: str, pattern: str, parts: int):
     def run(key, docs, words):
+        import numpy as np
         import pyarrow as pa
 
         split, encode = splitter(pattern), None
         answers = {x["part"]: x for x in words.to_pylist()}
-        texts = [x.decode() for blob in docs.column("texts").to_pylist() for x in unpack(blob)]
-        seen: set[str] = set()
-        for text in texts:
-            seen.update(split(text))
-        codes: dict[str, bytes] = {}
-        for part, held in by_part(seen, parts).items():
+        place = Places()
+        rows = [np.fromiter(map(place.__getitem__, split(x.decode())), np.int32) for blob in docs.column("texts").to_pylist() for x in unpack(blob)]
+        codes: list[bytes] = [b""] * len(place)
+        for part, held in by_part(place, parts).items():
             answer = answers.pop(part, None)
             if answer is not None and answer["mark"] == mark(held):
                 found = unpack(answer["codes"])
             else:
                 encode = encode or _encoder(load_ranks(path))
                 found = [encode(x) for x in held]
-            codes.update(zip(map(bytes.decode, held), found, strict=True))
+            for word, code in zip(held, found, strict=True):
+                codes[place[word.decode()]] = code
         out, ends, total = [], [0], 0
-        for text in texts:
-            code = b"".join(map(codes.__getitem__, split(text)))
+        for row in rows:
+            code = b"".join(map(codes.__getitem__, row.tolist()))
             out.append(code)
             total += len(code) // 4
             ends.append(total)

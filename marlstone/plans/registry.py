@@ -14,8 +14,15 @@ def register(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
+    load()
     return {name: f for name, (f, _) in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return {name: sql for name, (_, sql) in ENTRIES.items() if sql}
+
+
+def load() -> None:
+    """Imports every module of queries."""
+    from . import migration_queries  # noqa: F401

@@ -25,4 +25,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Imports every module of queries."""
-    from . import cohort_queries, migration_queries, relational_queries  # noqa: F401
+    from . import cohort_queries, migration_queries, relational_queries, timeseries_queries  # noqa: F401

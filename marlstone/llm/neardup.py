@@ -7,9 +7,10 @@ their own documents (a shingle over HEAVY of all documents is over HEAVY / 2 in
 candidates remain, at most 2 / HEAVY times the mean number of shingles), then candidates are counted over all documents.
 
 Texts of equal words are one content with one signature. Contents that share a band meet in a bucket; each bucket's members are compared
-with its leader, and buckets of bands differ in who leads, so that nothing grows with the square of a bucket. Pairs are verified on the
-whole texts. Buckets that hold several classes afterwards choose other leaders, until a round finds no further link. Classes are
-connected components, by hooking to smaller neighbours and pointer jumping on tables of links; no links come to the driver.
+with two leaders, so that nothing grows with the square of a bucket: the member that shares most buckets with others (of edited copies
+of one text, that text) and one by hash. Pairs are verified on the whole texts. Buckets that hold several classes afterwards
+compare the other classes with the leader of one of them, until a round finds no further link. Classes are connected
+components, by hooking to smaller neighbours on tables of links; no links come to the driver.
 
 Defined results: a text without words (null, empty) is a class of its own. Fewer than five words are one shingle. Repeated rows are
 documents of one class; the representative is the row of least doc_id (null last). All columns, whatever their names, are kept.
@@ -28,8 +29,6 @@ from .common import blocks, bound_arrow, cut, shared_dir
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 9, 3
 HEAVY, HEAVY_LEAST, FLOOR = 0.02, 50, 0.25
-#: Orders by which bands choose their leaders.
-ORDERS = 3
 #: A list of contents is broadcast up to this many rows, which is counted.
 BROADCAST_ROWS = 200_000
 BLOCK = 4_000_000
@@ -50,25 +49,47 @@ class WordHashes(dict):
 
 
 def shingles(texts, known: WordHashes):
-    """For each text (words hash array, sorted distinct shingle hashes, counts)."""
+    """(word hashes of all texts, ends of texts in them, shingle hashes, ends of texts in those), repeated shingles included."""
     import re
 
     import numpy as np
 
     find, m = re.compile(r"\w+").findall, np.uint64(0x9E3779B97F4A7C15)
-    for text in texts:
-        words = find(text.lower()) if text else []
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = len(h) - WORDS + 1
-        k = WORDS if n > 0 else len(h)
-        s = np.zeros(max(n, min(1, len(h))), np.uint64)
-        for j in range(k):
-            s = (s ^ (s >> np.uint64(29))) * m + h[j : j + len(s)]
-        if len(s):
-            s ^= s >> np.uint64(32)
-        distinct, counts = np.unique(s, return_counts=True)
-        yield h, distinct, counts
-        known.trim()
+    known.trim()
+    words = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in (find(t.lower()) if t else [] for t in texts)]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(n)
+    h = np.concatenate([*words, np.zeros(WORDS, np.uint64)])  # so that windows at the end exist
+    s = np.zeros(len(h) - WORDS, np.uint64)
+    for j in range(WORDS):
+        s = (s ^ (s >> np.uint64(29))) * m + h[j : j + len(s)]
+    s ^= s >> np.uint64(32)
+    short = np.flatnonzero((n > 0) & (n < WORDS))
+    count = np.where(n >= WORDS, n - WORDS + 1, np.minimum(n, 1))
+    for i in short.tolist():  # one shingle of the words that there are
+        x = np.zeros(1, np.uint64)
+        for w in words[i]:
+            x = (x ^ (x >> np.uint64(29))) * m + w
+        s[ends[i] - n[i]] = (x ^ (x >> np.uint64(32)))[0]
+    keep = np.arange(len(s)) - np.repeat(ends - n, n) < np.repeat(count, n)
+    return h, ends, s[keep], np.cumsum(count)
+
+
+def weighted_sets(s, ends):
+    """(distinct shingles sorted within each text, counts, ends of texts) from :func:`shingles`."""
+    import numpy as np
+
+    s = s.copy()
+    at = 0
+    for end in ends.tolist():
+        s[at:end].sort()
+        at = end
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = s[1:] != s[:-1]
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    fresh[starts[starts < len(s)]] = True
+    first = np.flatnonzero(fresh)
+    return s[first], np.diff([*first, len(s)]), np.searchsorted(first, ends)
 
 
 def log_weights(distinct, counts, heavy):
@@ -93,23 +114,31 @@ def samples(hashes, logw, starts):
     lens = np.diff([*starts, len(hashes)])
     out = np.zeros((BANDS * ROWS, len(starts)), np.uint64)
     u64, scale = np.uint64, np.float32(2.0**-24)
+    other = np.flatnonzero(logw)  # elsewhere the weight is 1: t = 0 and log y = -r b
+    unit = lambda v: (v.astype(np.int32).astype(np.float32) + np.float32(0.5)) * scale
     for k in range(BANDS * ROWS):
         z = []
         for salt in (2 * k + 1, 2 * k + 2):
-            x = hashes ^ u64(salt * 0xD1342543DE82EF95 % (1 << 64))
-            x = (x ^ (x >> u64(30))) * u64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> u64(27))) * u64(0x94D049BB133111EB)
+            x = (hashes ^ u64(salt * 0xD1342543DE82EF95 % (1 << 64))) * u64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> u64(32))) * u64(0x94D049BB133111EB)
             z.append(x ^ (x >> u64(31)))
-        low24 = u64(0xFFFFFF)
-        u = [((v & low24).astype(np.float32) + np.float32(0.5)) * scale for v in (z[0] >> u64(40), z[0] >> u64(16), z[1] >> u64(40), z[1] >> u64(16))]
-        b = (((z[0] & u64(0xFFFF)) << u64(8) | (z[1] & u64(0xFF))).astype(np.float32) + np.float32(0.5)) * scale
-        r, log_c = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3]))
-        t = np.floor(logw / r + b)
-        a = log_c - r * (t - b) - r
+        low = u64(0xFFFFFF)
+        r = -np.log(unit(z[0] >> u64(40)) * unit((z[0] >> u64(16)) & low))
+        log_c = np.log(-np.log(unit(z[1] >> u64(40)) * unit((z[1] >> u64(16)) & low)))
+        b = unit((z[0] & u64(0xFFFF)) << u64(8) | (z[1] & u64(0xFF)))
+        a = log_c + r * (b - np.float32(1))
+        if len(other):
+            ro, bo = r[other], b[other]
+            t = np.floor(logw[other] / ro + bo)
+            a[other] = log_c[other] - ro * (t - bo) - ro
         least = np.minimum.reduceat(a, starts)
         at = np.flatnonzero(a == np.repeat(least, lens))
         first = at[np.searchsorted(at, starts)]
-        out[k] = hashes[first] * u64(0x9E3779B97F4A7C15) + t[first].astype(np.int64).view(u64) * u64(0xC2B2AE3D27D4EB4F)
+        out[k] = hashes[first] * u64(0x9E3779B97F4A7C15)
+        if len(other):
+            j = np.minimum(np.searchsorted(other, first), len(other) - 1)
+            level = np.where(other[j] == first, t[j], 0).astype(np.int64).view(u64)
+            out[k] += level * u64(0xC2B2AE3D27D4EB4F)
     return out
 
 
@@ -136,11 +165,11 @@ def heavy_shingles(docs: DataFrame, text: str) -> list[tuple[int, float]]:
 
         known = WordHashes()
         for table in blocks(batches, text, BLOCK):
-            found = [d for _, d, _ in shingles(table.column(text).to_pylist(), known)]
-            distinct, counts = np.unique(np.concatenate(found), return_counts=True)
-            often = counts >= max(1, HEAVY / 2 * len(found))
+            found = table.num_rows
+            distinct, counts = np.unique(shingles(table.column(text).to_pylist(), known)[2], return_counts=True)
+            often = counts >= max(1, HEAVY / 2 * found)  # places, which are no fewer than documents
             yield pa.RecordBatch.from_arrays([pa.array(distinct[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.array(np.zeros(int(often.sum()), np.int64))], ["s", "n", "docs"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([len(found)], pa.int64())], ["s", "n", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([found], pa.int64())], ["s", "n", "docs"])
 
     sums = cut(docs.select(text).mapInArrow(local, "s long, n long, docs long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     total = sums.where("s is null").agg(F.sum("docs")).first()[0] or 0
@@ -156,10 +185,11 @@ def heavy_shingles(docs: DataFrame, text: str) -> list[tuple[int, float]]:
         known, wanted = WordHashes(), np.sort(np.array(chosen, np.int64).view(np.uint64))
         counts = np.zeros(len(wanted), np.int64)
         for table in blocks(batches, text, BLOCK):
-            for _, distinct, _ in shingles(table.column(text).to_pylist(), known):
-                if len(distinct):
-                    at = np.minimum(np.searchsorted(distinct, wanted), len(distinct) - 1)
-                    counts += distinct[at] == wanted
+            _, _, s, ends = shingles(table.column(text).to_pylist(), known)
+            at = np.minimum(np.searchsorted(wanted, s), len(wanted) - 1)
+            hits = np.flatnonzero(wanted[at] == s)
+            in_doc = np.unique(np.searchsorted(ends, hits, "right") * len(wanted) + at[hits])
+            counts += np.bincount(in_doc % len(wanted), minlength=len(wanted))
         yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(counts)], ["s", "n"])
 
     rows = docs.select(text).mapInArrow(exact, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
@@ -184,27 +214,22 @@ def signed(docs: DataFrame, text: str, heavy) -> DataFrame:
 
         known, weights, rid = WordHashes(), as_arrays(heavy), TaskContext.get().partitionId() << 33
         for batch in batches:
-            contents, keys, held, rows = [], [None] * batch.num_rows, [], []
-
-            def flush(keys=keys, held=held, rows=rows):
-                if held:
-                    hashes, starts = np.concatenate([d for d, _ in held]), np.cumsum([0, *(len(d) for d, _ in held[:-1])])
-                    for i, k in zip(rows, band_keys(samples(hashes, np.concatenate([w for _, w in held]).astype(np.float32), starts)).tolist(), strict=True):
-                        keys[i] = k
-                    held.clear()
-                    rows.clear()
-
-            size = 0
-            for i, (h, distinct, counts) in enumerate(shingles(batch.column("text").to_pylist(), known)):
-                contents.append(xxhash.xxh128_digest(h.tobytes()) if len(h) else None)
-                if len(distinct):
-                    held.append((distinct, log_weights(distinct, counts, weights)))
-                    rows.append(i)
-                    size += len(distinct)
-                    if size > 4096:
-                        flush()
-                        size = 0
-            flush()
+            keys, contents = [None] * batch.num_rows, [None] * batch.num_rows
+            h, word_ends, s, ends = shingles(batch.column("text").to_pylist(), known)
+            distinct, counts, ends = weighted_sets(s, ends)
+            logw = log_weights(distinct, counts, weights).astype(np.float32)
+            begins, at = np.concatenate([[0], ends[:-1]]), 0
+            some = np.flatnonzero(ends > begins)
+            while at < len(some):  # texts of some thousand shingles at a time stay within the processor's cache
+                to = max(at + 1, int(np.searchsorted(ends[some], begins[some[at]] + 6000)))
+                here = some[at:to]
+                low, high = begins[here[0]], ends[here[-1]]
+                for i, k in zip(here.tolist(), band_keys(samples(distinct[low:high], logw[low:high], begins[here] - low)).tolist(), strict=True):
+                    keys[i] = k
+                at = to
+            for i, (a, b) in enumerate(zip([0, *word_ends[:-1].tolist()], word_ends.tolist(), strict=True)):
+                if b > a:
+                    contents[i] = xxhash.xxh128_digest(h[a:b].tobytes())
             ids = pa.array(np.arange(rid, rid + batch.num_rows))
             rid += batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc"), ids, pa.array(contents, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "rid", "content", "bands"])
@@ -228,7 +253,8 @@ def verified(pairs: DataFrame, texts: DataFrame, heavy, similarity: float) -> Da
             if content not in kept:
                 if len(kept) >= 64:
                     kept.clear()
-                (_, d, c), = shingles([text], known)
+                _, _, s, ends = shingles([text], known)
+                d, c, _ = weighted_sets(s, ends)
                 kept[content] = d, np.exp(log_weights(d, c, weights))
             return kept[content]
 
@@ -245,27 +271,67 @@ def verified(pairs: DataFrame, texts: DataFrame, heavy, similarity: float) -> Da
     return both.select("a", "ta", "b", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def followed(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """``labels`` (node, root) with each root replaced by its own root in ``further``, if it has one."""
+    return labels.join(further.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+
+
 def components(links: DataFrame, folder: str) -> DataFrame:
     """(node, root) for the nodes of ``links`` (a, b): connected components.
 
-    Each round a node points to its least neighbour (or itself), pointers are followed a few steps, and links are redrawn between the
-    ends; a node that had neighbours and is no least one vanishes, so a star is one round whatever its size.
+    Each round a node points to its least neighbour (or itself), pointers are followed twice, and links are redrawn between the
+    ends; a node that isn't least among its neighbours vanishes, so a star takes two rounds whatever its size.
     """
-    labels = None
-    links = cut(links, folder)
+    steps = []
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
-        for _ in range(3):
-            up = cut(up, folder)
-            up = up.join(up.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-        up = cut(up, folder)
-        to = up.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        labels = up if labels is None else cut(labels.join(to, "root", "left").select("node", F.coalesce("further", "root").alias("root")), folder)
+        up = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), folder)
+        up = cut(followed(up, up), folder)
+        steps.append(up)
         ends = links.join(up.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(up.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         links = cut(ends.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), folder)
         if links.isEmpty():
+            break
+    labels = steps[0]
+    for step in steps[1:]:
+        labels = followed(labels, step)
+    return cut(labels, folder) if len(steps) > 1 else labels
+
+
+def linked(contents: DataFrame, texts_of, heavy, similarity: float, folder: str) -> DataFrame | None:
+    """(node, root) of the contents (content, bands) that are linked to others; None if none is. ``texts_of``: contents -> their texts."""
+    every = contents.select("content", F.explode("bands").alias("bucket"))
+    members = every.join(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+    members = cut(members, folder)
+    score = members.groupBy("content").agg(F.sum("n").alias("score"))
+    members = cut(members.join(score, "content").select("bucket", "content", "score", F.col("content").alias("root")), folder)
+    texts = labels = tried = None
+    for round_ in range(1 << 20):
+        if round_:
+            one = F.min(F.struct(F.xxhash64("root", "bucket", F.lit(round_)).alias("h"), (-F.col("score")).alias("s"), F.col("content"), F.col("root")))
+            leaders = members.groupBy("bucket").agg(F.array(one).alias("leaders"))
+        else:
+            top = F.max(F.struct("score", "content", "root"))
+            some = F.min(F.struct(F.xxhash64("content", F.col("bucket") % 3).alias("h"), F.col("content"), F.col("root")))
+            leaders = members.groupBy("bucket").agg(F.array(*[F.struct(x["content"].alias("content"), x["root"].alias("root")) for x in (top, some)]).alias("leaders"))
+        pairs = members.join(leaders, "bucket").select("content", "root", F.explode("leaders").alias("leader")).where("root <> leader.root")
+        pairs = pairs.select(F.least("content", "leader.content").alias("a"), F.greatest("content", "leader.content").alias("b"), F.least("root", "leader.root").alias("ra"), F.greatest("root", "leader.root").alias("rb")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs, folder)
+        if pairs.isEmpty():
+            return labels
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        texts = texts or cut(texts_of(members.select("content").distinct()), folder)
+        found = verified(pairs.select("a", "b"), texts, heavy, similarity)
+        found = cut(found if not round_ else found.join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), folder)
+        if found.isEmpty():
             return labels
+        further = components(found, folder)
+        labels = further if labels is None else cut(followed(labels, further).union(further.join(labels, "node", "left_anti")), folder)
+        here = members.join(further.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").withColumn("root", F.coalesce("further", "root")).drop("further")
+        several = here.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+        members = cut(here.join(several, "bucket").select("bucket", "content", "score", "root"), folder)
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -277,45 +343,17 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     table = cut(signed(docs, text, heavy), folder)
     k = f"doc.`{key}`"
     first = F.min(F.struct(F.col(k).isNull().alias("none"), F.col(k).alias("k"), F.col("rid")))
-    contents = table.where(F.col("content").isNotNull()).groupBy("content").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"))
-    members = contents.select("content", F.posexplode("bands").alias("band", "bucket")).withColumn("order", F.col("band") % ORDERS)
-    full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(full.select("bucket"), "bucket"), folder)
-    links = labels = tried = texts = None
-    for round_ in range(1 << 20):
-        here = members
-        if labels is not None:
-            here = members.join(labels.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-            several = here.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-            here = here.join(several.select("bucket"), "bucket")
-        else:
-            here = here.withColumn("root", F.col("content"))
-        rank = F.struct(F.xxhash64("content", "order", F.lit(round_)).alias("h"), F.col("content"), F.col("root"))
-        leaders = here.groupBy("bucket").agg(F.min(rank).alias("leader"))
-        pairs = here.join(leaders, "bucket").where(F.col("root") != F.col("leader.root")).select(F.least("content", "leader.content").alias("a"), F.greatest("content", "leader.content").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, folder)
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.union(pairs)
-        if texts is None:
-            needed = members.select("content").distinct()
-            small = needed.count() <= BROADCAST_ROWS
-            texts = table.select("content", F.col(f"doc.`{text}`").alias("text")).join(F.broadcast(needed) if small else needed, "content", "left_semi")
-            texts = cut(texts.groupBy("content").agg(F.any_value("text").alias("text")), folder)
-        found = cut(verified(pairs, texts, heavy, similarity), folder)
-        if found.isEmpty() and round_:
-            break
-        links = found if links is None else links.union(found)
-        labels = None if links.isEmpty() else components(links, folder)
-        if labels is None:
-            break
-    named = contents.select("content", "first", "n")
+    contents = cut(table.where(F.col("content").isNotNull()).groupBy("content").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), folder)
+
+    def texts_of(needed: DataFrame) -> DataFrame:
+        small = needed.count() <= BROADCAST_ROWS
+        some = table.select("content", F.col(f"doc.`{text}`").alias("text")).join(F.broadcast(needed) if small else needed, "content", "left_semi")
+        return some.groupBy("content").agg(F.any_value("text").alias("text"))
+
+    labels = linked(contents.select("content", "bands"), texts_of, heavy, similarity, folder)
+    named = contents.select("content", "first", "n").withColumn("root", F.col("content"))
     if labels is not None:
-        named = named.join(labels.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-    else:
-        named = named.withColumn("root", F.col("content"))
+        named = named.drop("root").join(labels.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     whole = named.groupBy("root").agg(F.min("first").alias("least"), F.sum("n").alias("size")).where("size > 1")
     several = named.select("content", "root").join(whole, "root").select("content", "least", "size")
     out = table.select("doc", "rid", "content").join(several, "content", "left")

@@ -91,3 +91,37 @@ def test_marks_count_utf16(spark):
 
 def test_prose(spark):
     assert one(spark, "# Title\n\nSome [link](http://x) and `code`\n```\nblock\n```\n<b>bold</b>", "string", text.prose) == "Title Some link and bold"
+
+
+@pytest.mark.parametrize(
+    "a, b, same",
+    [
+        ("d3", "d3-axis", True), ("lodash", "lodash.pick", True), ("react", "preact", False), ("@babel/core", "@babel/preset-env", True), ("@types/node", "node", True), ("@types/node", "types", False),
+        ("parcel", "@parcel/graph", True), ("passport", "@passport-next/passport", False), ("X", "x", True), ("markdown-it", "@ts-stack/markdown", False),
+    ],
+)
+def test_families(spark, a, b, same):
+    from marlstone.operators.vectors import same_family
+
+    assert spark.createDataFrame([(a, b)], "a string, b string").select(same_family(F.col("a"), F.col("b"))).first()[0] is same
+
+
+@pytest.mark.parametrize(
+    "name, keywords, plugin",
+    [
+        ("eslint-plugin-react", None, True), ("css-loader", [], True), ("@sveltejs/adapter-node", None, True), ("eslint-config-airbnb", None, True), ("node-config", None, False), ("plugin", None, False),
+        ("markdown-it", ["markdown-it-plugin"], False), ("@unocss/vite", ["vite-plugin"], True), ("x", ["a preset"], True), ("react", ["ui"], False),
+    ],
+)
+def test_plugins(spark, name, keywords, plugin):
+    from marlstone.operators.vectors import is_plugin
+
+    assert spark.createDataFrame([(name, keywords)], "n string, k array<string>").select(is_plugin(F.col("n"), F.col("k"))).first()[0] is plugin
+
+
+def test_chart_domains(spark):
+    from marlstone.functions import charts
+
+    rows = spark.createDataFrame([(10.0, 10.0), (0.0, 0.0), (100.0, 5000.0), (1.0, 4.0)], "a double, b double").select(charts.domain(F.col("a"), F.col("b")).alias("d")).select("d", charts.ticks(F.col("d"), 4).alias("t")).collect()
+    assert tuple(rows[0].d) == (9.0, 11.0) and tuple(rows[1].d) == (0.0, 1.0) and rows[2].d.hi == pytest.approx(5750.0) or rows[2].d.hi < 5750.0
+    assert len(rows[2].t) == 5 and rows[2].t == sorted(rows[2].t) and all(x == int(x) for x in rows[3].t)

@@ -34,45 +34,62 @@ BROADCAST_ROWS = 200_000
 BLOCK = 4_000_000
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, made on demand; bounded by ``trim``."""
+#: Bytes of a word that are hashed all words at once; longer words are hashed each for itself.
+LONG_WORD = 48
 
-    def __missing__(self, word):
-        import xxhash
 
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def word_hashes(texts):
+    """(64-bit hashes of the words of all texts, in order, and each text's number of words).
 
-    def trim(self, most=500_000):
-        if len(self) > most:
-            self.clear()
+    A word is a run of letters, digits, underscores and characters outside ASCII, lower-cased. All words are hashed together, byte
+    by byte, in order of length, so that nothing is made for each word in Python.
+    """
+    import numpy as np
+    import xxhash
+
+    parts = [t.lower().encode() if t else b"" for t in texts]
+    buf = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+    wordy = np.zeros(256, bool)
+    wordy[128:] = wordy[48:58] = wordy[65:91] = wordy[97:123] = wordy[95] = True
+    edge = np.flatnonzero(np.diff(wordy[buf].view(np.int8), prepend=np.int8(0)))
+    starts, lengths = edge[::2], edge[1::2] - edge[::2]
+    order = np.argsort(-np.minimum(lengths, LONG_WORD + 1).astype(np.int16), kind="stable")
+    at, active = starts[order], np.searchsorted(-lengths[order], -np.arange(LONG_WORD), "left") if len(order) else np.zeros(LONG_WORD, np.int64)
+    h, m = lengths[order].astype(np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    for k in range(LONG_WORD):
+        n = int(active[k])
+        if not n:
+            break
+        x = (h[:n] ^ buf[at[:n] + k]) * m
+        h[:n] = x ^ (x >> np.uint64(32))
+    for i in np.flatnonzero(lengths[order] > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(buf[at[i] : at[i] + lengths[order[i]]].tobytes())
+    out = np.zeros(len(h), np.uint64)
+    out[order] = h
+    ends = np.cumsum([len(x) + 1 for x in parts])
+    return out, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
-def shingles(texts, known: WordHashes):
+def shingles(texts):
     """(word hashes of all texts, ends of texts in them, shingle hashes, ends of texts in those), repeated shingles included."""
-    import re
-
     import numpy as np
 
-    find, m = re.compile(r"\w+").findall, np.uint64(0x9E3779B97F4A7C15)
-    known.trim()
-    words = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in (find(t.lower()) if t else [] for t in texts)]
-    n = np.fromiter(map(len, words), np.int64, len(words))
+    h, n = word_hashes(texts)
+    m = np.uint64(0x9E3779B97F4A7C15)
     ends = np.cumsum(n)
-    h = np.concatenate([*words, np.zeros(WORDS, np.uint64)])  # so that windows at the end exist
+    h = np.concatenate([h, np.zeros(WORDS, np.uint64)])  # so that windows at the end exist
     s = np.zeros(len(h) - WORDS, np.uint64)
     for j in range(WORDS):
         s = (s ^ (s >> np.uint64(29))) * m + h[j : j + len(s)]
     s ^= s >> np.uint64(32)
-    short = np.flatnonzero((n > 0) & (n < WORDS))
     count = np.where(n >= WORDS, n - WORDS + 1, np.minimum(n, 1))
-    for i in short.tolist():  # one shingle of the words that there are
+    for i in np.flatnonzero((n > 0) & (n < WORDS)).tolist():  # one shingle of the words that there are
         x = np.zeros(1, np.uint64)
-        for w in words[i]:
+        for w in h[ends[i] - n[i] : ends[i]]:
             x = (x ^ (x >> np.uint64(29))) * m + w
         s[ends[i] - n[i]] = (x ^ (x >> np.uint64(32)))[0]
     keep = np.arange(len(s)) - np.repeat(ends - n, n) < np.repeat(count, n)
-    return h, ends, s[keep], np.cumsum(count)
+    return h[:-WORDS], ends, s[keep], np.cumsum(count)
 
 
 def weighted_sets(s, ends):
@@ -163,10 +180,9 @@ def heavy_shingles(docs: DataFrame, text: str) -> list[tuple[int, float]]:
         import numpy as np
         import pyarrow as pa
 
-        known = WordHashes()
         for table in blocks(batches, text, BLOCK):
             found = table.num_rows
-            distinct, counts = np.unique(shingles(table.column(text).to_pylist(), known)[2], return_counts=True)
+            distinct, counts = np.unique(shingles(table.column(text).to_pylist())[2], return_counts=True)
             often = counts >= max(1, HEAVY / 2 * found)  # places, which are no fewer than documents
             yield pa.RecordBatch.from_arrays([pa.array(distinct[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.array(np.zeros(int(often.sum()), np.int64))], ["s", "n", "docs"])
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([found], pa.int64())], ["s", "n", "docs"])
@@ -182,10 +198,10 @@ def heavy_shingles(docs: DataFrame, text: str) -> list[tuple[int, float]]:
         import numpy as np
         import pyarrow as pa
 
-        known, wanted = WordHashes(), np.sort(np.array(chosen, np.int64).view(np.uint64))
+        wanted = np.sort(np.array(chosen, np.int64).view(np.uint64))
         counts = np.zeros(len(wanted), np.int64)
         for table in blocks(batches, text, BLOCK):
-            _, _, s, ends = shingles(table.column(text).to_pylist(), known)
+            _, _, s, ends = shingles(table.column(text).to_pylist())
             at = np.minimum(np.searchsorted(wanted, s), len(wanted) - 1)
             hits = np.flatnonzero(wanted[at] == s)
             in_doc = np.unique(np.searchsorted(ends, hits, "right") * len(wanted) + at[hits])
@@ -212,10 +228,10 @@ def signed(docs: DataFrame, text: str, heavy) -> DataFrame:
         import xxhash
         from pyspark import TaskContext
 
-        known, weights, rid = WordHashes(), as_arrays(heavy), TaskContext.get().partitionId() << 33
+        weights, rid = as_arrays(heavy), TaskContext.get().partitionId() << 33
         for batch in batches:
             keys, contents = [None] * batch.num_rows, [None] * batch.num_rows
-            h, word_ends, s, ends = shingles(batch.column("text").to_pylist(), known)
+            h, word_ends, s, ends = shingles(batch.column("text").to_pylist())
             distinct, counts, ends = weighted_sets(s, ends)
             logw = log_weights(distinct, counts, weights).astype(np.float32)
             begins, at = np.concatenate([[0], ends[:-1]]), 0
@@ -247,13 +263,13 @@ def verified(pairs: DataFrame, texts: DataFrame, heavy, similarity: float) -> Da
         import numpy as np
         import pyarrow as pa
 
-        known, weights, kept = WordHashes(), as_arrays(heavy), {}
+        weights, kept = as_arrays(heavy), {}
 
         def weighted(content, text):
             if content not in kept:
                 if len(kept) >= 64:
                     kept.clear()
-                _, _, s, ends = shingles([text], known)
+                _, _, s, ends = shingles([text])
                 d, c, _ = weighted_sets(s, ends)
                 kept[content] = d, np.exp(log_weights(d, c, weights))
             return kept[content]

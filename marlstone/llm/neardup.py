@@ -8,9 +8,12 @@ candidates remain, at most 2 / HEAVY times the mean number of shingles), then ca
 
 Texts of equal words are one content with one signature. Contents that share a band meet in a bucket; each bucket's members are compared
 with two leaders, so that nothing grows with the square of a bucket: the member that shares most buckets with others (of edited copies
-of one text, that text) and one by hash. Pairs are verified on the whole texts. Buckets that hold several classes afterwards
-compare the other classes with the leader of one of them, until a round finds no further link. Classes are connected
-components, by hooking to smaller neighbours on tables of links; no links come to the driver.
+of one text, that text) and one by hash; members of large buckets also meet in finer ones, by further samples. Pairs of which at least
+AGREE samples look equal (by four bits each) may be similar; at the limit of similarity about one in ten thousand has fewer (in
+later rounds AGREE_LATER, one in thirty, where a class has many other ways to be linked). Of its
+candidates each content tries the TRIES that agree most, verified on the whole texts. Then classes are joined, buckets that still
+hold several classes choose other leaders, and untried pairs follow, until hardly any (fewer than 1 in YIELD) is a link. Classes are
+connected components, by hooking to smaller neighbours on tables of links; no links come to the driver.
 
 Defined results: a text without words (null, empty) is a class of its own. Fewer than five words are one shingle. Repeated rows are
 documents of one class; the representative is the row of least doc_id (null last). All columns, whatever their names, are kept.
@@ -23,12 +26,21 @@ from math import log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .common import blocks, bound_arrow, cut, shared_dir
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 9, 3
-HEAVY, HEAVY_LEAST, FLOOR = 0.02, 50, 0.25
+#: Least number of samples that look equal, in the first round and in the later ones, which only join classes within a bucket.
+AGREE, AGREE_LATER = 13, 18
+#: Buckets of more members than LARGE are dealt into FINER finer ones each, by four further samples.
+LARGE, FINER, TRIES = 16, 6, 3
+#: Leaders of a bucket and tries of a content in later rounds.
+LEADERS_LATER, TRIES_LATER = 8, 6
+#: Rounds end when fewer than one pair in so many that were tried is a link.
+YIELD = 200
+HEAVY, HEAVY_LEAST, FLOOR = 0.1, 50, 0.5
 #: A list of contents is broadcast up to this many rows, which is counted.
 BROADCAST_ROWS = 200_000
 BLOCK = 4_000_000
@@ -173,6 +185,28 @@ def band_keys(sampled):
     return out
 
 
+def nibbles(sampled):
+    """sets x 2: four bits of each sample, packed into two integers."""
+    import numpy as np
+
+    bits, half = sampled >> np.uint64(60), (len(sampled) + 1) // 2
+    out = np.zeros((sampled.shape[1], 2), np.uint64)
+    for k, b in enumerate(bits):
+        out[:, k // half] |= b << np.uint64(4 * (k % half))
+    return out.view(np.int64)
+
+
+def agreement(a, b):
+    """Samples that look equal, of two columns of :func:`nibbles` arrays."""
+    differ = F.lit(0)
+    for i in range(2):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(x)
+    return F.lit(BANDS * ROWS) - differ
+
+
 def heavy_shingles(docs: DataFrame, text: str) -> list[tuple[int, float]]:
     """(hash, idf) of the shingles in HEAVY of all documents or more (HEAVY_LEAST at least)."""
 
@@ -230,7 +264,7 @@ def signed(docs: DataFrame, text: str, heavy) -> DataFrame:
 
         weights, rid = as_arrays(heavy), TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys, contents = [None] * batch.num_rows, [None] * batch.num_rows
+            keys, sigs, contents = ([None] * batch.num_rows for _ in range(3))
             h, word_ends, s, ends = shingles(batch.column("text").to_pylist())
             distinct, counts, ends = weighted_sets(s, ends)
             logw = log_weights(distinct, counts, weights).astype(np.float32)
@@ -240,19 +274,20 @@ def signed(docs: DataFrame, text: str, heavy) -> DataFrame:
                 to = max(at + 1, int(np.searchsorted(ends[some], begins[some[at]] + 6000)))
                 here = some[at:to]
                 low, high = begins[here[0]], ends[here[-1]]
-                for i, k in zip(here.tolist(), band_keys(samples(distinct[low:high], logw[low:high], begins[here] - low)).tolist(), strict=True):
-                    keys[i] = k
+                sampled = samples(distinct[low:high], logw[low:high], begins[here] - low)
+                for i, k, sig in zip(here.tolist(), band_keys(sampled).tolist(), nibbles(sampled).tolist(), strict=True):
+                    keys[i], sigs[i] = k, sig
                 at = to
             for i, (a, b) in enumerate(zip([0, *word_ends[:-1].tolist()], word_ends.tolist(), strict=True)):
                 if b > a:
                     contents[i] = xxhash.xxh128_digest(h[a:b].tobytes())
             ids = pa.array(np.arange(rid, rid + batch.num_rows))
             rid += batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), ids, pa.array(contents, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "rid", "content", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), ids, pa.array(contents, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], ["doc", "rid", "content", "bands", "sig"])
 
     doc = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
     rows = docs.select(doc.alias("doc"), F.col(text).alias("text"))
-    own = T._parse_datatype_string("rid long, content binary, bands array<long>")
+    own = T._parse_datatype_string("rid long, content binary, bands array<long>, sig array<long>")
     return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *own.fields]))
 
 
@@ -315,25 +350,34 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 
 
 def linked(contents: DataFrame, texts_of, heavy, similarity: float, folder: str) -> DataFrame | None:
-    """(node, root) of the contents (content, bands) that are linked to others; None if none is. ``texts_of``: contents -> their texts."""
-    every = contents.select("content", F.explode("bands").alias("bucket"))
-    members = every.join(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
-    members = cut(members, folder)
+    """(node, root) of the contents (content, bands, sig) that are linked to others; None if none is. ``texts_of``: contents -> their texts."""
+    every = contents.select("content", "sig", F.explode("bands").alias("bucket"))
+    members = cut(every.join(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), folder)
     score = members.groupBy("content").agg(F.sum("n").alias("score"))
-    members = cut(members.join(score, "content").select("bucket", "content", "score", F.col("content").alias("root")), folder)
+    large = members.where(F.col("n") > LARGE)
+    masks = [(sum(15 << 4 * k for k in range(4 * i, 4 * i + 4) if k < 14), sum(15 << 4 * (k - 14) for k in range(4 * i, 4 * i + 4) if k >= 14)) for i in range(FINER)]
+    part = lambda i, m: F.get("sig", F.lit(i)).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))
+    finer = large.select("content", "sig", F.explode(F.array(*[F.xxhash64("bucket", F.lit(i), part(0, a), part(1, b)) for i, (a, b) in enumerate(masks)])).alias("bucket"))
+    finer = finer.join(finer.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "bucket").select("bucket", "content", "sig")
+    members = members.select("bucket", "content", "sig").union(finer).join(score, "content").select("bucket", "content", "sig", "score", F.col("content").alias("root"))
+    members = cut(members, folder)
     texts = labels = tried = None
     for round_ in range(1 << 20):
-        if round_:
-            one = F.min(F.struct(F.xxhash64("root", "bucket", F.lit(round_)).alias("h"), (-F.col("score")).alias("s"), F.col("content"), F.col("root")))
-            leaders = members.groupBy("bucket").agg(F.array(one).alias("leaders"))
+        head = lambda x: F.struct(x["content"].alias("content"), x["root"].alias("root"), x["sig"].alias("sig"))
+        by_hash = lambda c, i=0: F.min(F.struct(F.xxhash64(c, "bucket", F.lit(round_), F.lit(i)).alias("h"), (-F.col("score")).alias("s"), F.col("content"), F.col("root"), F.col("sig")))
+        if round_:  # of classes drawn by hash, the member that shares most buckets; and any members
+            chosen = [by_hash(c, i) for i in range(LEADERS_LATER // 2) for c in ("root", "content")]
         else:
-            top = F.max(F.struct("score", "content", "root"))
-            some = F.min(F.struct(F.xxhash64("content", F.col("bucket") % 3).alias("h"), F.col("content"), F.col("root")))
-            leaders = members.groupBy("bucket").agg(F.array(*[F.struct(x["content"].alias("content"), x["root"].alias("root")) for x in (top, some)]).alias("leaders"))
-        pairs = members.join(leaders, "bucket").select("content", "root", F.explode("leaders").alias("leader")).where("root <> leader.root")
-        pairs = pairs.select(F.least("content", "leader.content").alias("a"), F.greatest("content", "leader.content").alias("b"), F.least("root", "leader.root").alias("ra"), F.greatest("root", "leader.root").alias("rb")).distinct()
+            chosen = [F.max(F.struct("score", "content", "root", "sig")), by_hash("content")]
+        leaders = members.groupBy("bucket").agg(F.array(*[head(x) for x in chosen]).alias("leaders"))
+        met = members.join(leaders, "bucket").select("content", "root", "sig", F.explode("leaders").alias("leader")).where(F.col("root") != F.col("leader.root"))
+        met = met.withColumn("agree", agreement(F.col("sig"), F.col("leader.sig"))).where(F.col("agree") >= (AGREE_LATER if round_ else AGREE))
+        pairs = met.groupBy("content", F.col("leader.content").alias("other"), "root", F.col("leader.root").alias("other_root")).agg(F.max("agree").alias("agree"))
+        pairs = pairs.withColumn("a", F.least("content", "other")).withColumn("b", F.greatest("content", "other"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        best = F.row_number().over(W.partitionBy("content").orderBy(F.desc("agree"), "other"))
+        pairs = pairs.withColumn("nth", best).where(F.col("nth") <= (TRIES_LATER if round_ else TRIES)).select("a", "b", F.least("root", "other_root").alias("ra"), F.greatest("root", "other_root").alias("rb")).distinct()
         pairs = cut(pairs, folder)
         if pairs.isEmpty():
             return labels
@@ -341,13 +385,16 @@ def linked(contents: DataFrame, texts_of, heavy, similarity: float, folder: str)
         texts = texts or cut(texts_of(members.select("content").distinct()), folder)
         found = verified(pairs.select("a", "b"), texts, heavy, similarity)
         found = cut(found if not round_ else found.join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), folder)
-        if found.isEmpty():
+        n_found = found.count()
+        if not n_found:
             return labels
         further = components(found, folder)
         labels = further if labels is None else cut(followed(labels, further).union(further.join(labels, "node", "left_anti")), folder)
+        if round_ and n_found * YIELD < pairs.count():
+            return labels
         here = members.join(further.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").withColumn("root", F.coalesce("further", "root")).drop("further")
         several = here.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        members = cut(here.join(several, "bucket").select("bucket", "content", "score", "root"), folder)
+        members = cut(here.join(several, "bucket").select("bucket", "content", "sig", "score", "root"), folder)
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -359,14 +406,14 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     table = cut(signed(docs, text, heavy), folder)
     k = f"doc.`{key}`"
     first = F.min(F.struct(F.col(k).isNull().alias("none"), F.col(k).alias("k"), F.col("rid")))
-    contents = cut(table.where(F.col("content").isNotNull()).groupBy("content").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), folder)
+    contents = cut(table.where(F.col("content").isNotNull()).groupBy("content").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), folder)
 
     def texts_of(needed: DataFrame) -> DataFrame:
         small = needed.count() <= BROADCAST_ROWS
         some = table.select("content", F.col(f"doc.`{text}`").alias("text")).join(F.broadcast(needed) if small else needed, "content", "left_semi")
         return some.groupBy("content").agg(F.any_value("text").alias("text"))
 
-    labels = linked(contents.select("content", "bands"), texts_of, heavy, similarity, folder)
+    labels = linked(contents.select("content", "bands", "sig"), texts_of, heavy, similarity, folder)
     named = contents.select("content", "first", "n").withColumn("root", F.col("content"))
     if labels is not None:
         named = named.drop("root").join(labels.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))

@@ -101,10 +101,10 @@ def mark(words: list[bytes]) -> bytes:
     """Digest by which a block knows that an answer is for its very list of words."""
     import hashlib
 
-    whole = hashlib.blake2b(digest_size=16)
-    for word in words:
-        whole.update(len(word).to_bytes(4, "little") + word)
-    return whole.digest()
+    import numpy as np
+
+    lengths = np.fromiter(map(len, words), np.uint32, len(words))
+    return hashlib.blake2b(lengths.tobytes() + b"".join(words), digest_size=16).digest()
 
 
 def _distinct_words(pattern: str, parts: int):
@@ -147,7 +147,8 @@ def _encoder(ranks: dict[bytes, int]):
     import tiktoken
 
     core = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    return lambda word: np.array([ranks[word]] if word in ranks else core.encode_ordinary(word.decode()), np.int32).tobytes()
+    one = {word: np.int32(i).tobytes() for word, i in ranks.items()}
+    return lambda word: one.get(word) or (np.array(core._encode_single_piece(word), np.int32).tobytes() if word else b"")
 
 
 #: Words that a task remembers; a part has fewer unless there are too few shuffle partitions for the corpus.
@@ -234,10 +235,20 @@ def decode(coded: DataFrame, ids: str = "ids", ranks: str | None = None) -> Data
     def run(batches):
         import pyarrow as pa
 
-        table = {i: b for b, i in load_ranks(path).items()}
+        ranks = load_ranks(path)
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for b, i in ranks.items():
+            table[i] = b
+
+        def of(values) -> bytes:
+            found = values.drop_null().to_numpy()
+            if len(found) and (found.min() < 0 or found.max() >= len(table)):
+                found = found[(found >= 0) & (found < len(table))]
+            return b"".join(map(table.__getitem__, found.tolist()))
+
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(ids))
-            decoded = [b"".join([table.get(i, b"") for i in x]) if x is not None else None for x in (v.values.to_numpy().tolist() if v.is_valid else None for v in col)]
+            decoded = [of(v.values) if v.is_valid else None for v in col]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)

@@ -67,44 +67,54 @@ def _interval(lo, lo_open, hi, hi_open, pre=None) -> Column:
 INTERVAL = "struct<lo:array<decimal(38,0)>,lo_open:boolean,hi:array<decimal(38,0)>,hi_open:boolean,pre:string>"
 
 
-def _partial(text: Column, prefix: str = "") -> tuple:
-    pattern = rf"^{prefix}\s*{PARTIAL}\s*$"
-    raw = [F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]
-    numbers = [x.try_cast(NUM) for x in raw]
-    # a part is wild if it, or one before it, is missing or x
-    wild = [numbers[0].isNull(), numbers[0].isNull() | numbers[1].isNull(), numbers[0].isNull() | numbers[1].isNull() | numbers[2].isNull()]
-    return numbers, wild, F.nullif(F.regexp_extract(text, pattern, 4), F.lit(""))
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value bound to a variable, so that the expression stays small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+OP = r"^\s*(\^|~>?|>=|<=|>|<|=)?"
 
 
 def comparator(text: Column) -> Column:
     """The interval of one comparator (^1.2, ~1, >=1.2.3, 1.x, ...); null if it is none."""
-    op = F.regexp_extract(text, r"^\s*(\^|~>?|>=|<=|>|<|=)?", 1)
-    (a, b, c), (w1, w2, w3), pre = _partial(text, r"(?:\^|~>?|>=|<=|>|<|=)?")
+    pattern = rf"{OP}\s*{PARTIAL}\s*$"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    parsed = F.struct(part(1).alias("op"), *[part(i).try_cast(NUM).alias(n) for i, n in ((2, "a"), (3, "b"), (4, "c"))], F.nullif(part(5), F.lit("")).alias("pre"))
+    return F.when(text.rlike(pattern), _let(parsed, _interval_of))
+
+
+def _interval_of(p: Column) -> Column:
+    op, a, pre = p["op"], p["a"], p["pre"]
     zero, one = F.lit(0).cast(NUM), F.lit(1).cast(NUM)
-    v = lambda x, y, z: F.array(x, y, z)
-    low = v(a, F.coalesce(b, zero), F.when(w2, zero).otherwise(F.coalesce(c, zero)))
-    low = v(a, F.when(w2, zero).otherwise(b), F.when(w3, zero).otherwise(c))
-    next_major, next_minor, next_patch = v(a + one, zero, zero), v(a, b + one, zero), v(a, b, c + one)
-    after = F.when(w2, next_major).when(w3, next_minor).otherwise(next_patch)
-    caret = F.when(w2 | (a > 0), next_major).when(w3 | (b > 0), next_minor).otherwise(next_patch)
-    tilde = F.when(w2, next_major).otherwise(next_minor)
-    anything = _interval(None, False, None, True)
-    nothing = _interval(v(zero, zero, zero), False, v(zero, zero, zero), True)
-    some = (
-        F.when(w1 & op.isin("<", ">"), nothing).when(w1, anything)
-        .when(op == "^", _interval(low, False, caret, True, pre))
-        .when(op.startswith("~"), _interval(low, False, tilde, True, pre))
-        .when(op == ">=", _interval(low, False, None, True, pre))
-        .when(op == "<", _interval(None, False, low, True, pre))
-        .when((op == ">") & ~w3, _interval(low, True, None, True, pre))
-        .when(op == ">", _interval(after, False, None, True))
-        .when((op == "<=") & ~w3, _interval(None, False, low, False, pre))
-        .when(op == "<=", _interval(None, False, after, True))
-        .when(w3, _interval(low, False, after, True))
-        .otherwise(_interval(low, False, low, False, pre))
+    # a part is wild if it, or one before it, is missing or x
+    w1, w2 = a.isNull(), a.isNull() | p["b"].isNull()
+    w3 = w2 | p["c"].isNull()
+    bounds = F.struct(
+        F.array(a, F.when(w2, zero).otherwise(p["b"]), F.when(w3, zero).otherwise(p["c"])).alias("low"),
+        F.array(a + one, zero, zero).alias("major"), F.array(a, p["b"] + one, zero).alias("minor"), F.array(a, p["b"], p["c"] + one).alias("patch"),
     )
-    fits = text.rlike(rf"^\s*(?:\^|~>?|>=|<=|>|<|=)?\s*{PARTIAL}\s*$")
-    return F.when(fits, some)
+
+    def chosen(v: Column) -> Column:
+        low = v["low"]
+        after = F.when(w2, v["major"]).when(w3, v["minor"]).otherwise(v["patch"])
+        caret = F.when(w2 | (a > 0), v["major"]).when(w3 | (p["b"] > 0), v["minor"]).otherwise(v["patch"])
+        tilde = F.when(w2, v["major"]).otherwise(v["minor"])
+        none = F.array(zero, zero, zero)
+        return (
+            F.when(w1 & op.isin("<", ">"), _interval(none, False, none, True)).when(w1, _interval(None, False, None, True))
+            .when(op == "^", _interval(low, False, caret, True, pre))
+            .when(op.startswith("~"), _interval(low, False, tilde, True, pre))
+            .when(op == ">=", _interval(low, False, None, True, pre))
+            .when(op == "<", _interval(None, False, low, True, pre))
+            .when((op == ">") & ~w3, _interval(low, True, None, True, pre))
+            .when(op == ">", _interval(after, False, None, True))
+            .when((op == "<=") & ~w3, _interval(None, False, low, False, pre))
+            .when(op == "<=", _interval(None, False, after, True))
+            .when(w3, _interval(low, False, after, True))
+            .otherwise(_interval(low, False, low, False, pre))
+        )
+
+    return _let(bounds, chosen)
 
 
 def _meet(x: Column, y: Column) -> Column:
@@ -122,15 +132,15 @@ def parse_range(requirement: Column) -> Column:
     anything = _interval(None, False, None, True).cast(INTERVAL)
 
     def one(alternative: Column) -> Column:
-        first = F.regexp_extract(alternative, r"^\s*(\S+)\s+-\s+(\S+)\s*$", 1)
-        second = F.regexp_extract(alternative, r"^\s*(\S+)\s+-\s+(\S+)\s*$", 2)
-        spanned = _meet(comparator(F.concat(F.lit(">="), first)), comparator(F.concat(F.lit("<="), second))).cast(INTERVAL)
-        parts = F.transform(F.split(F.trim(alternative), r"\s+"), lambda c: comparator(c).cast(INTERVAL))
-        joined = F.when(F.forall(parts, lambda c: c.isNotNull()), F.aggregate(parts, anything, lambda acc, c: _meet(acc, c).cast(INTERVAL)))
-        return F.when(F.trim(alternative) == "", anything).when(alternative.rlike(hyphen), spanned).otherwise(joined)
+        ends = r"^\s*(\S+)\s+-\s+(\S+)\s*$"
+        spanned = F.array(F.concat(F.lit(">="), F.regexp_extract(alternative, ends, 1)), F.concat(F.lit("<="), F.regexp_extract(alternative, ends, 2)))
+        texts = F.when(alternative.rlike(hyphen), spanned).otherwise(F.split(F.trim(alternative), r"\s+"))
+        parts = F.transform(texts, lambda c: comparator(c).cast(INTERVAL))
+        met = lambda ps: F.when(F.forall(ps, lambda c: c.isNotNull()), F.aggregate(ps, anything, lambda acc, c: _meet(acc, c).cast(INTERVAL)))
+        return F.when(F.trim(alternative) == "", anything).otherwise(_let(parts, met))
 
     found = F.transform(F.split(text, r"\|\|", -1), one)
-    return F.when(requirement.isNotNull() & F.forall(found, lambda x: x.isNotNull()), found)
+    return F.when(requirement.isNotNull(), _let(found, lambda f: F.when(F.forall(f, lambda x: x.isNotNull()), f)))
 
 
 def satisfies(version_key: Column, ranges: Column) -> Column:

@@ -26,12 +26,14 @@ from .common import blocks, bound_arrow
 VOCABULARY = "piece_bpe_32k.model"
 #: Bounds of the training sample: rows of each language, characters of a row, languages.
 FIT_ROWS, FIT_CHARS, FIT_LANGUAGES = 400, 20_000, 200
+#: Rows of a language that pass the first, hash-wise cut, as a multiple of FIT_ROWS.
+MARGIN = 4
 ROUNDS, MAX_PIECE, MAX_WORD, REMEMBERED = 3, 12, 40, 300_000
 #: Weight of one pseudo-count spread over the vocabulary, and the log-probability of a character in no piece.
 SMOOTHING, UNKNOWN = 0.05, -16.0
 LETTERS = r"[^\W\d_]+"
-#: A text below this score is rejected by :func:`keep`.
-MIN_SCORE = 0.3
+#: :func:`keep` rejects a text whose score is below this multiple of an even share among the languages.
+MIN_EDGE = 1.04
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -157,17 +159,23 @@ def in_training(doc_id):
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", vocabulary_path: str | None = None) -> dict:
     """A model: {"languages", "pieces", "p", "unknown"}.
 
-    Sample: of training rows with lang and a text of 1 to FIT_CHARS characters, the FIT_ROWS of each language with least hash; words
-    are counted in Spark, and only the counts of that bounded sample reach the driver. More than FIT_LANGUAGES languages are an error.
+    Sample: of training rows with lang and a text of 1 to FIT_CHARS characters, the FIT_ROWS of each language with least hash, after a
+    first cut by hash to about MARGIN times as many (by counts over all rows), so that ranking never gathers more. Words are counted
+    in Spark, and only the counts of that bounded sample reach the driver. More than FIT_LANGUAGES languages are an error.
     """
     import numpy as np
 
-    rows = docs.where(in_training(F.col(key)) & F.col(lang).isNotNull() & F.char_length(text).between(1, FIT_CHARS)).select(lang, text, F.xxhash64(key, text).alias("h"))
-    picked = rows.withColumn("n", F.row_number().over(W.partitionBy(lang).orderBy("h", text))).where(F.col("n") <= FIT_ROWS)
-    words = picked.select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").count().collect()
-    languages = sorted({r["lang"] for r in words})
-    if len(languages) > FIT_LANGUAGES:
+    labelled = docs.where(in_training(F.col(key)) & F.col(lang).isNotNull())
+    sizes = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(FIT_LANGUAGES + 1).collect()
+    if len(sizes) > FIT_LANGUAGES:
         raise ValueError(f"more than {FIT_LANGUAGES} languages")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, MARGIN * FIT_ROWS / r["n"])) for r in sizes], "lang string, share double")
+    h = F.xxhash64(key, text)
+    rows = labelled.where(F.char_length(text).between(1, FIT_CHARS)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"))
+    some = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    picked = some.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text"))).where(F.col("n") <= FIT_ROWS)
+    words = picked.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").count().collect()
+    languages = sorted({r["lang"] for r in words})
     pieces = vocabulary(vocabulary_path)
     model = {"languages": languages, "pieces": pieces, "p": np.zeros((len(pieces), 0)), "unknown": float(np.exp(UNKNOWN))}
     if not languages:
@@ -227,9 +235,10 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
     return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
 
 
-def keep(docs: DataFrame, model: dict, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+def keep(docs: DataFrame, model: dict, text: str = "text", min_score: float | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is known well enough; columns as they were."""
     names = ("__lang", "__score")
+    min_score = MIN_EDGE / max(1, len(model["languages"])) if min_score is None else min_score
     return predict(docs, model, text, names=names).where((F.col(names[0]) != "und") & (F.col(names[1]) >= min_score)).drop(*names)
 
 

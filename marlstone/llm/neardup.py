@@ -35,7 +35,7 @@ BANDS, ROWS = 9, 3
 #: Least number of samples that look equal, in the first round and in the later ones, which only join classes within a bucket.
 AGREE, AGREE_LATER = 13, 18
 #: Buckets of more members than LARGE are dealt into FINER finer ones each, by four further samples.
-LARGE, FINER, TRIES = 16, 6, 3
+LARGE, FINER, TRIES = 16, 4, 3
 #: Leaders of a bucket and tries of a content in later rounds.
 LEADERS_LATER, TRIES_LATER = 8, 6
 #: Rounds end when fewer than one pair in so many that were tried is a link.

@@ -1,8 +1,8 @@
 """MinHash near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-Shingles are five consecutive words, by 64-bit hash. A shingle's weight in a text is its count there times its inverse document
-frequency, which is 1 below a document frequency of HEAVY and falls to FLOOR for a shingle of every document: passages that many
-documents share count for little. Frequent shingles are found exactly, in two scans: blocks report what is frequent among
+Shingles are five consecutive words, by 64-bit hash. A shingle's weight in a text is 1 + log10 of its count there (a line repeated a
+hundred times doesn't make two texts alike) times its inverse document frequency, which is 1 below a document frequency of HEAVY and
+falls to FLOOR for a shingle of every document: passages that many documents share count for less. Frequent shingles are found exactly, in two scans: blocks report what is frequent among
 their own documents (a shingle over HEAVY of all documents is over HEAVY / 2 in blocks that hold half of its documents, so few
 candidates remain, at most 2 / HEAVY times the mean number of shingles), then candidates are counted over all documents.
 
@@ -122,10 +122,10 @@ def weighted_sets(s, ends):
 
 
 def log_weights(distinct, counts, heavy):
-    """log of count times inverse document frequency. ``heavy``: sorted hashes and their idf."""
+    """log of (1 + log10 of the count) times inverse document frequency. ``heavy``: sorted hashes and their idf."""
     import numpy as np
 
-    w = counts.astype(np.float64)
+    w = 1 + np.log10(counts.astype(np.float64))
     if len(heavy[0]) and len(distinct):
         at = np.minimum(np.searchsorted(heavy[0], distinct), len(heavy[0]) - 1)
         w = np.where(heavy[0][at] == distinct, w * heavy[1][at], w)
@@ -224,7 +224,8 @@ def heavy_shingles(docs: DataFrame, text: str) -> list[tuple[int, float]]:
     sums = cut(docs.select(text).mapInArrow(local, "s long, n long, docs long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     total = sums.where("s is null").agg(F.sum("docs")).first()[0] or 0
     least = max(HEAVY * total, HEAVY_LEAST)
-    chosen = sorted(r["s"] for r in sums.where(F.col("s").isNotNull() & (F.col("n") >= least / 2 if HEAVY * total >= HEAVY_LEAST else F.col("n") >= 1)).select("s").collect()) if total >= HEAVY_LEAST else []
+    some = sums.where(F.col("s").isNotNull() & (F.col("n") >= least / 2)).select("s")
+    chosen = sorted(r["s"] for r in some.collect()) if total >= HEAVY_LEAST else []
     if not chosen:
         return []
 

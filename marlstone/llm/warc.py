@@ -16,13 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, shared_dir
+from .common import bound_arrow, cut, shared_dir
 
 MIN_REVISIT = 100
 #: Payload bytes that one archive is meant to hold.
 ARCHIVE_BYTES = 16 << 20
-#: Salts over which a payload that occurs more than once is dealt.
-SALTS = 32
+#: Digests that are broadcast at most; beyond, salts over which a payload that occurs more than once is dealt.
+BROADCAST_ROWS, SALTS = 100_000, 32
 PIECE = 1 << 18
 
 
@@ -35,17 +35,22 @@ def _opened(uri: str):
 def with_revisits(pages: DataFrame, key: str = "page_id", body: str = "html", salts: int = SALTS) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): payload null where it revisits another record.
 
-    First records come from an aggregate by digest; only digests that occur twice are joined back, each dealt over ``salts`` keys,
-    so that a page that is a third of all rows is many tasks' work.
+    First records come from an aggregate by digest, without the payloads. Digests that occur twice are joined back: as a broadcast up
+    to BROADCAST_ROWS of them, which are counted, so that payloads aren't shuffled; beyond, dealt over ``salts`` keys each, so that
+    a page that is a third of all rows is many tasks' work.
     """
     payload = F.coalesce(F.col(body), F.lit("")).cast("binary")
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(key).alias("page_id"), url.alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    firsts = rows.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    firsts = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    firsts = cut(rows.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"))
+    if firsts.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(firsts), "digest", "left")
+    else:
+        salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["digest", "salt"], "left").drop("salt")
     refers = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    return rows.join(firsts, ["digest", "salt"], "left").withColumn("refers_to", refers).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload"))).drop("salt", "first")
+    return joined.withColumn("refers_to", refers).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload"))).drop("first")
 
 
 def _record(row: dict) -> bytes:
@@ -65,8 +70,11 @@ def _record(row: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def write_archives(records: DataFrame, folder: str, archives: int) -> DataFrame:
-    """Whole-file gzip archives of ``records`` (as :func:`with_revisits` gives them); (path) of each."""
+def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Whole-file gzip archives of ``records`` (as :func:`with_revisits` gives them); (path) of each.
+
+    Every partition writes its own, and begins another one after ``archive_bytes`` of records.
+    """
 
     def run(batches):
         import zlib
@@ -76,22 +84,31 @@ def write_archives(records: DataFrame, folder: str, archives: int) -> DataFrame:
 
         task = TaskContext.get()
         store, root = _opened(folder)
-        final = f"{root}/raw/part-{task.partitionId():06d}.warc.gz"
-        part, out = f"{final}.{task.taskAttemptId()}", None
+        store.create_dir(f"{root}/raw", recursive=True)
+        n, out, size = 0, None, 0
+
+        def close():
+            out.write(gz.flush())
+            out.close()
+            store.move(f"{final}.{task.taskAttemptId()}", final)
+            return pa.RecordBatch.from_arrays([pa.array([final])], ["path"])
+
         for batch in batches:
-            if out is None and batch.num_rows:
-                store.create_dir(f"{root}/raw", recursive=True)
-                out, gz = store.open_output_stream(part, compression=None), zlib.compressobj(4, zlib.DEFLATED, 31)
             for row in batch.to_pylist():
-                out.write(gz.compress(_record(row)))
+                if out is None:
+                    final = f"{root}/raw/part-{task.partitionId():06d}-{n:04d}.warc.gz"
+                    out, gz, size, n = store.open_output_stream(f"{final}.{task.taskAttemptId()}", compression=None), zlib.compressobj(4, zlib.DEFLATED, 31), 0, n + 1
+                record = _record(row)
+                out.write(gz.compress(record))
+                size += len(record)
+                if size >= archive_bytes:
+                    yield close()
+                    out = None
         if out is not None:
-            out.write(gz.flush())
-            out.close()
-            store.move(part, final)
-            yield pa.RecordBatch.from_arrays([pa.array([final])], ["path"])
+            yield close()
 
     bound_arrow(records.sparkSession)
-    return records.repartition(archives, F.xxhash64("page_id", "url", "digest")).mapInArrow(run, "path string")
+    return records.mapInArrow(run, "path string")
 
 
 class Stream:
@@ -214,9 +231,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """``pages`` written as monolithic archives, normalised, and read back by index."""
     folder = folder or shared_dir(pages.sparkSession) + "/warc"
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    raw = write_archives(with_revisits(pages), folder, max(1, -(-size // ARCHIVE_BYTES)))
-    return read_archives(normalise(raw, folder), folder)
+    return read_archives(normalise(write_archives(with_revisits(pages), folder), folder), folder)
 
 
 def op10(pages: DataFrame) -> DataFrame:

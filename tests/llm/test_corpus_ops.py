@@ -96,7 +96,9 @@ def test_bloom_has_no_false_negatives(spark):
     assert set(range(5000)) <= ids and len(ids) < 7000
 
 
-def test_warc(pages):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_warc(pages, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
     rows = warc.op10(pages).collect()
     every = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
     first, n = {}, Counter(b for _, b in every)
@@ -115,7 +117,7 @@ def test_warc_files(pages, tmp_path):
     import gzip
     import json
 
-    index = warc.normalise(warc.write_archives(warc.with_revisits(pages), f"file://{tmp_path}", 2), f"file://{tmp_path}")
+    index = warc.normalise(warc.write_archives(warc.with_revisits(pages), f"file://{tmp_path}", 100_000), f"file://{tmp_path}")
     assert index.count() == pages.count()
     for side in (tmp_path / "members").glob("*.idx"):
         data = side.with_suffix("").read_bytes()
@@ -217,3 +219,10 @@ def test_pipeline(spark, docs):
         if i < len(corpus_pipeline.STAGES) - 1:
             assert now.columns == columns and now.count() <= before.count()
     assert now.columns == ["doc_id", "ids"] and now.count() == before.count() > 100
+
+
+def test_a_line_repeated_many_times_makes_no_duplicates(spark):
+    line = " ".join(f"l{j}" for j in range(12))
+    rows = [(i, "\n".join([*[line] * 60, *[f"t{i}_{j}" for j in range(60)]])) for i in range(12)]
+    got = neardup.op8(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.class_size == 1 for r in got)

@@ -11,9 +11,9 @@ from .registry import register
 DATE = "CAST(ts AS DATE)"
 
 
-@register("snapshot_calendar", "SELECT d AS snapshot_timestamp, row_number() OVER (ORDER BY d) - 1 AS slot, lag(d) OVER (ORDER BY d) AS previous_at, date_diff('day', lag(d) OVER (ORDER BY d), d) AS interval_days FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_custkey % 50 = 0)")
+@register("snapshot_calendar", "SELECT d AS snapshot_timestamp, row_number() OVER (ORDER BY d) - 1 AS slot, lag(d) OVER (ORDER BY d) AS previous_at, date_diff('day', lag(d) OVER (ORDER BY d), d) AS interval_days FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)")
 def snapshot_calendar(spark, d):
-    days = table(spark, d, "orders").where("o_custkey % 50 = 0").select(F.to_date("o_orderdate").alias("snapshot_timestamp"))
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("snapshot_timestamp"))
     return t.calendar(days).select("snapshot_timestamp", F.col("slot").cast("long").alias("slot"), "previous_at", F.col("interval_days").cast("long").alias("interval_days"))
 
 
@@ -58,7 +58,7 @@ def outages(spark, d):
     return t.outages(daily(spark, d)).select("name", "day", "downloads", "imputed_gap")
 
 
-WEEKS = """WITH o AS (SELECT o_custkey AS name, CAST(o_orderdate AS DATE) AS snapshot_at, o_orderkey FROM orders WHERE o_custkey % 20 = 0),
+WEEKS = """WITH o AS (SELECT o_custkey AS name, CAST(o_orderdate AS DATE) AS snapshot_at, o_orderkey FROM orders),
 p AS (SELECT name, lag(snapshot_at) OVER (PARTITION BY name ORDER BY snapshot_at, o_orderkey) AS previous_at, snapshot_at, o_orderkey % 1000 AS value FROM o),
 i AS (SELECT * FROM p WHERE previous_at < snapshot_at),
 w AS (SELECT *, CAST(unnest(generate_series(previous_at + CAST(8 - isodow(previous_at) AS INTEGER), snapshot_at + CAST((8 - isodow(snapshot_at)) % 7 AS INTEGER), INTERVAL 7 DAY)) AS DATE) AS monday FROM i),
@@ -69,7 +69,7 @@ s AS (SELECT name, monday, sum(overlap) AS covered, sum(round(CAST(value * overl
 def _weeks(spark, d):
     from pyspark.sql import Window as W
 
-    o = table(spark, d, "orders").where("o_custkey % 20 = 0").select(F.col("o_custkey").alias("name"), F.to_date("o_orderdate").alias("snapshot_at"), "o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("name"), F.to_date("o_orderdate").alias("snapshot_at"), "o_orderkey")
     w = W.partitionBy("name").orderBy("snapshot_at", "o_orderkey")
     return o.withColumn("previous_at", F.lag("snapshot_at").over(w)).withColumn("value", F.col("o_orderkey") % 1000).where("previous_at < snapshot_at")
 
@@ -79,13 +79,13 @@ def weekly_rebucket(spark, d):
     return t.weekly(_weeks(spark, d), F.lit("1993-01-01").cast("date"), F.lit("1997-12-31").cast("date"))
 
 
-@register("monday_interpolation", """WITH o AS (SELECT o_custkey AS name, CAST(o_orderdate AS DATE) AS obs, max(o_orderkey % 1000) AS v FROM orders WHERE o_custkey % 20 = 0 GROUP BY 1, 2),
+@register("monday_interpolation", """WITH o AS (SELECT o_custkey AS name, CAST(o_orderdate AS DATE) AS obs, max(o_orderkey % 1000) AS v FROM orders GROUP BY 1, 2),
 n AS (SELECT *, lead(obs) OVER w AS to_, lead(v) OVER w AS v2 FROM o WINDOW w AS (PARTITION BY name ORDER BY obs)),
 m AS (SELECT *, CAST(unnest(generate_series(obs + CAST((8 - isodow(obs)) % 7 AS INTEGER), coalesce(to_ - 1, obs), INTERVAL 7 DAY)) AS DATE) AS monday FROM n)
 SELECT name, monday, CASE WHEN monday = obs THEN v ELSE CAST(round(CAST(v AS DECIMAL(26,6)) + CAST(round(CAST((v2 - v) * date_diff('day', obs, monday) AS DECIMAL(30,9)) / date_diff('day', obs, to_), 6) AS DECIMAL(26,6)), 0) AS BIGINT) END AS value
 FROM m WHERE monday BETWEEN DATE '1992-01-01' AND DATE '1998-12-31'""")
 def monday_interpolation(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 20 = 0").groupBy(F.col("o_custkey").alias("name"), F.to_date("o_orderdate").alias("snapshot_at")).agg(F.max(F.col("o_orderkey") % 1000).alias("value"))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("name"), F.to_date("o_orderdate").alias("snapshot_at")).agg(F.max(F.col("o_orderkey") % 1000).alias("value"))
     return t.interpolated(o, F.lit("1992-01-01").cast("date"), F.lit("1998-12-31").cast("date"), ["name"])
 
 
@@ -96,7 +96,7 @@ def without_leading_zeros(spark, d):
     return t.without_leading_zeros(rows.select("name", "day", F.when(F.col("day") < F.date_add(F.lit(lo), 20), 0).otherwise(F.col("downloads")).alias("v")), ["name"], "day", "v")
 
 
-SPAN = """WITH s AS (SELECT o_custkey AS name, o_orderdate AS obs, o_orderkey, o_orderpriority AS url FROM orders WHERE o_custkey % 10 = 0),
+SPAN = """WITH s AS (SELECT o_custkey AS name, o_orderdate AS obs, o_orderkey, o_orderpriority AS url FROM orders),
 c AS (SELECT *, lag(url) OVER (PARTITION BY name ORDER BY obs, o_orderkey) AS was, row_number() OVER (PARTITION BY name ORDER BY obs, o_orderkey) AS n FROM s),
 sp AS (SELECT name, url, obs AS valid_from, lead(obs) OVER (PARTITION BY name ORDER BY obs, o_orderkey) AS valid_to FROM c WHERE n = 1 OR url <> was)"""
 
@@ -104,7 +104,7 @@ sp AS (SELECT name, url, obs AS valid_from, lead(obs) OVER (PARTITION BY name OR
 def _spans(spark, d):
     from ..operators.windows import spans
 
-    s = table(spark, d, "orders").where("o_custkey % 10 = 0").select(F.col("o_custkey").alias("name"), F.col("o_orderdate").alias("at"), "o_orderkey", F.col("o_orderpriority").alias("url"))
+    s = table(spark, d, "orders").select(F.col("o_custkey").alias("name"), F.col("o_orderdate").alias("at"), "o_orderkey", F.col("o_orderpriority").alias("url"))
     return spans(s, ["name"], ["at", "o_orderkey"], "at", "url").select("name", "url", "valid_from", "valid_to")
 
 
@@ -140,13 +140,13 @@ def matched_metrics(spark, d):
     return t.matched_metrics(table(spark, d, "customer").select(F.col("c_custkey").alias("url")), e, F.lit(first), values=("stars",))
 
 
-@register("repository_timeline", """WITH s AS (SELECT o_custkey AS name, CAST(o_orderdate AS DATE) AS obs, CAST(o_orderkey % 7 AS BIGINT) AS rank, o_orderpriority AS url FROM orders WHERE o_custkey % 10 = 0),
+@register("repository_timeline", """WITH s AS (SELECT o_custkey AS name, CAST(o_orderdate AS DATE) AS obs, CAST(o_orderkey % 7 AS BIGINT) AS rank, o_orderpriority AS url FROM orders),
 b AS (SELECT name, obs, min([CAST(rank AS VARCHAR), url]) AS best FROM s GROUP BY 1, 2),
 r AS (SELECT name, obs, min(best) OVER (PARTITION BY name ORDER BY obs) AS best FROM b),
 c AS (SELECT *, lag(best[2]) OVER (PARTITION BY name ORDER BY obs) AS was, row_number() OVER (PARTITION BY name ORDER BY obs) AS n FROM r)
 SELECT name, best[2] AS url, obs AS valid_from, lead(obs) OVER (PARTITION BY name ORDER BY obs) AS valid_to FROM c WHERE n = 1 OR best[2] <> was""")
 def repository_timeline(spark, d):
-    s = table(spark, d, "orders").where("o_custkey % 10 = 0").select(F.col("o_custkey").alias("name"), F.to_date("o_orderdate").alias("at"), (F.col("o_orderkey") % 7).alias("rank"), F.col("o_orderpriority").alias("url"))
+    s = table(spark, d, "orders").select(F.col("o_custkey").alias("name"), F.to_date("o_orderdate").alias("at"), (F.col("o_orderkey") % 7).alias("rank"), F.col("o_orderpriority").alias("url"))
     return t.repository_timeline(s, ["name"], "at", "rank", "url")
 
 

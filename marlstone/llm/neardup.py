@@ -6,14 +6,17 @@ falls to FLOOR for a shingle of every document: passages that many documents sha
 their own documents (a shingle over HEAVY of all documents is over HEAVY / 2 in blocks that hold half of its documents, so few
 candidates remain, at most 2 / HEAVY times the mean number of shingles), then candidates are counted over all documents.
 
-Texts of equal words are one content with one signature. Contents that share a band meet in a bucket; each bucket's members are compared
-with two leaders, so that nothing grows with the square of a bucket: the member that shares most buckets with others (of edited copies
-of one text, that text) and one by hash; members of large buckets also meet in finer ones, by further samples. Pairs of which at least
-AGREE samples look equal (by four bits each) may be similar; at the limit of similarity about one in ten thousand has fewer (in
-later rounds AGREE_LATER, one in thirty, where a class has many other ways to be linked). Of its
-candidates each content tries the TRIES that agree most, verified on the whole texts. Then classes are joined, buckets that still
-hold several classes choose other leaders, and untried pairs follow, until hardly any (fewer than 1 in YIELD) is a link. Classes are
-connected components, by hooking to smaller neighbours on tables of links; no links come to the driver.
+Texts of equal words are one content with one signature. Contents that share a band meet in a bucket. Pairs of which at least AGREE
+samples look equal (by four bits each) may be similar; at the limit of similarity about one in ten thousand has fewer. Every such pair
+of a bucket is verified on the whole texts, unless its contents are in one class already or their total weights alone rule it out.
+
+Two steps see to that. The first only saves work: members of a bucket are compared with two leaders, the member that shares most
+buckets with others (of edited copies of one text, that text) and one by hash (members of large buckets also in finer ones, by further
+samples), and each content tries the TRIES that agree most; classes are joined and other leaders follow while at least one tried pair in
+YIELD is a link, so that large classes form without the square of their size. The second misses nothing: in buckets that still hold
+several classes, blocks of SIDE members meet each other, and all pairs of different classes are tried, those that agree most first
+(LEVELS), with classes joined in between. Classes are connected components, by hooking to smaller neighbours on tables of links; no links
+come to the driver.
 
 Defined results: a text without words (null, empty) is a class of its own. Fewer than five words are one shingle. Repeated rows are
 documents of one class; the representative is the row of least doc_id (null last). All columns, whatever their names, are kept.
@@ -32,18 +35,20 @@ from .common import blocks, bound_arrow, cut, shared_dir
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 9, 3
-#: Least number of samples that look equal, in the first round and in the later ones, which only join classes within a bucket.
-AGREE, AGREE_LATER = 13, 18
-#: Buckets of more members than LARGE are dealt into FINER finer ones each, by four further samples.
+#: Least number of samples that look equal.
+AGREE = 13
+#: Buckets of more members than LARGE are dealt into FINER finer ones each, by four further samples, where leaders are met.
 LARGE, FINER, TRIES = 16, 4, 3
-#: Leaders of a bucket and tries of a content in later rounds.
-LEADERS_LATER, TRIES_LATER = 8, 6
-#: Rounds end when fewer than one pair in so many that were tried is a link.
-YIELD = 200
+#: Leaders give way to all pairs when fewer than one pair in so many that were tried is a link.
+YIELD = 10
+#: Members of a block; and numbers of equal samples, least and greatest, of the pairs that are tried between two joins of classes.
+SIDE, LEVELS = 2048, ((22, BANDS * ROWS), (18, 21), (AGREE, 17))
 HEAVY, HEAVY_LEAST, FLOOR = 0.1, 50, 0.5
 #: A list of contents is broadcast up to this many rows, which is counted.
 BROADCAST_ROWS = 200_000
 BLOCK = 4_000_000
+#: Shingles that a verifying task remembers.
+REMEMBERED = 2_000_000
 
 
 #: Bytes of a word that are hashed all words at once; longer words are hashed each for itself.
@@ -255,7 +260,7 @@ def as_arrays(heavy):
 
 
 def signed(docs: DataFrame, text: str, heavy) -> DataFrame:
-    """``docs`` in one struct column ``doc``, with rid (unique), content (128-bit hash of the words, null without words) and band keys."""
+    """``docs`` in one struct column ``doc``, with rid (unique), content (128-bit hash of the words, null without words), band keys and total weight."""
 
     def run(batches):
         import numpy as np
@@ -265,12 +270,15 @@ def signed(docs: DataFrame, text: str, heavy) -> DataFrame:
 
         weights, rid = as_arrays(heavy), TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys, sigs, contents = ([None] * batch.num_rows for _ in range(3))
+            keys, sigs, contents, sums = ([None] * batch.num_rows for _ in range(4))
             h, word_ends, s, ends = shingles(batch.column("text").to_pylist())
             distinct, counts, ends = weighted_sets(s, ends)
-            logw = log_weights(distinct, counts, weights).astype(np.float32)
+            logw = log_weights(distinct, counts, weights)
             begins, at = np.concatenate([[0], ends[:-1]]), 0
             some = np.flatnonzero(ends > begins)
+            for i, w in zip(some.tolist(), np.add.reduceat(np.exp(logw), begins[some]).tolist() if len(some) else [], strict=True):
+                sums[i] = w
+            logw = logw.astype(np.float32)
             while at < len(some):  # texts of some thousand shingles at a time stay within the processor's cache
                 to = max(at + 1, int(np.searchsorted(ends[some], begins[some[at]] + 6000)))
                 here = some[at:to]
@@ -284,43 +292,120 @@ def signed(docs: DataFrame, text: str, heavy) -> DataFrame:
                     contents[i] = xxhash.xxh128_digest(h[a:b].tobytes())
             ids = pa.array(np.arange(rid, rid + batch.num_rows))
             rid += batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), ids, pa.array(contents, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], ["doc", "rid", "content", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), ids, pa.array(contents, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64())), pa.array(sums, pa.float64())], ["doc", "rid", "content", "bands", "sig", "weight"])
 
     doc = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
     rows = docs.select(doc.alias("doc"), F.col(text).alias("text"))
-    own = T._parse_datatype_string("rid long, content binary, bands array<long>, sig array<long>")
+    own = T._parse_datatype_string("rid long, content binary, bands array<long>, sig array<long>, weight double")
     return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *own.fields]))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, heavy, similarity: float) -> DataFrame:
-    """The pairs (a, b) of contents whose weighted Jaccard similarity, on the whole texts, is ``similarity`` or more."""
+    """Links (a, b) of the classes ``ra`` and ``rb`` of ``pairs`` (a, b, ra, rb) of contents whose weighted Jaccard similarity, on the whole
+    texts, is ``similarity`` or more. Pairs whose classes a task has linked already, directly or by others, are not looked at again."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        weights, kept = as_arrays(heavy), {}
+        weights, kept, up, held = as_arrays(heavy), {}, {}, 0
 
         def weighted(content, text):
+            nonlocal held
             if content not in kept:
-                if len(kept) >= 64:
+                if held > REMEMBERED:
                     kept.clear()
+                    held = 0
                 _, _, s, ends = shingles([text])
                 d, c, _ = weighted_sets(s, ends)
-                kept[content] = d, np.exp(log_weights(d, c, weights))
+                w = np.exp(log_weights(d, c, weights))
+                kept[content] = d, w, w.sum()
+                held += len(d)
             return kept[content]
 
+        def root(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
         for batch in batches:
             ok = []
-            for a, ta, b, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "b", "tb")), strict=True):
-                (da, wa), (db, wb) = weighted(a, ta), weighted(b, tb)
+            for a, ta, b, tb, ra, rb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "b", "tb", "ra", "rb")), strict=True):
+                x, y = root(ra), root(rb)
+                if x == y:
+                    ok.append(False)
+                    continue
+                (da, wa, sa), (db, wb, sb) = weighted(a, ta), weighted(b, tb)
                 _, i, j = np.intersect1d(da, db, assume_unique=True, return_indices=True)
                 low = np.minimum(wa[i], wb[j]).sum()
-                ok.append(low >= similarity * (wa.sum() + wb.sum() - low) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                ok.append(bool(low >= similarity * (sa + sb - low) - 1e-9))
+                if ok[-1]:
+                    up[x] = y
+            yield pa.RecordBatch.from_arrays([batch.column("ra"), batch.column("rb")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("content").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "ta", "b", "tb").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "ta", "b", "tb", "ra", "rb").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def several(members: DataFrame) -> DataFrame:
+    """The ``members`` of buckets that hold several classes, with the number ``n`` of members of their bucket."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    return members.join(sizes.select("bucket", "n"), "bucket")
+
+
+def all_pairs(members: DataFrame, least: int, most: int, similarity: float) -> DataFrame:
+    """(a, b, ra, rb): the pairs of ``members`` (bucket, content, sig, weight, root) of different classes that share a bucket, of which
+    ``least`` to ``most`` samples look equal and whose total weights allow the similarity.
+
+    A bucket's members are dealt into blocks of about SIDE; each two blocks, and each one with itself, meet under a key of their own.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ones, kind = np.uint64(0x1111111111111111), pa.binary()
+        for batch in batches:
+            for lo, hi, held in zip(batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), batch.column("held"), strict=True):
+                flat = held.values
+                content, root = flat.field("content"), flat.field("root").to_pylist()
+                codes: dict[bytes, int] = {}
+                r = np.fromiter((codes.setdefault(x, len(codes)) for x in root), np.int64, len(root))
+                if len(codes) < 2:
+                    continue
+                sig = [flat.field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("s0", "s1")]
+                w, side = flat.field("weight").to_numpy(zero_copy_only=False), flat.field("side").to_numpy(zero_copy_only=False)
+                left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+                ids = np.array(content.to_pylist(), object)
+                for k in range(0, len(left), 256):
+                    i = left[k : k + 256]
+                    differ = np.zeros((len(i), len(right)), np.uint8)
+                    for s in sig:
+                        x = s[i][:, None] ^ s[right][None, :]
+                        x |= x >> np.uint64(1)
+                        x |= x >> np.uint64(2)
+                        differ += np.bitwise_count(x & ones)
+                    agree = BANDS * ROWS - differ
+                    fits = (agree >= least) & (agree <= most) & (r[i][:, None] != r[right][None, :])
+                    x, y = np.nonzero(fits)
+                    x, y = i[x], right[y]
+                    fair = np.minimum(w[x], w[y]) >= similarity * np.maximum(w[x], w[y]) * (1 - 1e-6)
+                    if lo == hi:
+                        fair &= x < y
+                    x, y = x[fair], y[fair]
+                    for at in range(0, len(x), 50_000):
+                        a, b = ids[x[at : at + 50_000]], ids[y[at : at + 50_000]]
+                        swap = a > b
+                        a, b = np.where(swap, b, a), np.where(swap, a, b)
+                        ra, rb = ([root[n] for n in z[at : at + 50_000].tolist()] for z in (x, y))
+                        p, q = [min(m) for m in zip(ra, rb, strict=True)], [max(m) for m in zip(ra, rb, strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in (a.tolist(), b.tolist(), p, q)], ["a", "b", "ra", "rb"])
+
+    sides = F.ceil(F.col("n") / SIDE).cast("int")
+    dealt = several(members).withColumn("side", F.pmod(F.xxhash64("content"), sides).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
+    one = F.struct("content", "root", F.get("sig", F.lit(0)).alias("s0"), F.get("sig", F.lit(1)).alias("s1"), "weight", "side")
+    met = dealt.groupBy("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi")).agg(F.collect_list(one).alias("held"))
+    return met.select("lo", "hi", "held").mapInArrow(run, "a binary, b binary, ra binary, rb binary").dropDuplicates(["a", "b"])
 
 
 def followed(labels: DataFrame, further: DataFrame) -> DataFrame:
@@ -351,51 +436,62 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 
 
 def linked(contents: DataFrame, texts_of, heavy, similarity: float, folder: str) -> DataFrame | None:
-    """(node, root) of the contents (content, bands, sig) that are linked to others; None if none is. ``texts_of``: contents -> their texts."""
-    every = contents.select("content", "sig", F.explode("bands").alias("bucket"))
-    members = cut(every.join(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), folder)
-    score = members.groupBy("content").agg(F.sum("n").alias("score"))
-    large = members.where(F.col("n") > LARGE)
+    """(node, root) of the contents (content, bands, sig, weight) that are linked to others; None if none is. ``texts_of``: contents -> their texts."""
+    every = contents.select("content", "sig", "weight", F.explode("bands").alias("bucket"))
+    whole = cut(every.join(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), folder)
+    score = whole.groupBy("content").agg(F.sum("n").alias("score"))
+    large = whole.where(F.col("n") > LARGE)
     masks = [(sum(15 << 4 * k for k in range(4 * i, 4 * i + 4) if k < 14), sum(15 << 4 * (k - 14) for k in range(4 * i, 4 * i + 4) if k >= 14)) for i in range(FINER)]
     part = lambda i, m: F.get("sig", F.lit(i)).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))
     finer = large.select("content", "sig", F.explode(F.array(*[F.xxhash64("bucket", F.lit(i), part(0, a), part(1, b)) for i, (a, b) in enumerate(masks)])).alias("bucket"))
     finer = finer.join(finer.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "bucket").select("bucket", "content", "sig")
-    members = members.select("bucket", "content", "sig").union(finer).join(score, "content").select("bucket", "content", "sig", "score", F.col("content").alias("root"))
+    members = whole.select("bucket", "content", "sig").union(finer).join(score, "content").select("bucket", "content", "sig", "score", F.col("content").alias("root"))
     members = cut(members, folder)
     texts = labels = tried = None
+
+    def tries(pairs: DataFrame) -> tuple[int, int]:
+        """Numbers of pairs (a, b, ra, rb) and of links of their classes; the classes are joined."""
+        nonlocal texts, labels, tried
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), folder)
+        if not (n := pairs.count()):
+            return 0, 0
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        texts = texts or cut(texts_of(whole.select("content").distinct()), folder)
+        found = cut(verified(pairs, texts, heavy, similarity), folder)
+        if n_found := found.count():
+            further = components(found, folder)
+            labels = further if labels is None else cut(followed(labels, further).union(further.join(labels, "node", "left_anti")), folder)
+        return n, n_found
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        rows = rows.drop("root").withColumn("root", F.col("content"))
+        if labels is None:
+            return rows
+        return rows.drop("root").join(labels.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+
     for round_ in range(1 << 20):
         head = lambda x: F.struct(x["content"].alias("content"), x["root"].alias("root"), x["sig"].alias("sig"))
-        by_hash = lambda c, i=0: F.min(F.struct(F.xxhash64(c, "bucket", F.lit(round_), F.lit(i)).alias("h"), (-F.col("score")).alias("s"), F.col("content"), F.col("root"), F.col("sig")))
-        if round_:  # of classes drawn by hash, the member that shares most buckets; and any members
-            chosen = [by_hash(c, i) for i in range(LEADERS_LATER // 2) for c in ("root", "content")]
-        else:
-            chosen = [F.max(F.struct("score", "content", "root", "sig")), by_hash("content")]
+        by_hash = lambda c: F.min(F.struct(F.xxhash64(c, "bucket", F.lit(round_)).alias("h"), (-F.col("score")).alias("s"), F.col("content"), F.col("root"), F.col("sig")))
+        # later, of a class drawn by hash, the member that shares most buckets
+        chosen = [by_hash("root") if round_ else F.max(F.struct("score", "content", "root", "sig")), by_hash("content")]
         leaders = members.groupBy("bucket").agg(F.array(*[head(x) for x in chosen]).alias("leaders"))
-        met = members.join(leaders, "bucket").select("content", "root", "sig", F.explode("leaders").alias("leader")).where(F.col("root") != F.col("leader.root"))
-        met = met.withColumn("agree", agreement(F.col("sig"), F.col("leader.sig"))).where(F.col("agree") >= (AGREE_LATER if round_ else AGREE))
+        near = F.filter("leaders", lambda x: (F.col("root") != x["root"]) & (agreement(F.col("sig"), x["sig"]) >= AGREE))
+        met = members.join(leaders, "bucket").select("content", "root", "sig", F.explode(near).alias("leader")).withColumn("agree", agreement(F.col("sig"), F.col("leader.sig")))
         pairs = met.groupBy("content", F.col("leader.content").alias("other"), "root", F.col("leader.root").alias("other_root")).agg(F.max("agree").alias("agree"))
         pairs = pairs.withColumn("a", F.least("content", "other")).withColumn("b", F.greatest("content", "other"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         best = F.row_number().over(W.partitionBy("content").orderBy(F.desc("agree"), "other"))
-        pairs = pairs.withColumn("nth", best).where(F.col("nth") <= (TRIES_LATER if round_ else TRIES)).select("a", "b", F.least("root", "other_root").alias("ra"), F.greatest("root", "other_root").alias("rb")).distinct()
-        pairs = cut(pairs, folder)
-        if pairs.isEmpty():
-            return labels
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        texts = texts or cut(texts_of(members.select("content").distinct()), folder)
-        found = verified(pairs.select("a", "b"), texts, heavy, similarity)
-        found = cut(found if not round_ else found.join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), folder)
-        n_found = found.count()
-        if not n_found:
-            return labels
-        further = components(found, folder)
-        labels = further if labels is None else cut(followed(labels, further).union(further.join(labels, "node", "left_anti")), folder)
-        if round_ and n_found * YIELD < pairs.count():
-            return labels
-        here = members.join(further.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").withColumn("root", F.coalesce("further", "root")).drop("further")
-        several = here.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        members = cut(here.join(several, "bucket").select("bucket", "content", "sig", "score", "root"), folder)
+        pairs = pairs.withColumn("nth", best).where(F.col("nth") <= TRIES)
+        n, n_found = tries(pairs.select("a", "b", F.least("root", "other_root").alias("ra"), F.greatest("root", "other_root").alias("rb")).distinct())
+        if not n_found or n_found * YIELD < n:
+            break
+        members = cut(several(rooted(members)).drop("n"), folder)
+    rest = whole.drop("n")
+    for least, most in LEVELS:
+        rest = cut(several(rooted(rest)).drop("n"), folder)
+        tries(all_pairs(rest, least, most, similarity))
+    return labels
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -407,14 +503,14 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     table = cut(signed(docs, text, heavy), folder)
     k = f"doc.`{key}`"
     first = F.min(F.struct(F.col(k).isNull().alias("none"), F.col(k).alias("k"), F.col("rid")))
-    contents = cut(table.where(F.col("content").isNotNull()).groupBy("content").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), folder)
+    contents = cut(table.where(F.col("content").isNotNull()).groupBy("content").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.any_value("weight").alias("weight")), folder)
 
     def texts_of(needed: DataFrame) -> DataFrame:
         small = needed.count() <= BROADCAST_ROWS
         some = table.select("content", F.col(f"doc.`{text}`").alias("text")).join(F.broadcast(needed) if small else needed, "content", "left_semi")
         return some.groupBy("content").agg(F.any_value("text").alias("text"))
 
-    labels = linked(contents.select("content", "bands", "sig"), texts_of, heavy, similarity, folder)
+    labels = linked(contents.select("content", "bands", "sig", "weight"), texts_of, heavy, similarity, folder)
     named = contents.select("content", "first", "n").withColumn("root", F.col("content"))
     if labels is not None:
         named = named.drop("root").join(labels.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))

@@ -1,8 +1,9 @@
 """Secret scans with multipart credential linking, in DataFrame functions only.
 
 Base spans come from three patterns. Weak candidates (bare 32-64 character keys, service endpoints) mean little alone: they are
-reported only where a complementary part (an access identifier) stands within SCOPE characters. Both sides are put into bins of
-SCOPE characters and joined on (document, bin); a bin holds only its extreme places, so a part meets at most three rows.
+reported only where a complementary part stands within SCOPE characters: an access identifier or the other weak kind (a key within
+an endpoint's own address doesn't count as its complement). Both sides are put into bins of SCOPE characters and joined on (document,
+kind, bin); a bin holds only its extreme places, so a part meets at most three rows of a kind.
 
 Defined results: a null text is an empty one (no spans). Rows are scanned each for itself, repeated ones too; ties in start are
 ordered by kind. Texts are scanned whole. Other columns of the input don't matter.
@@ -21,8 +22,8 @@ ASSIGN = rf"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"'
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "key", "endpoint")
-#: Weak kinds. A bare key has upper and lower case letters and digits.
-KEY = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{32,64}(?![A-Za-z0-9+/=_-])"
+#: Weak kinds. A bare key has upper and lower case letters and digits, and may end in padding.
+KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+\.(?:amazonaws\.com|cloudfront\.net|core\.windows\.net|googleapis\.com)[A-Za-z0-9/._-]*"
 #: Characters within which complementary parts belong together.
 SCOPE = 512
@@ -60,37 +61,44 @@ def digest_text(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with struct column ``found``: assign, access, hex, weak (arrays of spans)."""
+    """``docs`` with struct column ``found``: assign, access, hex, key, free (keys outside endpoints), endpoint (arrays of spans)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     long_enough = lambda m: F.char_length(F.regexp_extract(m, f"^{ASSIGN}$", 2)) >= 12
+    parted = whole.contains("AKIA") | whole.rlike(ENDPOINT)  # else there is nothing that a key could belong to
+    weak = lambda spans: F.when(parted, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
     return docs.withColumn(
         "found",
         F.struct(
             spans_of(whole, ASSIGN, 0, long_enough).alias("assign"),
             spans_of(whole, ACCESS, 1).alias("access"),
             spans_of(whole, HEX, 2).alias("hex"),
-            F.when(whole.contains("AKIA"), F.concat(spans_of(whole, KEY, 3), spans_of(whole, ENDPOINT, 4))).otherwise(F.array().cast(f"array<{SPAN}>")).alias("weak"),
+            weak(spans_of(whole, KEY, 3)).alias("key"),
+            weak(spans_of(whole, f"{ENDPOINT}|{KEY}", 3, lambda m: ~m.contains(":"))).alias("free"),
+            weak(spans_of(whole, ENDPOINT, 4)).alias("endpoint"),
         ),
     )
 
 
 def linked(found: DataFrame) -> DataFrame:
-    """(row, linked): the weak spans of each row of ``found`` (row, found) that have an access identifier within SCOPE characters.
+    """(row, linked): the weak spans of each row of ``found`` (row, found) that have a complementary part within SCOPE characters.
 
-    Interval join by bins: an identifier enters the bins of its ends, and each bin keeps its least start and greatest end. Whatever
+    Interval join by bins: a part enters the bins of its ends, and each bin keeps its least start and greatest end. Whatever
     shares a bin is near enough; in the bins beside it the extreme places decide.
     """
-    parts = found.where((F.size("found.weak") > 0) & (F.size("found.access") > 0))
-    weak = parts.select("row", F.explode("found.weak").alias("w"))
+    some = [(F.size(f"found.{k}") > 0).cast("int") for k in ("access", "key", "endpoint")]
+    parts = found.where(some[0] + some[1] + some[2] > 1)
+    with_partners = lambda spans, *kinds: F.transform(spans, lambda w: F.struct(w.alias("w"), F.array(*map(F.lit, kinds)).alias("partners")))
+    weak = parts.select("row", F.explode(F.concat(with_partners("found.key", 1), with_partners("found.free", 4), with_partners("found.endpoint", 1, 3))).alias("x"))
+    weak = weak.select("row", "x.w", F.explode("x.partners").alias("partner"))
     bins = lambda s, e: F.sequence(F.floor(s / SCOPE).cast("int"), F.floor((e - 1) / SCOPE).cast("int"))
     ids = (
-        parts.select("row", F.explode("found.access").alias("a"))
-        .select("row", F.col("a.start").alias("s"), F.col("a.stop").alias("e"), F.explode(bins(F.col("a.start"), F.col("a.stop"))).alias("bin"))
-        .groupBy("row", "bin")
+        parts.select("row", F.explode(F.concat("found.access", "found.free", "found.endpoint")).alias("a"))
+        .select("row", F.col("a.kind").alias("partner"), F.col("a.start").alias("s"), F.col("a.stop").alias("e"), F.explode(bins(F.col("a.start"), F.col("a.stop"))).alias("bin"))
+        .groupBy("row", "partner", "bin")
         .agg(F.min("s").alias("first"), F.max("e").alias("last"))
     )
-    reach = weak.select("row", "w", F.explode(F.sequence(F.floor((F.col("w.start") - SCOPE) / SCOPE).cast("int"), F.floor((F.col("w.stop") + SCOPE) / SCOPE).cast("int"))).alias("bin"))
-    near = reach.join(ids, ["row", "bin"]).where((F.col("first") <= F.col("w.stop") + SCOPE) & (F.col("last") >= F.col("w.start") - SCOPE))
+    reach = weak.select("row", "w", "partner", F.explode(F.sequence(F.floor((F.col("w.start") - SCOPE) / SCOPE).cast("int"), F.floor((F.col("w.stop") + SCOPE) / SCOPE).cast("int"))).alias("bin"))
+    near = reach.join(ids, ["row", "partner", "bin"]).where((F.col("first") <= F.col("w.stop") + SCOPE) & (F.col("last") >= F.col("w.start") - SCOPE))
     return near.groupBy("row").agg(F.array_sort(F.collect_set("w")).alias("linked"))
 
 
@@ -98,13 +106,13 @@ def secret_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", out: s
     """``docs`` with struct column ``out``: n_assign, n_access, n_hex, base (sorted spans), spans (sorted, linked weak ones too).
 
     Linked spans come back by a row key made of ``key`` and the text, so that repeated rows share one result and the key is the same
-    wherever it is computed anew. Only documents with weak candidates beside an identifier send spans through the interval join.
+    wherever it is computed anew. Only documents with two kinds of parts send spans through the interval join.
     """
     row = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit(""))))
     found = find(docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"), row.alias("row")), "text")
     base = F.array_sort(F.concat("found.assign", "found.access", "found.hex"))
     sizes = {f"n_{k}": F.size(f"found.{k}").cast("long") for k in KINDS[:3]}
-    links = linked(found.select("row", "found").where((F.size("found.weak") > 0) & (F.size("found.access") > 0)))
+    links = linked(found.select("row", "found"))
     none = F.array().cast(f"array<{SPAN}>")
     secrets = F.struct(*[v.alias(k) for k, v in sizes.items()], base.alias("base"), F.array_sort(F.concat(base, F.coalesce("linked", none))).alias("spans"))
     return found.join(links, "row", "left").select("doc.*", secrets.alias(out))

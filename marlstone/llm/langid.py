@@ -236,9 +236,9 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
 
 
 def keep(docs: DataFrame, model: dict, text: str = "text", min_score: float | None = None) -> DataFrame:
-    """The rows of ``docs`` whose language is known well enough; columns as they were."""
+    """The rows of ``docs`` whose language is known well enough (any text with letters, if one language is learned); columns as they were."""
     names = ("__lang", "__score")
-    min_score = MIN_EDGE / max(1, len(model["languages"])) if min_score is None else min_score
+    min_score = min(1.0, MIN_EDGE / max(1, len(model["languages"]))) if min_score is None else min_score
     return predict(docs, model, text, names=names).where((F.col(names[0]) != "und") & (F.col(names[1]) >= min_score)).drop(*names)
 
 

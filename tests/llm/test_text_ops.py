@@ -215,3 +215,8 @@ AZURE = "https://store.core.windows.net/box"
 )
 def test_any_two_parts_are_linked(spark, text, spans):
     assert [r.spans for r in secrets.op6(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [spans]
+
+
+def test_one_language_is_kept(spark):
+    df = spark.createDataFrame([(i, f"some plain words of text {i}" if i < 20 else "12", "en") for i in range(21)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.keep(df, langid.fit(df)).collect()} == set(range(20))

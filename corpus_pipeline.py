@@ -6,6 +6,8 @@ columns of ``docs``.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from marlstone.llm import bpe, langid, mixing, neardup, secrets
 from marlstone.llm.common import cut
 
@@ -26,13 +28,21 @@ def redact_secrets(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Documents in the order of the Pfair schedule of their sources; every document stays."""
+    """Documents in the order of the Pfair schedule of their sources, which is the order of the written files; every document stays."""
     return mixing.mixed_order(docs)
 
 
 def encode_bytes(spark, docs, sf_dir):
-    """Token ids of every document."""
-    return bpe.encode(docs)
+    """Token ids of every document, in the order in which ``docs`` were written.
+
+    ``docs`` are read from files: the number in a file's name and the row's place in the file are carried through the encoding, and the
+    result is dealt and sorted by them.
+    """
+    at = F.struct("doc_id", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int").alias("part"), F.col("_metadata.row_index").alias("place"))
+    coded = bpe.encode(docs.select(at.alias("doc_id"), "text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = coded.repartitionById(n, F.least("doc_id.part", F.lit(n - 1))).sortWithinPartitions("doc_id.part", "doc_id.place")
+    return ordered.select("doc_id.doc_id", "ids")
 
 
 STAGES = [

@@ -243,3 +243,19 @@ def test_near_copies_that_share_a_passage_with_many(spark):
     have = grouped([r.doc_id for r in got], [r.class_id for r in got])
     want = grouped([i for i, _ in rows], brute_classes(rows, neardup.heavy_shingles(df, "text")))
     assert sum(want.values()) == 200 and sum((want - have).values()) <= 4 and not {k for k in have - want if len(k) > 2}
+
+
+def test_the_pipeline_gives_the_order_of_the_schedule(spark):
+    import corpus_pipeline
+    from marlstone.llm.common import cut
+
+    df = spark.range(700).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), "id").alias("text"), F.when(F.col("id") < 500, "hot").when(F.col("id") < 650, "b").otherwise("c").alias("source"))
+    held = {"hot": list(range(500)), "b": list(range(500, 650)), "c": list(range(650, 700))}
+    shares = mixing.rounded(mixing.target_weights({k: len(v) for k, v in held.items()}), mixing.RESOLUTION)
+    want = []
+    for source, j, _ in mixing.schedule(shares):
+        want += held[source][(j - 1) * mixing.BLOCK_ROWS : j * mixing.BLOCK_ROWS]
+    now = df
+    for name, stage in corpus_pipeline.STAGES[-2:]:
+        now = cut(stage(spark, now, None)) if name == "mix_sources" else stage(spark, now, None)
+    assert len(want) == 700 and [r.doc_id for r in now.collect()] == want

@@ -259,3 +259,10 @@ def test_the_pipeline_gives_the_order_of_the_schedule(spark):
     for name, stage in corpus_pipeline.STAGES[-2:]:
         now = cut(stage(spark, now, None)) if name == "mix_sources" else stage(spark, now, None)
     assert len(want) == 700 and [r.doc_id for r in now.collect()] == want
+
+
+def test_unrelated_documents_do_not_end_the_search(spark):
+    rows = edited_pairs(60, 200)
+    got = neardup.op8(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    together = grouped([r.doc_id for r in got], [r.class_id for r in got])
+    assert sum((2 * i, 2 * i + 1) in together for i in range(60)) >= 58 and all(len(k) <= 2 for k in together)

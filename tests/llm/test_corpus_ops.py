@@ -266,3 +266,15 @@ def test_unrelated_documents_do_not_end_the_search(spark):
     got = neardup.op8(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     together = grouped([r.doc_id for r in got], [r.class_id for r in got])
     assert sum((2 * i, 2 * i + 1) in together for i in range(60)) >= 58 and all(len(k) <= 2 for k in together)
+
+
+def test_the_pipeline_checks_decoded_bytes(spark, monkeypatch):
+    import corpus_pipeline
+    from marlstone.llm.common import cut
+
+    now = cut(spark.createDataFrame([(1, "some text é"), (2, None)], "doc_id long, text string"))
+    assert corpus_pipeline.encode_bytes(spark, now, None).count() == 2
+    decode = corpus_pipeline.bpe.decode
+    monkeypatch.setattr(corpus_pipeline.bpe, "decode", lambda coded: decode(coded).withColumn("decoded", F.lit(b"other")))
+    with pytest.raises(Exception, match="decoded ids differ"):
+        corpus_pipeline.encode_bytes(spark, now, None).collect()

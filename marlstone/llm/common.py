@@ -21,9 +21,11 @@ def bound_arrow(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a default below /tmp is set only where that is unset (tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``. Only a session on one machine (tests) gets a default where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"

@@ -1,22 +1,26 @@
 """MinHash near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 Shingles are five consecutive words, by 64-bit hash. A shingle's weight in a text is 1 + log10 of its count there (a line repeated a
-hundred times doesn't make two texts alike) times its inverse document frequency, which is 1 below a document frequency of HEAVY and
-falls to FLOOR for a shingle of every document: passages that many documents share count for less. Frequent shingles are found exactly, in two scans: blocks report what is frequent among
-their own documents (a shingle over HEAVY of all documents is over HEAVY / 2 in blocks that hold half of its documents, so few
-candidates remain, at most 2 / HEAVY times the mean number of shingles), then candidates are counted over all documents.
-
-Texts of equal words are one content with one signature. Contents that share a band meet in a bucket. Pairs of which at least AGREE
-samples look equal (by four bits each) may be similar; at the limit of similarity about one in ten thousand has fewer. Every such pair
-of a bucket is verified on the whole texts, unless its contents are in one class already or their total weights alone rule it out.
-
-Two steps see to that. The first only saves work: members of a bucket are compared with two leaders, the member that shares most
-buckets with others (of edited copies of one text, that text) and one by hash (members of large buckets also in finer ones, by further
-samples), and each content tries the TRIES that agree most; classes are joined and other leaders follow while at least one tried pair in
-YIELD is a link, so that large classes form without the square of their size. The second misses nothing: in buckets that still hold
-several classes, blocks of SIDE members meet each other, and all pairs of different classes are tried, those that agree most first
-(LEVELS), with classes joined in between. Classes are connected components, by hooking to smaller neighbours on tables of links; no links
-come to the driver.
+hundred times doesn't make two texts alike) times its inverse document frequency: FLOOR + (1 - FLOOR) * log((N + PRIOR) / n) /
+log(FREQUENT), at most 1, for n of N documents. So a shingle of every document weighs about FLOOR, and those of less than one document in
+FREQUENT weigh 1: below that, counts of a bounded size tell no frequencies apart. PRIOR empty documents are added, so that a small
+table has no other rule. Document frequencies are exact, in two scans: blocks report what reaches one in 2 * FREQUENT of their own
+documents (a shingle over the limit does so in blocks that hold half of its documents, so few candidates remain: at most 2 * FREQUENT
+times the mean number of a document's shingles), then candidates are counted over all documents.
+
+Texts of equal words are one content with one signature. Contents that share a band meet in a bucket; of buckets with the same members
+one is kept. The members of a bucket are dealt into blocks (SIDE members, LOAD shingles), and all pairs of a block are compared exactly, as
+one product of the block's matrix of shingle weights; a block answers with a spanning forest of its links, never with its pairs. Nothing
+but sharing no band keeps a link from being found. Buckets of several blocks take more steps:
+
+1. Each block also holds two leaders of the bucket (the member that shares most buckets with others, as the original of edited copies
+   does, and one by hash), so that large classes form without the square of their size. Buckets of one class are done then.
+2. A member with more than 1 - similarity of its weight in shingles that no other member of the bucket has can be similar to none, and
+   goes: that is what texts are that merely share a passage. Shingles are counted by blocks and parts, linear in the bucket's size.
+3. What remains is dealt into blocks of the bucket's largest class and blocks of the rest. Each two blocks meet under a key of their own,
+   but two of the largest class don't. So work grows with the number of members times that of members outside the largest class.
+
+Classes are connected components, by hooking to smaller neighbours on tables of links; no links come to the driver.
 
 Defined results: a text without words (null, empty) is a class of its own. Fewer than five words are one shingle. Repeated rows are
 documents of one class; the representative is the row of least doc_id (null last). All columns, whatever their names, are kept.
@@ -29,26 +33,21 @@ from math import log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from .common import blocks, bound_arrow, cut, shared_dir
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 9, 3
-#: Least number of samples that look equal.
-AGREE = 13
-#: Buckets of more members than LARGE are dealt into FINER finer ones each, by four further samples, where leaders are met.
-LARGE, FINER, TRIES = 16, 4, 3
-#: Leaders give way to all pairs when fewer than one pair in so many that were tried is a link.
-YIELD = 10
-#: Members of a block; and numbers of equal samples, least and greatest, of the pairs that are tried between two joins of classes.
-SIDE, LEVELS = 2048, ((22, BANDS * ROWS), (18, 21), (AGREE, 17))
-HEAVY, HEAVY_LEAST, FLOOR = 0.1, 50, 0.5
+#: Members and shingles of a block, about.
+SIDE, LOAD = 512, 400_000
+#: Shingles of one document in FREQUENT, or more, have an idf below 1; FLOOR is that of a shingle of all documents, PRIOR documents are added.
+FREQUENT, PRIOR, FLOOR = 1000, 1000, 0.5
 #: A list of contents is broadcast up to this many rows, which is counted.
 BROADCAST_ROWS = 200_000
-BLOCK = 4_000_000
-#: Shingles that a verifying task remembers.
-REMEMBERED = 2_000_000
+#: Bytes of text that are hashed at a time, and of those whose shingles are counted together.
+BLOCK, COUNTED = 4_000_000, 32_000_000
+#: Entries of a block's dense matrix at a time.
+DENSE = 4_000_000
 
 
 #: Bytes of a word that are hashed all words at once; longer words are hashed each for itself.
@@ -126,15 +125,21 @@ def weighted_sets(s, ends):
     return s[first], np.diff([*first, len(s)]), np.searchsorted(first, ends)
 
 
-def log_weights(distinct, counts, heavy):
-    """log of (1 + log10 of the count) times inverse document frequency. ``heavy``: sorted hashes and their idf."""
+def weights_of(distinct, counts, heavy):
+    """(1 + log10 of the count) times inverse document frequency. ``heavy``: sorted hashes and their idf."""
     import numpy as np
 
     w = 1 + np.log10(counts.astype(np.float64))
     if len(heavy[0]) and len(distinct):
         at = np.minimum(np.searchsorted(heavy[0], distinct), len(heavy[0]) - 1)
         w = np.where(heavy[0][at] == distinct, w * heavy[1][at], w)
-    return np.log(w)
+    return w
+
+
+def log_weights(distinct, counts, heavy):
+    import numpy as np
+
+    return np.log(weights_of(distinct, counts, heavy))
 
 
 def samples(hashes, logw, starts):
@@ -190,55 +195,34 @@ def band_keys(sampled):
     return out
 
 
-def nibbles(sampled):
-    """sets x 2: four bits of each sample, packed into two integers."""
-    import numpy as np
-
-    bits, half = sampled >> np.uint64(60), (len(sampled) + 1) // 2
-    out = np.zeros((sampled.shape[1], 2), np.uint64)
-    for k, b in enumerate(bits):
-        out[:, k // half] |= b << np.uint64(4 * (k % half))
-    return out.view(np.int64)
-
-
-def agreement(a, b):
-    """Samples that look equal, of two columns of :func:`nibbles` arrays."""
-    differ = F.lit(0)
-    for i in range(2):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        differ = differ + F.bit_count(x)
-    return F.lit(BANDS * ROWS) - differ
-
-
 def heavy_shingles(docs: DataFrame, text: str) -> list[tuple[int, float]]:
-    """(hash, idf) of the shingles in HEAVY of all documents or more (HEAVY_LEAST at least)."""
+    """(hash, idf) of the shingles whose idf is below 1."""
 
     def local(batches):
         import numpy as np
         import pyarrow as pa
 
-        for table in blocks(batches, text, BLOCK):
+        for table in blocks(batches, text, COUNTED):
             found = table.num_rows
             distinct, counts = np.unique(shingles(table.column(text).to_pylist())[2], return_counts=True)
-            often = counts >= max(1, HEAVY / 2 * found)  # places, which are no fewer than documents
+            often = counts >= found / (2 * FREQUENT)  # places, which are no fewer than documents
             yield pa.RecordBatch.from_arrays([pa.array(distinct[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.array(np.zeros(int(often.sum()), np.int64))], ["s", "n", "docs"])
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([found], pa.int64())], ["s", "n", "docs"])
 
-    sums = cut(docs.select(text).mapInArrow(local, "s long, n long, docs long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    sums = cut(docs.select(text).mapInArrow(local, "s long, n long, docs long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(f"s is null or n > {PRIOR / FREQUENT}"))
     total = sums.where("s is null").agg(F.sum("docs")).first()[0] or 0
-    least = max(HEAVY * total, HEAVY_LEAST)
-    some = sums.where(F.col("s").isNotNull() & (F.col("n") >= least / 2)).select("s")
-    chosen = sorted(r["s"] for r in some.collect()) if total >= HEAVY_LEAST else []
-    if not chosen:
+    least = (total + PRIOR) / FREQUENT
+    # blocks that report nothing hold less than total / (2 * FREQUENT) of a shingle's documents
+    some = sums.where(F.col("s").isNotNull() & (F.col("n") > least - total / (2 * FREQUENT))).select("s")
+    chosen = some.toArrow().column("s").to_numpy()
+    if not len(chosen):
         return []
 
     def exact(batches):
         import numpy as np
         import pyarrow as pa
 
-        wanted = np.sort(np.array(chosen, np.int64).view(np.uint64))
+        wanted = np.sort(chosen.view(np.uint64))
         counts = np.zeros(len(wanted), np.int64)
         for table in blocks(batches, text, BLOCK):
             _, _, s, ends = shingles(table.column(text).to_pylist())
@@ -246,10 +230,11 @@ def heavy_shingles(docs: DataFrame, text: str) -> list[tuple[int, float]]:
             hits = np.flatnonzero(wanted[at] == s)
             in_doc = np.unique(np.searchsorted(ends, hits, "right") * len(wanted) + at[hits])
             counts += np.bincount(in_doc % len(wanted), minlength=len(wanted))
-        yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(counts)], ["s", "n"])
+        some = counts > 0
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(counts[some])], ["s", "n"])
 
-    rows = docs.select(text).mapInArrow(exact, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
-    return [(r["s"], FLOOR + (1 - FLOOR) * log(total / r["n"]) / log(max(total / least, 1 + 1e-9))) for r in rows]
+    rows = docs.select(text).mapInArrow(exact, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > least).toArrow()
+    return [(s, FLOOR + (1 - FLOOR) * log((total + PRIOR) / n) / log(FREQUENT)) for s, n in zip(rows["s"].to_pylist(), rows["n"].to_pylist(), strict=True)]
 
 
 def as_arrays(heavy):
@@ -260,7 +245,8 @@ def as_arrays(heavy):
 
 
 def signed(docs: DataFrame, text: str, heavy) -> DataFrame:
-    """``docs`` in one struct column ``doc``, with rid (unique), content (128-bit hash of the words, null without words), band keys and total weight."""
+    """``docs`` in one struct column ``doc``, with rid (unique), content (128-bit hash of the words, null without words), band keys and number of distinct shingles."""
+    known = as_arrays(heavy)
 
     def run(batches):
         import numpy as np
@@ -268,144 +254,238 @@ def signed(docs: DataFrame, text: str, heavy) -> DataFrame:
         import xxhash
         from pyspark import TaskContext
 
-        weights, rid = as_arrays(heavy), TaskContext.get().partitionId() << 33
+        rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys, sigs, contents, sums = ([None] * batch.num_rows for _ in range(4))
+            keys, contents = ([None] * batch.num_rows for _ in range(2))
             h, word_ends, s, ends = shingles(batch.column("text").to_pylist())
             distinct, counts, ends = weighted_sets(s, ends)
-            logw = log_weights(distinct, counts, weights)
+            logw = log_weights(distinct, counts, known).astype(np.float32)
             begins, at = np.concatenate([[0], ends[:-1]]), 0
             some = np.flatnonzero(ends > begins)
-            for i, w in zip(some.tolist(), np.add.reduceat(np.exp(logw), begins[some]).tolist() if len(some) else [], strict=True):
-                sums[i] = w
-            logw = logw.astype(np.float32)
             while at < len(some):  # texts of some thousand shingles at a time stay within the processor's cache
                 to = max(at + 1, int(np.searchsorted(ends[some], begins[some[at]] + 6000)))
                 here = some[at:to]
                 low, high = begins[here[0]], ends[here[-1]]
                 sampled = samples(distinct[low:high], logw[low:high], begins[here] - low)
-                for i, k, sig in zip(here.tolist(), band_keys(sampled).tolist(), nibbles(sampled).tolist(), strict=True):
-                    keys[i], sigs[i] = k, sig
+                for i, k in zip(here.tolist(), band_keys(sampled).tolist(), strict=True):
+                    keys[i] = k
                 at = to
             for i, (a, b) in enumerate(zip([0, *word_ends[:-1].tolist()], word_ends.tolist(), strict=True)):
                 if b > a:
                     contents[i] = xxhash.xxh128_digest(h[a:b].tobytes())
             ids = pa.array(np.arange(rid, rid + batch.num_rows))
             rid += batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), ids, pa.array(contents, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64())), pa.array(sums, pa.float64())], ["doc", "rid", "content", "bands", "sig", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), ids, pa.array(contents, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(ends - begins, pa.int64())], ["doc", "rid", "content", "bands", "size"])
 
     doc = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
     rows = docs.select(doc.alias("doc"), F.col(text).alias("text"))
-    own = T._parse_datatype_string("rid long, content binary, bands array<long>, sig array<long>, weight double")
+    own = T._parse_datatype_string("rid long, content binary, bands array<long>, size long")
     return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *own.fields]))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, heavy, similarity: float) -> DataFrame:
-    """Links (a, b) of the classes ``ra`` and ``rb`` of ``pairs`` (a, b, ra, rb) of contents whose weighted Jaccard similarity, on the whole
-    texts, is ``similarity`` or more. Pairs whose classes a task has linked already, directly or by others, are not looked at again."""
+def sets_of(texts: DataFrame) -> DataFrame:
+    """(content, shingles, at, times) of ``texts`` (content, text): distinct shingles in order, and the places and counts of repeated ones."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        weights, kept, up, held = as_arrays(heavy), {}, {}, 0
-
-        def weighted(content, text):
-            nonlocal held
-            if content not in kept:
-                if held > REMEMBERED:
-                    kept.clear()
-                    held = 0
-                _, _, s, ends = shingles([text])
-                d, c, _ = weighted_sets(s, ends)
-                w = np.exp(log_weights(d, c, weights))
-                kept[content] = d, w, w.sum()
-                held += len(d)
-            return kept[content]
-
-        def root(x):
-            while (y := up.get(x, x)) != x:
-                up[x] = x = up.get(y, y)
-            return x
-
+        listed = lambda values, ends: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
         for batch in batches:
-            ok = []
-            for a, ta, b, tb, ra, rb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "b", "tb", "ra", "rb")), strict=True):
-                x, y = root(ra), root(rb)
-                if x == y:
-                    ok.append(False)
-                    continue
-                (da, wa, sa), (db, wb, sb) = weighted(a, ta), weighted(b, tb)
-                _, i, j = np.intersect1d(da, db, assume_unique=True, return_indices=True)
-                low = np.minimum(wa[i], wb[j]).sum()
-                ok.append(bool(low >= similarity * (sa + sb - low) - 1e-9))
-                if ok[-1]:
-                    up[x] = y
-            yield pa.RecordBatch.from_arrays([batch.column("ra"), batch.column("rb")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    both = pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("content").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "ta", "b", "tb", "ra", "rb").mapInArrow(run, "a binary, b binary").distinct()
+            _, _, s, ends = shingles(batch.column("text").to_pylist())
+            distinct, counts, ends = weighted_sets(s, ends)
+            more = np.flatnonzero(counts > 1)
+            begins = np.concatenate([[0], ends[:-1]])
+            place = (more - begins[np.searchsorted(ends, more, "right")]).astype(np.int32)
+            more_ends = np.searchsorted(more, ends)
+            columns = [batch.column("content"), listed(distinct.view(np.int64), ends), listed(place, more_ends), listed(counts[more].astype(np.int32), more_ends)]
+            yield pa.RecordBatch.from_arrays(columns, ["content", "shingles", "at", "times"])
 
+    return texts.select("content", "text").mapInArrow(run, "content binary, shingles array<long>, at array<int>, times array<int>")
 
-def several(members: DataFrame) -> DataFrame:
-    """The ``members`` of buckets that hold several classes, with the number ``n`` of members of their bucket."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    return members.join(sizes.select("bucket", "n"), "bucket")
 
+def block_rows(members: DataFrame, sets: DataFrame, *keys: str) -> DataFrame:
+    """One row for each block of ``members`` (``keys``, content, root): ``keys`` and ``held``, its members with their sets."""
+    one = F.struct("content", "root", "shingles", "at", "times")
+    return members.join(sets, "content").groupBy(*keys).agg(F.collect_list(one).alias("held"))
 
-def all_pairs(members: DataFrame, least: int, most: int, similarity: float) -> DataFrame:
-    """(a, b, ra, rb): the pairs of ``members`` (bucket, content, sig, weight, root) of different classes that share a bucket, of which
-    ``least`` to ``most`` samples look equal and whose total weights allow the similarity.
 
-    A bucket's members are dealt into blocks of about SIDE; each two blocks, and each one with itself, meet under a key of their own.
-    """
+class Block:
+    """The members of one row of :func:`block_rows`: content, root, and shingles and weights of all, with ``who`` has them."""
+
+    def __init__(self, held, heavy):
+        import numpy as np
+
+        flat = held.values
+        self.content, self.root = flat.field("content").to_pylist(), flat.field("root").to_pylist()
+        parts = {}
+        for name in ("shingles", "at", "times"):
+            column = flat.field(name)
+            ends = column.offsets.to_numpy()
+            parts[name] = column.values.to_numpy()[ends[0] : ends[-1]], np.diff(ends)
+        self.shingles, sizes = parts["shingles"][0].view(np.uint64), parts["shingles"][1]
+        begins, (at, more), counts = np.cumsum(sizes) - sizes, parts["at"], np.ones(len(self.shingles), np.int64)
+        counts[np.repeat(begins, more) + at] = parts["times"][0]
+        self.weights, self.who = weights_of(self.shingles, counts, heavy), np.repeat(np.arange(len(sizes)), sizes)
+        self.total = np.bincount(self.who, self.weights, len(sizes))
+
+    def common(self):
+        """Sums of the lesser weights, members x members.
+
+        A shingle of several weights stands in one column for each of them, with what that weight has more than the one below, so that
+        lesser weights are products of columns. Columns of one member don't matter; those of two are added one by one.
+        """
+        import numpy as np
+
+        m = len(self.total)
+        order = np.lexsort((self.weights, self.shingles))
+        s, w, who = self.shingles[order], self.weights[order], self.who[order]
+        fresh = np.ones(len(s), bool)
+        fresh[1:] = s[1:] != s[:-1]
+        column = fresh.copy()
+        column[1:] |= w[1:] != w[:-1]
+        more = w.copy()
+        more[1:] -= np.where(fresh[1:], 0, w[:-1])
+        more, col = more[column], np.cumsum(column) - 1
+        lowest = np.repeat(col[fresh], np.diff([*np.flatnonzero(fresh), len(s)]))
+        depth = col - lowest + 1
+        if len(depth) and depth.max() > 1:
+            who = np.repeat(who, depth)
+            col = np.repeat(lowest, depth) + np.arange(len(who)) - np.repeat(np.cumsum(depth) - depth, depth)
+            order = np.argsort(col, kind="stable")
+            who, col = who[order], col[order]
+        n = np.bincount(col, minlength=len(more))
+        out = np.zeros((m, m))
+        first = np.flatnonzero(n[col] == 2)[::2]
+        np.add.at(out, (who[first], who[first + 1]), more[col[first]])
+        out += out.T
+        many = np.flatnonzero(n > 2)
+        begins = np.cumsum(n) - n
+        step = max(1, DENSE // max(1, m))
+        for k in range(0, len(many), step):
+            cols = many[k : k + step]
+            x = np.zeros((m, len(cols)))
+            sizes = n[cols]
+            at = np.repeat(begins[cols] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            x[who[at], np.repeat(np.arange(len(cols)), sizes)] = np.repeat(np.sqrt(more[cols]), sizes)
+            out += x @ x.T
+        return out
+
+    def links(self, similarity: float) -> list[tuple[bytes, bytes]]:
+        """Roots of similar members of different roots: a spanning forest of them."""
+        import numpy as np
+
+        codes: dict[bytes, int] = {}
+        label = np.array([codes.setdefault(r, len(codes)) for r in self.root])
+        if len(codes) < 2:
+            return []
+        common, found = self.common(), []
+        near = common >= similarity * (self.total[:, None] + self.total[None, :] - common) - 1e-9
+        for i in range(len(label)):
+            others = np.flatnonzero(near[i] & (label != label[i]))
+            if len(others):
+                classes, first = np.unique(label[others], return_index=True)
+                found += [(self.root[i], self.root[j]) for j in others[first].tolist()]
+                label[np.isin(label, classes)] = label[i]
+        return found
+
+    def rarely_shared(self, elsewhere, similarity: float):
+        """Members more than 1 - ``similarity`` of whose weight is in shingles that no other has, here or in ``elsewhere`` (sorted)."""
+        import numpy as np
+
+        _, back, n = np.unique(self.shingles, return_inverse=True, return_counts=True)
+        own = n[back] == 1
+        if len(elsewhere):
+            own &= elsewhere[np.minimum(np.searchsorted(elsewhere, self.shingles), len(elsewhere) - 1)] != self.shingles
+        return np.bincount(self.who, self.weights * own, len(self.total)) > (1 - similarity) * self.total + 1e-9
+
+
+def compared(members: DataFrame, sets: DataFrame, heavy, similarity: float, *keys: str) -> DataFrame:
+    """Links (a, b) between roots of ``members`` (``keys``, content, root) that meet under the same keys."""
+    known = as_arrays(heavy)
 
     def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for held in batch.column("held"):
+                if found := Block(held, known).links(similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    return block_rows(members, sets, *keys).select("held").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def linkable(members: DataFrame, sets: DataFrame, heavy, similarity: float, folder: str) -> DataFrame:
+    """The ``members`` (bucket, sides, content, root) that may be similar to another of their bucket by what they share at all."""
+    known = as_arrays(heavy)
+
+    def own(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for bucket, side, sides, held in zip(*(batch.column(c).to_pylist() for c in ("bucket", "side", "sides")), batch.column("held"), strict=True):
+                distinct = np.unique(Block(held, known).shingles)
+                part = (distinct >> np.uint64(33)) % np.uint64(sides)
+                for p in np.unique(part).tolist():
+                    some = distinct[part == p].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([side], pa.int32()), pa.array([p], pa.int32()), pa.array([some], pa.list_(pa.int64()))], ["bucket", "side", "part", "own"])
+
+    def repeated(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for bucket, blocks_ in zip(batch.column("bucket").to_pylist(), batch.column("blocks"), strict=True):
+                flat = blocks_.values
+                sides, lists = flat.field("side").to_pylist(), flat.field("own")
+                arrays = [x.values.to_numpy() for x in lists]
+                values, n = np.unique(np.concatenate(arrays), return_counts=True)
+                several = values[n > 1]
+                for side, x in zip(sides, arrays, strict=True):
+                    shared = x[np.isin(x, several)]
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([side], pa.int32()), pa.array([shared], pa.list_(pa.int64()))], ["bucket", "side", "shared"])
+
+    def chosen(batches):
         import numpy as np
         import pyarrow as pa
 
-        ones, kind = np.uint64(0x1111111111111111), pa.binary()
         for batch in batches:
-            for lo, hi, held in zip(batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), batch.column("held"), strict=True):
-                flat = held.values
-                content, root = flat.field("content"), flat.field("root").to_pylist()
-                codes: dict[bytes, int] = {}
-                r = np.fromiter((codes.setdefault(x, len(codes)) for x in root), np.int64, len(root))
-                if len(codes) < 2:
-                    continue
-                sig = [flat.field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("s0", "s1")]
-                w, side = flat.field("weight").to_numpy(zero_copy_only=False), flat.field("side").to_numpy(zero_copy_only=False)
-                left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-                ids = np.array(content.to_pylist(), object)
-                for k in range(0, len(left), 256):
-                    i = left[k : k + 256]
-                    differ = np.zeros((len(i), len(right)), np.uint8)
-                    for s in sig:
-                        x = s[i][:, None] ^ s[right][None, :]
-                        x |= x >> np.uint64(1)
-                        x |= x >> np.uint64(2)
-                        differ += np.bitwise_count(x & ones)
-                    agree = BANDS * ROWS - differ
-                    fits = (agree >= least) & (agree <= most) & (r[i][:, None] != r[right][None, :])
-                    x, y = np.nonzero(fits)
-                    x, y = i[x], right[y]
-                    fair = np.minimum(w[x], w[y]) >= similarity * np.maximum(w[x], w[y]) * (1 - 1e-6)
-                    if lo == hi:
-                        fair &= x < y
-                    x, y = x[fair], y[fair]
-                    for at in range(0, len(x), 50_000):
-                        a, b = ids[x[at : at + 50_000]], ids[y[at : at + 50_000]]
-                        swap = a > b
-                        a, b = np.where(swap, b, a), np.where(swap, a, b)
-                        ra, rb = ([root[n] for n in z[at : at + 50_000].tolist()] for z in (x, y))
-                        p, q = [min(m) for m in zip(ra, rb, strict=True)], [max(m) for m in zip(ra, rb, strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in (a.tolist(), b.tolist(), p, q)], ["a", "b", "ra", "rb"])
-
-    sides = F.ceil(F.col("n") / SIDE).cast("int")
-    dealt = several(members).withColumn("side", F.pmod(F.xxhash64("content"), sides).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
-    one = F.struct("content", "root", F.get("sig", F.lit(0)).alias("s0"), F.get("sig", F.lit(1)).alias("s1"), "weight", "side")
-    met = dealt.groupBy("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi")).agg(F.collect_list(one).alias("held"))
-    return met.select("lo", "hi", "held").mapInArrow(run, "a binary, b binary, ra binary, rb binary").dropDuplicates(["a", "b"])
+            for bucket, shared, held in zip(batch.column("bucket").to_pylist(), batch.column("shared"), batch.column("held"), strict=True):
+                block = Block(held, known)
+                elsewhere = np.sort(shared.values.to_numpy().view(np.uint64)) if shared.is_valid else np.zeros(0, np.uint64)
+                kept = np.flatnonzero(~block.rarely_shared(elsewhere, similarity)).tolist()
+                columns = [pa.array([bucket] * len(kept), pa.int64()), *(pa.array([x[i] for i in kept], pa.binary()) for x in (block.content, block.root))]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "content", "root"])
+
+    held = cut(block_rows(members.withColumn("side", F.pmod(F.xxhash64("content"), "sides").cast("int")), sets, "bucket", "side", "sides"), folder)
+    parts = held.select("bucket", "side", "sides", "held").mapInArrow(own, "bucket long, side int, part int, own array<long>")
+    shared = parts.groupBy("bucket", "part").agg(F.collect_list(F.struct("side", "own")).alias("blocks")).select("bucket", "blocks").mapInArrow(repeated, "bucket long, side int, shared array<long>")
+    shared = shared.groupBy("bucket", "side").agg(F.flatten(F.collect_list("shared")).alias("shared"))
+    return held.join(shared, ["bucket", "side"], "left").select("bucket", "shared", "held").mapInArrow(chosen, "bucket long, content binary, root binary")
+
+
+def several(members: DataFrame) -> DataFrame:
+    """The ``members`` (bucket, content, root) of buckets that hold several classes."""
+    kinds = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    return members.join(kinds.select("bucket"), "bucket", "left_semi")
+
+
+def block_pairs(members: DataFrame, sides) -> DataFrame:
+    """(bucket, lo, hi, content, root): blocks of each bucket's largest class (lo below 0) meet the blocks of its other ``members``, which meet each other."""
+    n = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    # shares of the bucket's blocks
+    whole = n.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all")).join(sides, "bucket")
+    share = lambda x: F.greatest(F.lit(1), F.ceil(x * F.col("sides") / F.col("n_all")).cast("int"))
+    whole = whole.select("bucket", "major", share(F.col("n_major")).alias("a"), share(F.col("n_all") - F.col("n_major")).alias("b"))
+    placed = members.join(whole, "bucket").withColumn("of_major", F.col("root") == F.col("major"))
+    side = F.pmod(F.xxhash64("content", F.lit(2)), F.when(F.col("of_major"), F.col("a")).otherwise(F.col("b"))).cast("int")
+    key = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    rest = F.sequence(F.lit(0), F.col("b") - 1)
+    of_major = F.transform(rest, lambda k: key(-1 - F.col("side"), k))
+    of_rest = F.concat(F.transform(F.sequence(F.lit(1), F.col("a")), lambda k: key(-k, F.col("side"))), F.transform(rest, lambda k: key(F.least(k, "side"), F.greatest(k, "side"))))
+    met = placed.withColumn("side", side).select("bucket", "content", "root", F.explode(F.when(F.col("of_major"), of_major).otherwise(of_rest)).alias("k"))
+    return met.select("bucket", "k.lo", "k.hi", "content", "root")
 
 
 def followed(labels: DataFrame, further: DataFrame) -> DataFrame:
@@ -436,62 +516,35 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 
 
 def linked(contents: DataFrame, texts_of, heavy, similarity: float, folder: str) -> DataFrame | None:
-    """(node, root) of the contents (content, bands, sig, weight) that are linked to others; None if none is. ``texts_of``: contents -> their texts."""
-    every = contents.select("content", "sig", "weight", F.explode("bands").alias("bucket"))
-    whole = cut(every.join(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), folder)
-    score = whole.groupBy("content").agg(F.sum("n").alias("score"))
-    large = whole.where(F.col("n") > LARGE)
-    masks = [(sum(15 << 4 * k for k in range(4 * i, 4 * i + 4) if k < 14), sum(15 << 4 * (k - 14) for k in range(4 * i, 4 * i + 4) if k >= 14)) for i in range(FINER)]
-    part = lambda i, m: F.get("sig", F.lit(i)).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))
-    finer = large.select("content", "sig", F.explode(F.array(*[F.xxhash64("bucket", F.lit(i), part(0, a), part(1, b)) for i, (a, b) in enumerate(masks)])).alias("bucket"))
-    finer = finer.join(finer.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "bucket").select("bucket", "content", "sig")
-    members = whole.select("bucket", "content", "sig").union(finer).join(score, "content").select("bucket", "content", "sig", "score", F.col("content").alias("root"))
-    members = cut(members, folder)
-    texts = labels = tried = None
-
-    def tries(pairs: DataFrame) -> tuple[int, int]:
-        """Numbers of pairs (a, b, ra, rb) and of links of their classes; the classes are joined."""
-        nonlocal texts, labels, tried
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), folder)
-        if not (n := pairs.count()):
-            return 0, 0
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        texts = texts or cut(texts_of(whole.select("content").distinct()), folder)
-        found = cut(verified(pairs, texts, heavy, similarity), folder)
-        if n_found := found.count():
-            further = components(found, folder)
-            labels = further if labels is None else cut(followed(labels, further).union(further.join(labels, "node", "left_anti")), folder)
-        return n, n_found
-
-    def rooted(rows: DataFrame) -> DataFrame:
-        rows = rows.drop("root").withColumn("root", F.col("content"))
-        if labels is None:
-            return rows
-        return rows.drop("root").join(labels.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-
-    for round_ in range(1 << 20):
-        head = lambda x: F.struct(x["content"].alias("content"), x["root"].alias("root"), x["sig"].alias("sig"))
-        by_hash = lambda c: F.min(F.struct(F.xxhash64(c, "bucket", F.lit(round_)).alias("h"), (-F.col("score")).alias("s"), F.col("content"), F.col("root"), F.col("sig")))
-        # later, of a class drawn by hash, the member that shares most buckets
-        chosen = [by_hash("root") if round_ else F.max(F.struct("score", "content", "root", "sig")), by_hash("content")]
-        leaders = members.groupBy("bucket").agg(F.array(*[head(x) for x in chosen]).alias("leaders"))
-        near = F.filter("leaders", lambda x: (F.col("root") != x["root"]) & (agreement(F.col("sig"), x["sig"]) >= AGREE))
-        met = members.join(leaders, "bucket").select("content", "root", "sig", F.explode(near).alias("leader")).withColumn("agree", agreement(F.col("sig"), F.col("leader.sig")))
-        pairs = met.groupBy("content", F.col("leader.content").alias("other"), "root", F.col("leader.root").alias("other_root")).agg(F.max("agree").alias("agree"))
-        pairs = pairs.withColumn("a", F.least("content", "other")).withColumn("b", F.greatest("content", "other"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        best = F.row_number().over(W.partitionBy("content").orderBy(F.desc("agree"), "other"))
-        pairs = pairs.withColumn("nth", best).where(F.col("nth") <= TRIES)
-        n, n_found = tries(pairs.select("a", "b", F.least("root", "other_root").alias("ra"), F.greatest("root", "other_root").alias("rb")).distinct())
-        if not n_found or n_found * YIELD < n:
-            break
-        members = cut(several(rooted(members)).drop("n"), folder)
-    rest = whole.drop("n")
-    for least, most in LEVELS:
-        rest = cut(several(rooted(rest)).drop("n"), folder)
-        tries(all_pairs(rest, least, most, similarity))
-    return labels
+    """(node, root) of the ``contents`` (content, bands, size) that are linked to others; None if none is. ``texts_of``: contents -> their texts."""
+    every = contents.select("content", "size", F.explode("bands").alias("bucket"))
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "content")).alias(f"x{i}") for i in range(2)]
+    sizes = every.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("load"), *same).where("n > 1")
+    kept = sizes.groupBy("n", "load", "x0", "x1").agg(F.min("bucket").alias("bucket"))
+    kept = kept.select("bucket", "n", F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("load") / LOAD)).cast("int").alias("sides"))
+    members = cut(every.join(kept, "bucket").select("bucket", "n", "sides", "content", F.col("content").alias("root")), folder)
+    if members.isEmpty():
+        return None
+    sets = cut(sets_of(texts_of(members.select("content").distinct())), folder)
+    large = members.where("sides > 1")
+    score = large.groupBy("content").agg(F.sum("n").alias("score"))
+    chosen = F.array(F.max_by("content", F.struct("score", "content")), F.min_by("content", F.xxhash64("content", "bucket")))
+    leaders = large.join(score, "content").groupBy("bucket", "sides").agg(F.array_distinct(chosen).alias("leaders"))
+    leaders = leaders.select("bucket", "sides", F.explode("leaders").alias("content")).select("bucket", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), "content")
+    dealt = members.select("bucket", F.pmod(F.xxhash64("content"), "sides").cast("int").alias("side"), "content").union(leaders).distinct()
+    links = cut(compared(dealt.withColumn("root", F.col("content")), sets, heavy, similarity, "bucket", "side"), folder)
+    labels = None if links.isEmpty() else components(links, folder)
+    if large.isEmpty():
+        return labels
+    if labels is not None:
+        large = large.drop("root").join(labels.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    sides = members.where("sides > 1").select("bucket", "sides").distinct()
+    rest = several(linkable(several(large.select("bucket", "sides", "content", "root")), sets, heavy, similarity, folder))
+    links = cut(compared(block_pairs(cut(rest, folder), sides), sets, heavy, similarity, "bucket", "lo", "hi"), folder)
+    if links.isEmpty():
+        return labels
+    further = components(links, folder)
+    return further if labels is None else cut(followed(labels, further).union(further.join(labels, "node", "left_anti")), folder)
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -503,14 +556,14 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     table = cut(signed(docs, text, heavy), folder)
     k = f"doc.`{key}`"
     first = F.min(F.struct(F.col(k).isNull().alias("none"), F.col(k).alias("k"), F.col("rid")))
-    contents = cut(table.where(F.col("content").isNotNull()).groupBy("content").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.any_value("weight").alias("weight")), folder)
+    contents = cut(table.where(F.col("content").isNotNull()).groupBy("content").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size")), folder)
 
     def texts_of(needed: DataFrame) -> DataFrame:
         small = needed.count() <= BROADCAST_ROWS
         some = table.select("content", F.col(f"doc.`{text}`").alias("text")).join(F.broadcast(needed) if small else needed, "content", "left_semi")
         return some.groupBy("content").agg(F.any_value("text").alias("text"))
 
-    labels = linked(contents.select("content", "bands", "sig", "weight"), texts_of, heavy, similarity, folder)
+    labels = linked(contents.select("content", "bands", "size"), texts_of, heavy, similarity, folder)
     named = contents.select("content", "first", "n").withColumn("root", F.col("content"))
     if labels is not None:
         named = named.drop("root").join(labels.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))

@@ -278,3 +278,53 @@ def test_the_pipeline_checks_decoded_bytes(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.bpe, "decode", lambda coded: decode(coded).withColumn("decoded", F.lit(b"other")))
     with pytest.raises(Exception, match="decoded ids differ"):
         corpus_pipeline.encode_bytes(spark, now, None).collect()
+
+
+@pytest.mark.parametrize("side", [2, 16])
+def test_large_buckets_lose_no_link(spark, monkeypatch, side):
+    """Near copies at many distances from one text, and texts that merely share a passage, with buckets dealt into small blocks."""
+    rng = np.random.default_rng(side)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(90):
+        edited = list(words)
+        for j in rng.choice(200, i // 6, replace=False).tolist():
+            edited[j] = f"x{i}_{j}" if i % 3 else f"x{j}"
+        rows.append((i, " ".join(edited)))
+    rows += edited_pairs(30, 60)
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    monkeypatch.setattr(neardup, "SIDE", side)
+    got = sorted(neardup.op8(df).collect())
+    want = brute_classes(rows, neardup.heavy_shingles(df, "text"))
+    have = grouped(range(len(rows)), [r.class_id for r in got])
+    missed = grouped(range(len(rows)), want) - have
+    assert len(set(want)) < len(rows) - 40 and sum(missed.values()) <= 2
+
+
+def test_block_products_are_sums_of_lesser_weights():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = [{int(s): int(c) for s, c in zip(rng.integers(0, 40, 25), rng.integers(1, 5, 25), strict=True)} for _ in range(9)]
+    held = []
+    for i, x in enumerate(sets):
+        keys = sorted(x)
+        more = [k for k, s in enumerate(keys) if x[s] > 1]
+        held.append({"content": bytes([i]), "root": bytes([i]), "shingles": keys, "at": more, "times": [x[keys[k]] for k in more]})
+    one = pa.struct([("content", pa.binary()), ("root", pa.binary()), ("shingles", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
+    block = neardup.Block(pa.array([held], pa.list_(one))[0], neardup.as_arrays([(7, 0.5)]))
+    weight = lambda s, c: (1 + np.log10(c)) * (0.5 if s == 7 else 1)
+    common = block.common()
+    for i, a in enumerate(sets):
+        assert abs(block.total[i] - sum(weight(s, c) for s, c in a.items())) < 1e-9
+        for j, b in enumerate(sets):
+            assert i == j or abs(common[i, j] - sum(weight(s, min(c, b[s])) for s, c in a.items() if s in b)) < 1e-9
+
+
+def test_document_frequencies_are_exact(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string").repartition(3)
+    counts = Counter(s for _, t in texts for s in set(neardup.shingles([t])[2].tolist()))
+    least = (len(texts) + neardup.PRIOR) / neardup.FREQUENT
+    got = {s % 2**64: w for s, w in neardup.heavy_shingles(df, "text")}
+    assert set(got) == {s for s, n in counts.items() if n > least} and len(got) > 100
+    assert all(abs(w - (0.5 + 0.5 * np.log((len(texts) + neardup.PRIOR) / counts[s]) / np.log(neardup.FREQUENT))) < 1e-12 for s, w in got.items())

@@ -1,126 +1,132 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Each source's rows are dealt into blocks. With weight w, block j (from 1) is released at slot floor((j - 1) / w) and due by slot
-ceil(j / w); earliest deadline first among released blocks (ties: successor bit, then source name) gives each slot one block, and
-a source's blocks differ from its weight times the slots by less than one at every slot. With weights rounded to multiples of
-1 / resolution the schedule repeats after ``resolution`` slots, so it is a table of that many rows, worked out once from the weights;
-rows find their slot by a join with it, whatever their number.
+Each source's rows are dealt into blocks. With weight w (an exact fraction of the sum of the target weights), block j (from 1) is released
+at slot floor((j - 1) / w) and due by slot ceil(j / w); earliest deadline first among released blocks (ties: successor bit, then source
+name) gives each slot one block, and a source's blocks differ from its weight times the slots by less than one at every slot.
+
+The driver works the schedule out from one number a source, block by block, in whole numbers. A block is BLOCK_ROWS rows, or as many
+more as keep all of them to about SLOTS, so the schedule is a table of at most SLOTS rows and one for each source, whatever the
+number of rows, which find their slot by a join with it.
 
 A row's place within its source is its rank by bucket (a hash) and id. Every bucket has about BUCKET_ROWS rows, so a source that
-holds a third of all rows is ranked by many tasks; offsets come from the counts of buckets.
+holds a third of all rows is ranked by many tasks; offsets come from the counts of buckets. What is ranked are numbers of equal rows,
+summed on the map side and dealt by SALTS, so a row that is repeated in a third of the table is many tasks' work, too.
 
-Defined results: a null source is a source of its own. Repeated rows get places of their own (ties in id are ordered by the hash
-of the row's text). Sources without a target weight, or an empty table, follow :func:`target_weights`. Every row is kept: where a source
-has run out, its later slots stay empty; ``within`` says whether a row stands before the first such slot.
+Defined results: a null source is a source of its own. Repeated rows get places of their own. Sources without a target weight, or an
+empty table, follow :func:`target_weights`; those of weight 0 (or below LEAST of the sum) come after all others, in order of name. Every
+row is kept: where a source has run out, its later slots stay empty; ``within`` says whether a row stands before the first such slot.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
-from math import floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BLOCK_ROWS, RESOLUTION, BUCKET_ROWS = 16, 1000, 1000
+BLOCK_ROWS, SLOTS, BUCKET_ROWS, SALTS = 16, 200_000, 1000, 1024
 #: Exponent of the default target: weight in proportion to rows ** TEMPERATURE.
 TEMPERATURE = 0.7
-MAX_SOURCES = 10_000
+#: Shares below this count as 0, so that slots are 64-bit numbers.
+LEAST = Fraction(1, 10**12)
+
+
+def by_name(source: str | None) -> tuple[bool, str]:
+    return source is not None, source or ""
 
 
-def rounded(weights: dict[str | None, float], resolution: int) -> dict[str | None, int]:
-    """Weights as whole shares of ``resolution``, at least 1 each, by largest remainder."""
-    total = sum(weights.values())
-    exact = {k: Fraction(v) / Fraction(total) * resolution for k, v in weights.items()}
-    shares = {k: max(1, floor(v)) for k, v in exact.items()}
-    order = sorted(exact, key=lambda k: (shares[k] - exact[k], k is not None, k or ""))
-    i = 0
-    while (missing := resolution - sum(shares.values())) != 0:
-        k = order[i % len(order)] if missing > 0 else order[-1 - i % len(order)]
-        if missing > 0 or shares[k] > 1:
-            shares[k] += 1 if missing > 0 else -1
-        i += 1
-    return shares
+def shares(weights: dict[str | None, float]) -> dict[str | None, Fraction]:
+    """Exact shares of the sum; a float is taken as the decimal that it is written as."""
+    exact = {k: Fraction(str(v)) for k, v in weights.items()}
+    if any(v < 0 for v in exact.values()):
+        raise ValueError("a weight is negative")
+    total = sum(exact.values()) or 1
+    return {k: v / total if v >= LEAST * total else Fraction(0) for k, v in exact.items()}
 
 
-def release(j: int, share: int, resolution: int) -> int:
-    return (j - 1) * resolution // share
+def release(j: int, share: Fraction) -> int:
+    return (j - 1) * share.denominator // share.numerator
 
 
-def deadline(j: int, share: int, resolution: int) -> int:
-    return -(-j * resolution // share)
+def deadline(j: int, share: Fraction) -> int:
+    return -(-j * share.denominator // share.numerator)
 
 
-def schedule(shares: dict[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, block of the period, slot) of one period; its length is the sum of the shares."""
-    period = sum(shares.values())
-    waiting = sorted((0, k is not None, k or "", k, 1) for k in shares)
-    heapq.heapify(waiting)
+def schedule(share: dict[str | None, Fraction], blocks: dict[str | None, int]) -> Iterator[tuple[str | None, int, int]]:
+    """(source, block, slot) of all ``blocks`` (a number for each source), slot by slot. Slots that no block is released for stay empty."""
+    waiting = sorted((0, by_name(k), k, 1) for k, s in share.items() if s and blocks[k])
     ready: list = []
-    out = []
-    for slot in range(period):
+    slot = -1
+    while waiting or ready:
+        slot = slot + 1 if ready else max(slot + 1, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, _, _, k, j = heapq.heappop(waiting)
-            due = deadline(j, shares[k], period)
-            overlaps = due > release(j + 1, shares[k], period)  # a successor that overlaps it goes first among equals
-            heapq.heappush(ready, (due, not overlaps, k is not None, k or "", k, j))
-        due, _, _, _, k, j = heapq.heappop(ready)
-        out.append((k, j, slot))
-        if j < shares[k]:
-            heapq.heappush(waiting, (max(slot + 1, release(j + 1, shares[k], period)), k is not None, k or "", k, j + 1))
-    return out
+            _, name, k, j = heapq.heappop(waiting)
+            due = deadline(j, share[k])
+            overlaps = due > release(j + 1, share[k])  # a successor that overlaps it goes first among equals
+            heapq.heappush(ready, (due, not overlaps, name, k, j))
+        _, _, name, k, j = heapq.heappop(ready)
+        yield k, j, slot
+        if j < blocks[k]:
+            heapq.heappush(waiting, (max(slot + 1, release(j + 1, share[k])), name, k, j + 1))
+    for k in sorted((k for k, s in share.items() if not s), key=by_name):
+        for j in range(1, blocks[k] + 1):
+            slot += 1
+            yield k, j, slot
 
 
 def target_weights(counts: dict[str | None, int], targets: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> dict[str | None, float]:
-    """``targets`` for the sources that occur (others in proportion to their rows); without targets rows ** temperature."""
+    """``targets`` for the sources that occur (others share what is left of 1, by their rows); without targets rows ** temperature."""
     if targets is None:
         return {k: float(n) ** temperature for k, n in counts.items()}
-    left = max(0.0, 1 - sum(targets.get(k, 0.0) for k in counts if k is not None))
+    left = max(Fraction(0), 1 - sum(Fraction(str(targets[k])) for k in counts if k in targets))
     others = sum(n for k, n in counts.items() if k not in targets)
-    return {k: targets[k] if k in targets else max(1e-9, left * n / others) for k, n in counts.items()}
+    return {k: targets[k] if k in targets else left * n / others for k, n in counts.items()}
+
+
+def timetable(counts: dict[str | None, int], targets: dict[str, float] | None, block_rows: int) -> tuple[list[tuple], int]:
+    """((source, (block, release, deadline, slot) of each block) of each source, the first slot that a source with no rows left should have had)."""
+    share = shares(target_weights(counts, targets))
+    blocks = {k: -(-n // block_rows) for k, n in counts.items()}
+    rows: dict[str | None, list] = {k: [] for k in counts}
+    for k, j, slot in schedule(share, blocks):
+        s = share[k]
+        rows[k].append((j, release(j, s), deadline(j, s), slot) if s else (j, slot, slot + 1, slot))
+    return list(rows.items()), min((release(blocks[k] + 1, s) for k, s in share.items() if s), default=0)
 
 
 def mix(
     docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", targets: dict[str, float] | None = None,
-    block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, bucket_rows: int = BUCKET_ROWS, out: str = "mix",
+    block_rows: int | None = None, bucket_rows: int = BUCKET_ROWS, out: str = "mix",
 ) -> DataFrame:
-    """``docs`` with struct column ``out``: block, release, deadline, slot, place (of the row in its slot), within."""
+    """``docs`` with struct column ``out``: block, release, deadline, slot, place (of the row in its slot), within.
+
+    ``docs`` are computed twice, and equal rows must be in the same partitions both times, as they are in scans of files.
+    """
     spark = docs.sparkSession
-    found = docs.groupBy(source).count().limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    counts = {r[0]: r["count"] for r in found}
-    resolution = max(resolution, 4 * len(counts))
-    shares = rounded(target_weights(counts, targets), resolution) if counts else {}
-    # the first slot that a source with no rows left should have had
-    ends = [(n_blocks := -(-counts[k] // block_rows)) // s * resolution + release(n_blocks % s + 1, s, resolution) for k, s in shares.items()]
-    horizon = min(ends, default=0)
-    table = spark.createDataFrame([(k, j, t, shares[k], -(-counts[k] // bucket_rows)) for k, j, t in schedule(shares)] or [(None, 0, 0, 1, 1)], "source string, of_period int, at int, share int, buckets int").withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
-    sizes = table.groupBy("source").agg(F.max("share").alias("share"), F.max("buckets").alias("buckets"))
-    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))
-    tie = F.xxhash64(F.lit("mix"), F.col(key), F.col(text))
-    named = docs.select(F.struct(*docs.columns).alias("doc"), name.alias("source"), F.xxhash64(F.lit("bucket"), F.col(key), F.col(text)).alias("h"), F.col(key).alias("k"), tie.alias("tie"))
-    rows = named.join(F.broadcast(sizes), "source").withColumn("bucket", F.pmod("h", "buckets"))
-    offsets = (
-        rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-        .withColumn("offset", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .drop("n")
-    )
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("source", "bucket").orderBy("k", "tie"))).join(offsets, ["source", "bucket"])
-    placed = ranked.withColumn("i", F.col("offset") + F.col("rank") - 1).withColumn("b", F.floor(F.col("i") / block_rows))
-    placed = placed.withColumn("of_period", (F.col("b") % F.col("share") + 1).cast("int")).join(F.broadcast(table.select("source", "of_period", "at")), ["source", "of_period"])
-    period = F.floor(F.col("b") / F.col("share")) * resolution
-    j = F.col("of_period").cast("long")
-    slot = period + F.col("at")
-    return placed.select(
-        "doc.*",
-        F.struct(
-            (F.col("b") + 1).alias("block"), (period + F.floor((j - 1) * resolution / F.col("share"))).alias("release"), (period + F.ceil(j * resolution / F.col("share"))).alias("deadline"),
-            slot.alias("slot"), (F.col("i") % block_rows).alias("place"), (slot < horizon).alias("within"),
-        ).alias(out),
-    )
+    counts = {r[0]: r["count"] for r in docs.groupBy(source).count().collect()}
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(counts.values()) // SLOTS))
+    held, horizon = timetable(counts, targets, block_rows)
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    sources = spark.createDataFrame([(k, -(-counts[k] // bucket_rows), rows) for k, rows in held], "source string, buckets int, rows array<struct<block:long,release:long,deadline:long,slot:long>>").withColumn("source", name(F.col("source")))
+    table = sources.select("source", F.explode("rows").alias("at"))
+    hashed = lambda word: F.xxhash64(F.lit(word), F.col(key), F.col(text))
+    named = docs.select(F.struct(*docs.columns).alias("doc"), name(F.col(source).cast("string")).alias("source"), hashed("bucket").alias("h"), F.col(key).alias("k"), hashed("mix").alias("tie"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    rows = named.join(F.broadcast(sources.select("source", "buckets")), "source").withColumn("bucket", F.pmod("h", "buckets").cast("int")).drop("buckets", "h")
+    same = ["source", "bucket", "k", "tie", "salt"]
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    equal = rows.groupBy(*same).agg(F.count("*").alias("n"))
+    offsets = equal.groupBy("source", "bucket").agg(F.sum("n").alias("n")).withColumn("offset", before(W.partitionBy("source").orderBy("bucket"))).drop("n")
+    starts = equal.withColumn("before", before(W.partitionBy("source", "bucket").orderBy("k", "tie", "salt"))).join(offsets, ["source", "bucket"])
+    starts = starts.select(*[F.col(c).alias(f"{c}_") for c in same], (F.col("offset") + F.col("before")).alias("start"))
+    numbered = rows.withColumn("nth", F.row_number().over(W.partitionBy(*same).orderBy(F.lit(0))) - 1)
+    met = [F.col(c).eqNullSafe(F.col(f"{c}_")) if c == "k" else F.col(c) == F.col(f"{c}_") for c in same]
+    placed = numbered.join(starts, met).select("doc", "source", (F.col("start") + F.col("nth")).alias("i"))
+    placed = placed.withColumn("block", F.floor(F.col("i") / block_rows) + 1).join(F.broadcast(table.withColumn("block", F.col("at.block"))), ["source", "block"])
+    slot = F.col("at.slot")
+    return placed.select("doc.*", F.struct("block", "at.release", "at.deadline", slot.alias("slot"), (F.col("i") % block_rows).alias("place"), (slot < horizon).alias("within")).alias(out))
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:

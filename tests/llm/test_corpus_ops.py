@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -27,14 +28,30 @@ def test_neighbours(spark, sf):
     assert ann.op1(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 7, "b": 1, "c": 1, "d": 1e-9, None: 3}, {"x": 1}, {f"s{i}": 1 / (i + 1) for i in range(40)}])
+@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 7, "b": 1, "c": 1, "d": 1e-9, None: 3}, {"x": 1}, {f"s{i}": 1 / (i + 1) for i in range(40)}, {"a": 0.33349, "b": 0.66651}])
 def test_schedule_lags_less_than_a_block(weights):
-    shares = mixing.rounded(weights, 1000)
-    done = Counter()
-    for slot, (source, j, at) in enumerate(mixing.schedule(shares)):
-        assert at == slot and mixing.release(j, shares[source], 1000) <= slot < mixing.deadline(j, shares[source], 1000)
+    """Against the target weights themselves, over many periods, slot by slot."""
+    total = sum(Fraction(str(v)) for v in weights.values())
+    share = mixing.shares(weights)
+    assert share == {k: Fraction(str(v)) / total for k, v in weights.items()}
+    n = 20_000
+    done, at = Counter(), -1
+    for source, j, slot in mixing.schedule(share, dict.fromkeys(weights, n)):
+        if slot >= n:
+            break
+        at += 1
         done[source] += 1
-        assert all(abs(done[k] - n * (slot + 1) / 1000) < 1 for k, n in shares.items())
+        assert slot == at and j == done[source] and mixing.release(j, share[source]) <= slot < mixing.deadline(j, share[source])
+        if slot % 97 == 0 or slot < 300:
+            assert all(abs(done[k] - s * (slot + 1)) < 1 for k, s in share.items())
+    assert at == n - 1
+
+
+def test_sources_that_run_out_and_weights_of_zero():
+    got = list(mixing.schedule(mixing.shares({"a": 0.5, "b": 0.5, "z": 0, "y": 1e-14}), {"a": 1, "b": 3, "z": 2, "y": 1}))
+    assert got == [("a", 1, 0), ("b", 1, 1), ("b", 2, 2), ("b", 3, 4), ("y", 1, 5), ("z", 1, 6), ("z", 2, 7)]
+    with pytest.raises(ValueError):
+        mixing.shares({"a": -1, "b": 2})
 
 
 def test_mixing_places_every_row(docs):
@@ -52,6 +69,33 @@ def test_mixing_places_every_row(docs):
     assert out.columns == docs.columns and out.count() == docs.count() and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_equals_brute_force(spark):
+    """Place by (bucket, id) within the source, slot by the earliest deadline among released blocks; rows repeated, many of one source."""
+    rows = [(i % 700, ["hot", "hot", "hot", "b", None][i % 5], f"t{i % 700}") for i in range(3000)] + [(7, "hot", "same")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    counts = Counter(s for _, s, _ in rows)
+    total = sum(Fraction(str(float(n) ** mixing.TEMPERATURE)) for n in counts.values())
+    weight = {k: Fraction(str(float(n) ** mixing.TEMPERATURE)) / total for k, n in counts.items()}
+    left, next_, slots = {k: -(-n // 16) for k, n in counts.items()}, dict.fromkeys(counts, 1), {}
+    slot = 0
+    while any(next_[k] <= left[k] for k in counts):
+        due = {k: -(-next_[k] // weight[k]) for k in counts if next_[k] <= left[k] and (next_[k] - 1) // weight[k] <= slot}
+        if due:
+            k = min(due, key=lambda k: (due[k], due[k] <= next_[k] // weight[k], k is not None, k or ""))
+            slots[k, next_[k]] = slot
+            next_[k] += 1
+        slot += 1
+    for most in (1000, 50):
+        got = mixing.mix(df, bucket_rows=most).collect()
+        assert Counter((r.doc_id, r.source, r.text) for r in got) == Counter(rows)
+        assert {(r.source, r.mix.block): r.mix.slot for r in got} == slots
+        assert Counter((r.source, (r.mix.block - 1) * 16 + r.mix.place) for r in got) == Counter((k, i) for k, n in counts.items() for i in range(n))
+        ends = min(-(-n // 16) // weight[k] for k, n in counts.items())
+        assert all(r.mix.within == (r.mix.slot < ends) for r in got)
+    whole = sorted((r.mix.block, r.mix.place, r.doc_id) for r in mixing.mix(df, bucket_rows=10**6).collect() if r.source == "b")
+    assert [x[2] for x in whole] == sorted(d for d, s, _ in rows if s == "b")
+
+
 def test_target_weights_hold(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "big").otherwise("small").alias("source"), F.lit("t").alias("text"))
     rows = mixing.mix(df, targets={"big": 0.25, "small": 0.75}).where("mix.within").select("source", "mix.block").distinct().groupBy("source").count().collect()
@@ -251,9 +295,9 @@ def test_the_pipeline_gives_the_order_of_the_schedule(spark):
 
     df = spark.range(700).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), "id").alias("text"), F.when(F.col("id") < 500, "hot").when(F.col("id") < 650, "b").otherwise("c").alias("source"))
     held = {"hot": list(range(500)), "b": list(range(500, 650)), "c": list(range(650, 700))}
-    shares = mixing.rounded(mixing.target_weights({k: len(v) for k, v in held.items()}), mixing.RESOLUTION)
+    share = mixing.shares(mixing.target_weights({k: len(v) for k, v in held.items()}))
     want = []
-    for source, j, _ in mixing.schedule(shares):
+    for source, j, _ in mixing.schedule(share, {k: -(-len(v) // mixing.BLOCK_ROWS) for k, v in held.items()}):
         want += held[source][(j - 1) * mixing.BLOCK_ROWS : j * mixing.BLOCK_ROWS]
     now = df
     for name, stage in corpus_pipeline.STAGES[-2:]:

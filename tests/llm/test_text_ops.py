@@ -39,6 +39,46 @@ def test_license_with_a_word_put_in(spark):
     assert got[1] == ("gpl,gpl-3.0", 1) and got[2] == ("", 0) and got[3] == ("", 0)
 
 
+def ordered(template, words):
+    """Longest common subsequence over cells that lie in common k-grams."""
+    k = min(licenses.K, len(template))
+    cells = {(p + i, a + i) for p in range(len(words) - k + 1) for a in range(len(template) - k + 1) if words[p : p + k] == template[a : a + k] for i in range(k)}
+    row = [0] * (len(template) + 1)
+    for p in range(len(words)):
+        new = list(row)
+        for a in range(len(template)):
+            new[a + 1] = max(new[a], row[a + 1], row[a] + 1 if (p, a) in cells else 0)
+        row = new
+    return row[-1] / len(template)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_notices_against_brute_force(spark, seed):
+    """One edited notice in each text: its label stands there if enough of its words are in order, and no label of another kind."""
+    import random
+
+    r, rows, want = random.Random(seed), [], {}
+    for i, (label, notice) in enumerate(licenses.NOTICES):
+        words = notice.split()
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(words))
+            words[at : at + 1] = r.choice([[], ["zzz"], [words[at], "yyy"]])
+        rows.append((i, " ".join(["before", "it", *words, "after", "it"])))
+        want[i] = {name: max(ordered(t.split(), rows[-1][1].split()) for x, t in licenses.NOTICES if x == name) for name in {x for x, _ in licenses.NOTICES}}
+    for row in licenses.op3(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        own = set(row.labels.split(",")) - set(row.base_labels.split(",")) - {""}
+        best = max(want[row.doc_id].values())
+        assert own <= {k for k, v in want[row.doc_id].items() if v >= licenses.COVERAGE}
+        if best >= licenses.COVERAGE:
+            assert {k for k, v in want[row.doc_id].items() if v == best} & own and abs(row.score - (1.0 if row.n_base else best)) < 1e-9
+
+
+def test_repeated_words_are_no_license(spark):
+    texts = ["gnu affero " * 4, "public domain " * 6, "gnu affero general public license " * 3, "any later version of the license or " * 9, " ".join(reversed(licenses.NOTICES[0][1].split())), "the gnu general public license " * 2]
+    rows = licenses.op3(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in rows} == {0: ("", 0.0), 1: ("", 0.0), 2: ("", 0.0), 3: ("", 0.0), 4: ("", 0.0), 5: ("gpl", 1.0)}
+
+
 def measured(t):
     w, lines = re.findall(r"[^\x20\x09-\x0D]+", t or ""), [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     windows, covered = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)), set()

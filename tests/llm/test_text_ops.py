@@ -95,6 +95,48 @@ def test_quality(docs, texts):
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept)
 
 
+def kept(t):
+    t = t or ""
+    n, chars, symbols, dup, repeated = measured(t)
+    w, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    if n < 10 or 100 * repeated > 20 * n:
+        return False
+    share = lambda test: sum(map(bool, map(test, lines))) / max(1, len(lines))
+    foreign = 2 * len(re.findall("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u04ff]", t)) < chars
+    values = {
+        "mean_word_chars": chars / n, "symbol_ratio": symbols / chars, "dup_line_ratio": dup / max(1, len(lines)), "repeat_word_ratio": repeated / n,
+        "stop_ratio": sum(x.lower() in quality.STOP_WORDS for x in w) / n, "upper_ratio": sum(x.upper() == x != x.lower() and len(x) > 1 for x in w) / n,
+        "distinct_word_ratio": len(set(w)) / n if n >= 100 else 1, "bullet_line_ratio": share(lambda x: re.match(r"[\x20\x09-\x0D]*[-*\u2022\u2023\u25e6\u00b7]", x)), "ellipsis_line_ratio": share(lambda x: re.search(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$", x)),
+    }
+    if values["stop_ratio"] < 0.02 and foreign:
+        values["stop_ratio"] = 1
+    return all((low is None or values[k] >= low) and (high is None or values[k] <= high) for k, low, high in quality.THRESHOLDS)
+
+
+RUSSIAN = "Вчера мы ходили в парк и видели там много птиц, которые пели на деревьях у пруда."
+GREEK = "Ο ήλιος έλαμπε στον ουρανό όταν τα παιδιά έπαιζαν μαζί στην παλιά πλατεία"
+
+
+def test_quality_verdicts(spark, texts):
+    plain = "the quick brown fox of this tale ran over a lazy dog and it was fast"
+    cases = [
+        plain, RUSSIAN, GREEK, plain.upper(), "\n".join(f"- item {i} of the list" for i in range(12)), "\n".join(f"the line {i} goes on..." for i in range(12)), "xx yy zz ww vv uu tt ss rr qq pp oo",
+        "\n".join(["one and two"] * 3 + [plain] + ["three of them"] * 3), "the # $ % & of | < > * # " * 2 + plain, "supercalifragilistic " * 3 + "the antidisestablishmentarianism of counterrevolutionaries internationalization " + plain,
+    ]
+    rows = [(i, t) for i, t in enumerate(cases)] + [(100 + i, t) for i, (_, t) in enumerate(texts)]
+    got = {r.doc_id: r.kept for r in quality.op4(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: kept(t) for i, t in rows}
+    assert [got[i] for i in range(7)] == [True, True, True, False, False, False, False]
+
+
+def test_quality_thresholds_of_counts(spark):
+    df = spark.createDataFrame([(1, "a\na\nb"), (2, "a\nb")], "doc_id long, text string")
+    rows = quality.quality_rules(df, thresholds=(("n_dup_lines", None, 0), ("n_lines", 1, 5))).withColumn("fits", quality.verdict(F.col("quality"), (("n_dup_lines", None, 0), ("n_lines", 1, 5)))).collect()
+    assert {r.doc_id: r.fits for r in rows} == {1: False, 2: True}
+    with pytest.raises(KeyError):
+        quality.verdict(F.col("quality"), (("no_such_ratio", None, 1),))
+
+
 def test_quality_repeats(spark):
     cases = ["a b c d e a b c d e", "a a a a a a a", "a b c d e f g h i j", "x " * 300, "1 2 3 4 5 6 7 1 2 3 4 5 6 9"]
     rows = quality.op4(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()

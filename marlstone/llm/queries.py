@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import read_table
-from . import ann, bpe, langid, licenses, mixing, neardup, quality, secrets, urls, warc
+from . import ann, bpe, langid, licenses, mixing, neardup, oracles, quality, secrets, urls, warc
 
 
 def op1_ann(spark, sf_dir):
@@ -51,4 +51,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -135,6 +135,7 @@ def test_url_rules(pages, monkeypatch, most):
 def test_bloom_has_no_false_negatives(spark):
     listed = spark.range(5000).select(F.concat(F.lit("h"), "id").alias("host"), F.lit("/").alias("path"))
     candidates = spark.range(20000).select(F.concat(F.lit("h"), "id").alias("host"), F.lit("/").alias("path"), F.lit(False).alias("head"), "id")
+    assert urls.url_filter(spark.createDataFrame([(1, "x://a/b")], "page_id long, url string"), listed.limit(0).selectExpr("*", "'block' verdict", "0 priority")).first().rule is None
     passed = urls.probe(candidates, urls.bloom(listed, 512), 512)
     ids = {r.id for r in passed.select("id").collect()}
     assert set(range(5000)) <= ids and len(ids) < 7000
@@ -372,3 +373,20 @@ def test_document_frequencies_are_exact(spark, texts):
     got = {s % 2**64: w for s, w in neardup.heavy_shingles(df, "text")}
     assert set(got) == {s for s, n in counts.items() if n > least} and len(got) > 100
     assert all(abs(w - (0.5 + 0.5 * np.log((len(texts) + neardup.PRIOR) / counts[s]) / np.log(neardup.FREQUENT))) < 1e-12 for s, w in got.items())
+
+
+@pytest.mark.parametrize("name", ["op4_quality_rules", "op5_url_filter", "op10_warc"])
+def test_query_equals_sql(spark, sf, duck, name):
+    import oracle
+
+    from marlstone.llm import queries
+
+    assert oracle.compare(queries.queries()[name](spark, sf), duck, queries.oracle_sql()[name]) == ""
+
+
+def test_hosts_of_very_many_labels(spark, monkeypatch):
+    """Candidates follow the shapes in the list, not the labels of the host."""
+    hosts = ["a." * 200_000 + "net", "." * 50_000 + "com", "com", ".com", "x..com", "www.example.com." + "x." * 1000 + "www.example.com"]
+    df = spark.createDataFrame([(i, f"x://{h}/en/es/") for i, h in enumerate(hosts)] + [(9, "x://a.net/es/")], "page_id long, url string")
+    got = {r.page_id: r.rule for r in urls.op5(df).collect()}
+    assert got == {i: ruled(f"x://{h}/en/es/")[2][1] for i, h in enumerate(hosts)} | {9: "net/es/"}

@@ -302,3 +302,38 @@ def test_any_two_parts_are_linked(spark, text, spans):
 def test_one_language_is_kept(spark):
     df = spark.createDataFrame([(i, f"some plain words of text {i}" if i < 20 else "12", "en") for i in range(21)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in langid.keep(df, langid.fit(df)).collect()} == set(range(20))
+
+
+def test_an_endpoint_near_an_assigned_secret(spark):
+    text = f"password = hunter2hunter2 for {AZURE}"
+    assert [r.spans for r in secrets.op6(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [f"assign:0:25,endpoint:30:{len(text)}"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 10, 17, 1000])
+def test_running(spark, n):
+    values = [(i * 7919) % 13 for i in range(n)]
+    row = spark.createDataFrame([(values,), ([],)], "v array<int>").select(secrets.running(F.col("v"), lambda a, b: a + b).alias("sum"), secrets.running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("max")).collect()
+    assert row[0]["sum"] == [sum(values[: i + 1]) for i in range(n)] and row[0]["max"] == [max(values[: i + 1]) for i in range(n)] and row[1]["sum"] == []
+
+
+def test_very_many_matches(spark):
+    text = "é token=abcdefghijkl0 AKIAABCDEFGHIJKLMN 0123456789abcdef0;" * 20_000
+    out = spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")
+    r = secrets.op6(out).first()
+    assert (r.n_assign, r.n_access, r.n_hex) == (20_000, 20_000, 20_000) and r.base_sha256 == secret_base(text)[3]
+    assert secrets.redact(out).first().text == "é [secret] [secret] [secret];" * 20_000
+
+
+def test_redaction_against_brute_force(spark, docs):
+    def cut_out(text, spans):
+        done, at = "", 0
+        for s in spans:
+            if s.start >= at:
+                done += text[at : s.start] + "[secret]"
+            at = max(at, s.stop)
+        return done + text[at:] if spans else text
+
+    long = [(5, "é" * 1023 + "AKIAABCDEFGHIJKLMN" + "x" * 1030 + " secret=AKIAABCDEFGHIJKLMN" + "y" * 3000, "en", "s")]
+    df = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(long, "doc_id long, text string, lang string, source string"))
+    want = Counter((r.doc_id, None if r.text is None else cut_out(r.text, r.s.spans)) for r in secrets.secret_scan(df, out="s").collect())
+    assert Counter((r.doc_id, r.text) for r in secrets.redact(df).collect()) == want

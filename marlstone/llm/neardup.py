@@ -42,12 +42,12 @@ BANDS, ROWS = 9, 3
 SIDE, LOAD = 512, 400_000
 #: Shingles of one document in FREQUENT, or more, have an idf below 1; FLOOR is that of a shingle of all documents, PRIOR documents are added.
 FREQUENT, PRIOR, FLOOR = 1000, 1000, 0.5
-#: A list of contents is broadcast up to this many rows, which is counted.
+#: Contents are broadcast if they are members of at most so many blocks, which are counted.
 BROADCAST_ROWS = 200_000
-#: Bytes of text that are hashed at a time, and of those whose shingles are counted together.
-BLOCK, COUNTED = 4_000_000, 32_000_000
-#: Entries of a block's dense matrix at a time.
-DENSE = 4_000_000
+#: Bytes of text that are hashed at a time; documents (or distinct shingles, whichever comes first) that are counted together; bytes of a counting task.
+BLOCK, SEGMENT, SEGMENT_SHINGLES, SEGMENT_BYTES = 4_000_000, 8 * FREQUENT, 8_000_000, 64_000_000
+#: Entries of a block's dense matrix at a time, and shingles of a batch of members' sets.
+DENSE, SENT = 4_000_000, 1_000_000
 
 
 #: Bytes of a word that are hashed all words at once; longer words are hashed each for itself.
@@ -197,24 +197,39 @@ def band_keys(sampled):
 
 def heavy_shingles(docs: DataFrame, text: str) -> list[tuple[int, float]]:
     """(hash, idf) of the shingles whose idf is below 1."""
+    total, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    if not total:
+        return []
+    least = (total + PRIOR) / FREQUENT
 
     def local(batches):
         import numpy as np
         import pyarrow as pa
 
-        for table in blocks(batches, text, COUNTED):
-            found = table.num_rows
-            distinct, counts = np.unique(shingles(table.column(text).to_pylist())[2], return_counts=True)
-            often = counts >= found / (2 * FREQUENT)  # places, which are no fewer than documents
-            yield pa.RecordBatch.from_arrays([pa.array(distinct[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.array(np.zeros(int(often.sum()), np.int64))], ["s", "n", "docs"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([found], pa.int64())], ["s", "n", "docs"])
+        def joined(x, y):
+            s, at = np.unique(np.concatenate([x[0], y[0]]), return_inverse=True)
+            return s, np.bincount(at, np.concatenate([x[1], y[1]]), len(s)).astype(np.int64), x[2] + y[2]
 
-    sums = cut(docs.select(text).mapInArrow(local, "s long, n long, docs long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(f"s is null or n > {PRIOR / FREQUENT}"))
-    total = sums.where("s is null").agg(F.sum("docs")).first()[0] or 0
-    least = (total + PRIOR) / FREQUENT
-    # blocks that report nothing hold less than total / (2 * FREQUENT) of a shingle's documents
-    some = sums.where(F.col("s").isNotNull() & (F.col("n") > least - total / (2 * FREQUENT))).select("s")
-    chosen = some.toArrow().column("s").to_numpy()
+        def report(s, n, found):
+            often = n >= found / (2 * FREQUENT)  # places, which are no fewer than documents
+            return pa.RecordBatch.from_arrays([pa.array(s[often].view(np.int64)), pa.array(n[often])], ["s", "n"])
+
+        # parts of SEGMENT documents or SEGMENT_SHINGLES at least; what is left at the end goes to the last one
+        done, held = None, (np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
+        for table in blocks(batches, text, BLOCK):
+            s, n = np.unique(shingles(table.column(text).to_pylist())[2], return_counts=True)
+            held = joined(held, (s, n, table.num_rows))
+            if held[2] >= SEGMENT or len(held[0]) >= SEGMENT_SHINGLES:
+                if done:
+                    yield report(*done)
+                done, held = held, (np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
+        yield report(*(joined(done, held) if done else held))
+
+    # small partitions are read by one task, up to a segment of documents or some MB
+    parts = max(1, total // SEGMENT, (size or 0) // SEGMENT_BYTES)
+    sums = docs.select(text).coalesce(parts).mapInArrow(local, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    # parts that report nothing hold less than total / (2 * FREQUENT) of a shingle's documents
+    chosen = sums.where(F.col("n") > least - total / (2 * FREQUENT)).select("s").toArrow().column("s").to_numpy()
     if not len(chosen):
         return []
 
@@ -283,8 +298,9 @@ def signed(docs: DataFrame, text: str, heavy) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *own.fields]))
 
 
-def sets_of(texts: DataFrame) -> DataFrame:
-    """(content, shingles, at, times) of ``texts`` (content, text): distinct shingles in order, and the places and counts of repeated ones."""
+def block_rows(members: DataFrame, texts_of, *keys: str) -> DataFrame:
+    """One row for each block of ``members`` (``keys``, content, rid, root): ``keys`` and ``held``, its members with their sets (distinct
+    shingles in order, and the places and counts of repeated ones). Each text is read and hashed once and goes to all its blocks."""
 
     def run(batches):
         import numpy as np
@@ -298,16 +314,22 @@ def sets_of(texts: DataFrame) -> DataFrame:
             begins = np.concatenate([[0], ends[:-1]])
             place = (more - begins[np.searchsorted(ends, more, "right")]).astype(np.int32)
             more_ends = np.searchsorted(more, ends)
-            columns = [batch.column("content"), listed(distinct.view(np.int64), ends), listed(place, more_ends), listed(counts[more].astype(np.int32), more_ends)]
-            yield pa.RecordBatch.from_arrays(columns, ["content", "shingles", "at", "times"])
-
-    return texts.select("content", "text").mapInArrow(run, "content binary, shingles array<long>, at array<int>, times array<int>")
-
-
-def block_rows(members: DataFrame, sets: DataFrame, *keys: str) -> DataFrame:
-    """One row for each block of ``members`` (``keys``, content, root): ``keys`` and ``held``, its members with their sets."""
-    one = F.struct("content", "root", "shingles", "at", "times")
-    return members.join(sets, "content").groupBy(*keys).agg(F.collect_list(one).alias("held"))
+            sets = {"shingles": listed(distinct.view(np.int64), ends), "at": listed(place, more_ends), "times": listed(counts[more].astype(np.int32), more_ends)}
+            to = batch.column("blocks")
+            n = np.diff(to.offsets.to_numpy())
+            of, goals = np.repeat(np.arange(len(n)), n), to.flatten()
+            heaps = np.cumsum((ends - begins)[of]) // SENT
+            for k in np.unique(heaps).tolist():  # some MB at a time
+                lo, hi = (int(x) for x in np.searchsorted(heaps, [k, k + 1]))
+                here = pa.array(of[lo:hi])
+                some = goals.slice(lo, hi - lo)
+                columns = [*(some.field(c) for c in (*keys, "root")), batch.column("content").take(here), *(x.take(here) for x in sets.values())]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, "root", "content", *sets])
+
+    per_text = members.groupBy("rid", "content").agg(F.collect_list(F.struct(*keys, "root")).alias("blocks"))
+    own = T._parse_datatype_string("root binary, content binary, shingles array<long>, at array<int>, times array<int>")
+    rows = texts_of(per_text).select("content", "blocks", "text").mapInArrow(run, T.StructType([*(T.StructField(c, members.schema[c].dataType) for c in keys), *own.fields]))
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct("content", "root", "shingles", "at", "times")).alias("held"))
 
 
 class Block:
@@ -400,8 +422,8 @@ class Block:
         return np.bincount(self.who, self.weights * own, len(self.total)) > (1 - similarity) * self.total + 1e-9
 
 
-def compared(members: DataFrame, sets: DataFrame, heavy, similarity: float, *keys: str) -> DataFrame:
-    """Links (a, b) between roots of ``members`` (``keys``, content, root) that meet under the same keys."""
+def compared(members: DataFrame, texts_of, heavy, similarity: float, *keys: str) -> DataFrame:
+    """Links (a, b) between roots of ``members`` (``keys``, content, rid, root) that meet under the same keys."""
     known = as_arrays(heavy)
 
     def run(batches):
@@ -412,11 +434,11 @@ def compared(members: DataFrame, sets: DataFrame, heavy, similarity: float, *key
                 if found := Block(held, known).links(similarity):
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
 
-    return block_rows(members, sets, *keys).select("held").mapInArrow(run, "a binary, b binary").distinct()
+    return block_rows(members, texts_of, *keys).select("held").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def linkable(members: DataFrame, sets: DataFrame, heavy, similarity: float, folder: str) -> DataFrame:
-    """The ``members`` (bucket, sides, content, root) that may be similar to another of their bucket by what they share at all."""
+def linkable(members: DataFrame, texts_of, heavy, similarity: float, folder: str) -> DataFrame:
+    """The ``members`` (bucket, sides, content, rid, root) that may be similar to another of their bucket by what they share at all."""
     known = as_arrays(heavy)
 
     def own(batches):
@@ -458,11 +480,12 @@ def linkable(members: DataFrame, sets: DataFrame, heavy, similarity: float, fold
                 columns = [pa.array([bucket] * len(kept), pa.int64()), *(pa.array([x[i] for i in kept], pa.binary()) for x in (block.content, block.root))]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "content", "root"])
 
-    held = cut(block_rows(members.withColumn("side", F.pmod(F.xxhash64("content"), "sides").cast("int")), sets, "bucket", "side", "sides"), folder)
+    held = cut(block_rows(members.withColumn("side", F.pmod(F.xxhash64("content"), "sides").cast("int")), texts_of, "bucket", "side", "sides"), folder)
     parts = held.select("bucket", "side", "sides", "held").mapInArrow(own, "bucket long, side int, part int, own array<long>")
     shared = parts.groupBy("bucket", "part").agg(F.collect_list(F.struct("side", "own")).alias("blocks")).select("bucket", "blocks").mapInArrow(repeated, "bucket long, side int, shared array<long>")
     shared = shared.groupBy("bucket", "side").agg(F.flatten(F.collect_list("shared")).alias("shared"))
-    return held.join(shared, ["bucket", "side"], "left").select("bucket", "shared", "held").mapInArrow(chosen, "bucket long, content binary, root binary")
+    kept = held.join(shared, ["bucket", "side"], "left").select("bucket", "shared", "held").mapInArrow(chosen, "bucket long, content binary, root binary")
+    return kept.join(members.select("bucket", "content", "rid"), ["bucket", "content"])
 
 
 def several(members: DataFrame) -> DataFrame:
@@ -472,7 +495,7 @@ def several(members: DataFrame) -> DataFrame:
 
 
 def block_pairs(members: DataFrame, sides) -> DataFrame:
-    """(bucket, lo, hi, content, root): blocks of each bucket's largest class (lo below 0) meet the blocks of its other ``members``, which meet each other."""
+    """(bucket, lo, hi, content, rid, root): blocks of each bucket's largest class (lo below 0) meet the blocks of its other ``members``, which meet each other."""
     n = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     # shares of the bucket's blocks
     whole = n.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all")).join(sides, "bucket")
@@ -484,8 +507,8 @@ def block_pairs(members: DataFrame, sides) -> DataFrame:
     rest = F.sequence(F.lit(0), F.col("b") - 1)
     of_major = F.transform(rest, lambda k: key(-1 - F.col("side"), k))
     of_rest = F.concat(F.transform(F.sequence(F.lit(1), F.col("a")), lambda k: key(-k, F.col("side"))), F.transform(rest, lambda k: key(F.least(k, "side"), F.greatest(k, "side"))))
-    met = placed.withColumn("side", side).select("bucket", "content", "root", F.explode(F.when(F.col("of_major"), of_major).otherwise(of_rest)).alias("k"))
-    return met.select("bucket", "k.lo", "k.hi", "content", "root")
+    met = placed.withColumn("side", side).select("bucket", "content", "rid", "root", F.explode(F.when(F.col("of_major"), of_major).otherwise(of_rest)).alias("k"))
+    return met.select("bucket", "k.lo", "k.hi", "content", "rid", "root")
 
 
 def followed(labels: DataFrame, further: DataFrame) -> DataFrame:
@@ -516,31 +539,31 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 
 
 def linked(contents: DataFrame, texts_of, heavy, similarity: float, folder: str) -> DataFrame | None:
-    """(node, root) of the ``contents`` (content, bands, size) that are linked to others; None if none is. ``texts_of``: contents -> their texts."""
-    every = contents.select("content", "size", F.explode("bands").alias("bucket"))
+    """(node, root) of the ``contents`` (content, rid, bands, size) that are linked to others; None if none is. ``texts_of``: rows with rid -> with text, too."""
+    every = contents.select("content", "rid", "size", F.explode("bands").alias("bucket"))
     same = [F.bit_xor(F.xxhash64(F.lit(i), "content")).alias(f"x{i}") for i in range(2)]
     sizes = every.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("load"), *same).where("n > 1")
     kept = sizes.groupBy("n", "load", "x0", "x1").agg(F.min("bucket").alias("bucket"))
     kept = kept.select("bucket", "n", F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("load") / LOAD)).cast("int").alias("sides"))
-    members = cut(every.join(kept, "bucket").select("bucket", "n", "sides", "content", F.col("content").alias("root")), folder)
+    members = cut(every.join(kept, "bucket").select("bucket", "n", "sides", "content", "rid", F.col("content").alias("root")), folder)
     if members.isEmpty():
         return None
-    sets = cut(sets_of(texts_of(members.select("content").distinct())), folder)
     large = members.where("sides > 1")
     score = large.groupBy("content").agg(F.sum("n").alias("score"))
-    chosen = F.array(F.max_by("content", F.struct("score", "content")), F.min_by("content", F.xxhash64("content", "bucket")))
+    one = F.struct("content", "rid")
+    chosen = F.array(F.max_by(one, F.struct("score", "content")), F.min_by(one, F.xxhash64("content", "bucket")))
     leaders = large.join(score, "content").groupBy("bucket", "sides").agg(F.array_distinct(chosen).alias("leaders"))
-    leaders = leaders.select("bucket", "sides", F.explode("leaders").alias("content")).select("bucket", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), "content")
-    dealt = members.select("bucket", F.pmod(F.xxhash64("content"), "sides").cast("int").alias("side"), "content").union(leaders).distinct()
-    links = cut(compared(dealt.withColumn("root", F.col("content")), sets, heavy, similarity, "bucket", "side"), folder)
+    leaders = leaders.select("bucket", "sides", F.explode("leaders").alias("x")).select("bucket", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), "x.content", "x.rid")
+    dealt = members.select("bucket", F.pmod(F.xxhash64("content"), "sides").cast("int").alias("side"), "content", "rid").union(leaders).distinct()
+    links = cut(compared(dealt.withColumn("root", F.col("content")), texts_of, heavy, similarity, "bucket", "side"), folder)
     labels = None if links.isEmpty() else components(links, folder)
     if large.isEmpty():
         return labels
     if labels is not None:
         large = large.drop("root").join(labels.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     sides = members.where("sides > 1").select("bucket", "sides").distinct()
-    rest = several(linkable(several(large.select("bucket", "sides", "content", "root")), sets, heavy, similarity, folder))
-    links = cut(compared(block_pairs(cut(rest, folder), sides), sets, heavy, similarity, "bucket", "lo", "hi"), folder)
+    rest = several(linkable(several(large.select("bucket", "sides", "content", "rid", "root")), texts_of, heavy, similarity, folder))
+    links = cut(compared(block_pairs(cut(rest, folder), sides), texts_of, heavy, similarity, "bucket", "lo", "hi"), folder)
     if links.isEmpty():
         return labels
     further = components(links, folder)
@@ -559,11 +582,11 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     contents = cut(table.where(F.col("content").isNotNull()).groupBy("content").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size")), folder)
 
     def texts_of(needed: DataFrame) -> DataFrame:
-        small = needed.count() <= BROADCAST_ROWS
-        some = table.select("content", F.col(f"doc.`{text}`").alias("text")).join(F.broadcast(needed) if small else needed, "content", "left_semi")
-        return some.groupBy("content").agg(F.any_value("text").alias("text"))
+        needed = cut(needed, folder)
+        small = (needed.agg(F.sum(F.size("blocks"))).first()[0] or 0) <= BROADCAST_ROWS
+        return table.select("rid", F.col(f"doc.`{text}`").alias("text")).join(F.broadcast(needed) if small else needed, "rid")
 
-    labels = linked(contents.select("content", "bands", "size"), texts_of, heavy, similarity, folder)
+    labels = linked(contents.select("content", "first.rid", "bands", "size"), texts_of, heavy, similarity, folder)
     named = contents.select("content", "first", "n").withColumn("root", F.col("content"))
     if labels is not None:
         named = named.drop("root").join(labels.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))

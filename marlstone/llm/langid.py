@@ -5,16 +5,19 @@ segmentations into pieces, by the forward algorithm, and a text's is the product
 the vocabulary's mark of a word's start). Piece probabilities are fitted by expectation-maximisation, whose expected counts come
 from the same lattice (forward and backward), on a bounded sample of labelled rows.
 
-Words are scored by length in numpy: all spans of all words of one length are looked up at once by a rolling hash. A task scores
-each distinct word of its blocks once and remembers at most REMEMBERED words.
+Words are scored many at a time in numpy, a place of all words after another; spans are looked up by a rolling hash. Only the sums of as many
+places as the longest piece has characters are held, and they are scaled now and then, so a word may be as long as a text without
+spaces. A task scores each distinct word of a block once and remembers words up to REMEMBERED numbers.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0. Repeated rows are judged each for itself. Long texts are
-scored whole; a word of more than MAX_WORD letters is scored in parts of that length. An empty training set makes everything ``und``.
+Defined results: a text that is null or has no letter (category L of Unicode) is ``und`` with score 0. Repeated rows are judged each for
+itself. Long texts and long words are scored whole. Of languages equally likely the first by name is chosen. An empty training set makes
+everything ``und``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,20 +27,21 @@ from pyspark.sql import types as T
 from .common import blocks, bound_arrow
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Bounds of the training sample: rows of each language, characters of a row, languages.
+#: Bounds of the training sample: rows of each language, mean characters of a row (longer texts are taken whole, after the others), languages.
 FIT_ROWS, FIT_CHARS, FIT_LANGUAGES = 400, 20_000, 200
 #: Rows of a language that pass the first, hash-wise cut, as a multiple of FIT_ROWS.
 MARGIN = 4
-ROUNDS, MAX_PIECE, MAX_WORD, REMEMBERED = 3, 12, 40, 300_000
+ROUNDS = 3
+#: Numbers (words x languages) that a task remembers, characters of words (with languages in fitting) that are worked on at once, and places between two scalings.
+REMEMBERED, CELLS, SCALED = 4_000_000, 400_000, 16
 #: Weight of one pseudo-count spread over the vocabulary, and the log-probability of a character in no piece.
 SMOOTHING, UNKNOWN = 0.05, -16.0
-LETTERS = r"[^\W\d_]+"
 #: :func:`keep` rejects a text whose score is below this multiple of an even share among the languages.
 MIN_EDGE = 1.04
 
 
 def vocabulary(path: str | None = None) -> list[str]:
-    """Pieces of letters and the word mark, of at most MAX_PIECE characters."""
+    """Pieces of letters and the word mark; others are part of no word."""
     import sentencepiece
 
     if path is None:
@@ -46,16 +50,16 @@ def vocabulary(path: str | None = None) -> list[str]:
         path = public_tokenizers.path(VOCABULARY)
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {p.id_to_piece(i).lower() for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i))}
-    return sorted(x for x in pieces if x and len(x) <= MAX_PIECE and all(c.isalpha() or c == "▁" for c in x))
+    return sorted(x for x in pieces if re.fullmatch("▁?[^▁]*", x) and x and all(c.isalpha() for c in x.removeprefix("▁")))
 
 
 class Lattice:
-    """Spans of words looked up in a vocabulary. ``logp``: pieces x languages."""
+    """Spans of words looked up in a vocabulary. ``p``: probabilities, pieces x languages."""
 
     def __init__(self, pieces: list[str]):
         import numpy as np
 
-        self.powers = np.cumprod(np.full(MAX_WORD + 2, 1_000_003, np.uint64), dtype=np.uint64)
+        self.longest = max(map(len, pieces), default=1)
         codes = np.array([self.hash_of(x) for x in pieces], np.uint64)
         order = np.argsort(codes)
         self.codes, self.ids = codes[order], order.astype(np.int32)
@@ -66,55 +70,86 @@ class Lattice:
             h = (h * 1_000_003 + ord(c) + 1) % (1 << 64)
         return h
 
-    def spans(self, words: list[str]):
-        """For words of one length L: {(i, j): piece ids, -1 where the span is none}."""
+    def groups(self, words: list[str], most: int):
+        """(places in ``words``, characters, lengths) of words of like length, longest first, at most ``most`` characters unless a word has more."""
         import numpy as np
 
-        size = len(words[0])
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size).astype(np.uint64) + np.uint64(1)
-        found = {}
-        mult = np.uint64(1_000_003)
-        for i in range(size):
-            h = np.zeros(len(words), np.uint64)
-            for j in range(i + 1, min(size, i + MAX_PIECE) + 1):
-                h = h * mult + chars[:, j - 1]
-                at = np.searchsorted(self.codes, h)
-                at[at == len(self.codes)] = 0
-                found[i, j] = np.where(self.codes[at] == h, self.ids[at], -1)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order, at = np.argsort(-lengths, kind="stable"), 0
+        while at < len(order):
+            size = int(lengths[order[at]])
+            some = order[at : at + max(1, most // max(1, size))]
+            # a much shorter word would mostly be padding
+            some = some[: max(1, int(np.searchsorted(-lengths[some], -(size // 2), "right")))] if size > SCALED else some
+            chars = np.zeros((len(some), size), np.uint64)
+            flat = np.frombuffer("".join(words[i] for i in some.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            chars[np.arange(size)[None] < lengths[some][:, None]] = flat.astype(np.uint64) + np.uint64(1)
+            yield some, chars, lengths[some]
+            at += len(some)
+
+    def spans(self, chars):
+        """For pieces of 1, 2, ... characters: ids of the piece that begins at each place of each word, -1 where there is none."""
+        import numpy as np
+
+        found, h, mult = [], np.zeros_like(chars), np.uint64(1_000_003)
+        for n in range(1, min(self.longest, chars.shape[1]) + 1):
+            h = h[:, : chars.shape[1] - n + 1] * mult + chars[:, n - 1 :]
+            at = np.searchsorted(self.codes, h)
+            at[at == len(self.codes)] = 0
+            found.append(np.where(self.codes[at] == h, self.ids[at], -1) if len(self.codes) else np.full(h.shape, -1))
         return found
 
-    def forward(self, words: list[str], p, unknown: float, found=None):
-        """log of the sum over segmentations: words x languages (and the scaled lattice, for the backward pass)."""
+    def sums(self, found, lengths, p, unknown: float, backward: bool = False, whole: bool = False):
+        """log of the sum over segmentations (words x languages); ``whole``: also the sums up to each place, and the logarithms they are scaled by.
+
+        Forward, the sum at place j goes over the segmentations of what is before; ``backward``, of what is behind, places counted from the start.
+        """
         import numpy as np
 
-        found = found or self.spans(words)
-        size = len(words[0])
-        alpha = np.zeros((size + 1, len(words), p.shape[1]))
-        alpha[0] = 1
-        for j in range(1, size + 1):
-            for i in range(max(0, j - MAX_PIECE), j):
-                ids = found[i, j]
+        n, size, k = len(lengths), int(lengths.max()), p.shape[1]
+        shift, held = np.zeros((n, k)), {}
+        out, places, shifts = np.zeros((n, k)), {}, {}
+        for step in range(size + 1):
+            # words are sorted by length; backward they are in step by their ends, forward by their starts
+            j = size - step if backward else step
+            here = int(np.searchsorted(-lengths, -j, "right"))
+            now = np.zeros((here, k))
+            if backward:
+                now[lengths[:here] == j] = 1.0
+            elif j == 0:
+                now[:] = 1.0
+            for m, ids in enumerate(found, 1):
+                i = j if backward else j - m
+                if i < 0 or i >= ids.shape[1] or (j + m if backward else i) not in held:
+                    continue
+                other = held[j + m if backward else i]
+                ids = ids[: min(here, len(other)), i]
                 some = np.flatnonzero(ids >= 0)
-                if len(some):
-                    alpha[j][some] += alpha[i][some] * p[ids[some]]
-            alpha[j] += alpha[j - 1] * unknown
-        return alpha, found
+                now[some] += other[some] * p[ids[some]]
+            if (near := held.get(j + 1 if backward else j - 1)) is not None:
+                now[: len(near)] += near[:here] * unknown
+            held[j] = now
+            held.pop(j + self.longest + 1 if backward else j - self.longest - 1, None)
+            if step and step % SCALED == 0:
+                top = np.maximum(now, 1e-300)
+                fits = (lengths[:here, None] > j) if backward else np.ones((here, 1), bool)
+                factor = np.where(fits, top, 1.0)
+                shift[:here] += np.log(factor)
+                held = {x: np.concatenate([v[:here] / factor[: len(v)], v[here:]]) for x, v in held.items()}
+            if whole:
+                places[j], shifts[j] = held[j].copy(), shift[:here].copy()
+            done = np.arange(here) if backward and j == 0 else np.flatnonzero(lengths[:here] == j)
+            if not backward or j == 0:
+                out[done] = np.log(np.maximum(held[j][done], 1e-300)) + shift[done]
+        return (out, places, shifts) if whole else out
 
     def score(self, words: list[str], p, unknown: float):
-        """log-probabilities, words x languages, in the order of ``words``; long words in parts."""
+        """log-probabilities, words x languages, in the order of ``words``."""
         import numpy as np
 
         out = np.zeros((len(words), p.shape[1]))
-        by_size: dict[int, list[tuple[int, str]]] = {}
-        for n, word in enumerate(words):
-            for k in range(0, len(word), MAX_WORD):
-                part = word[k : k + MAX_WORD]
-                by_size.setdefault(len(part), []).append((n, part))
-        for items in by_size.values():
-            for k in range(0, len(items), 20_000):
-                some = items[k : k + 20_000]
-                alpha, _ = self.forward([w for _, w in some], p, unknown)
-                np.add.at(out, [n for n, _ in some], np.log(np.maximum(alpha[-1], 1e-300)))
+        for some, chars, lengths in self.groups(words, max(1, CELLS * 8 // max(8, p.shape[1]))):
+            out[some] = self.sums(self.spans(chars), lengths, p, unknown)
         return out
 
     def expected(self, words: list[str], weights, p, unknown: float):
@@ -122,33 +157,28 @@ class Lattice:
         import numpy as np
 
         counts = np.zeros_like(p)
-        by_size: dict[int, list[int]] = {}
-        for n, word in enumerate(words):
-            if len(word) <= MAX_WORD:
-                by_size.setdefault(len(word), []).append(n)
-        for size, at in by_size.items():
-            for k in range(0, len(at), 20_000):
-                some = at[k : k + 20_000]
-                held = [words[n] for n in some]
-                alpha, found = self.forward(held, p, unknown)
-                beta = np.zeros_like(alpha)
-                beta[size] = 1
-                for i in range(size - 1, -1, -1):
-                    for j in range(i + 1, min(size, i + MAX_PIECE) + 1):
-                        ok = np.flatnonzero(found[i, j] >= 0)
-                        if len(ok):
-                            beta[i][ok] += beta[j][ok] * p[found[i, j][ok]]
-                    beta[i] += beta[i + 1] * unknown
-                share = weights[some] / np.maximum(alpha[size], 1e-300)
-                for (i, j), ids in found.items():
-                    ok = np.flatnonzero(ids >= 0)
+        for some, chars, lengths in self.groups(words, max(1, CELLS // max(1, p.shape[1]))):
+            found, w = self.spans(chars), weights[some]
+            total, alpha, a = self.sums(found, lengths, p, unknown, whole=True)
+            _, beta, b = self.sums(found, lengths, p, unknown, backward=True, whole=True)
+            for m, ids in enumerate(found, 1):
+                for i in range(ids.shape[1]):
+                    here = len(beta[i + m])
+                    ok = np.flatnonzero(ids[:here, i] >= 0)
                     if len(ok):
-                        np.add.at(counts, ids[ok], alpha[i][ok] * p[ids[ok]] * beta[j][ok] * share[ok])
+                        at = ids[ok, i]
+                        np.add.at(counts, at, w[ok] * alpha[i][ok] * p[at] * beta[i + m][ok] * np.exp(a[i][ok] + b[i + m][ok] - total[ok]))
         return counts
 
 
 def words_in(text: str | None) -> list[str]:
-    return ["▁" + w for w in re.findall(LETTERS, text.lower())] if text else []
+    """Runs of letters, lower-cased, each after the mark of a word's start."""
+    if not text:
+        return []
+    found = re.findall(r"[^\W\d_]+", text.lower())
+    if not all(map(str.isalpha, found)):  # numerals that are no decimal digits
+        found = [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    return ["▁" + w for w in found]
 
 
 def in_training(doc_id):
@@ -159,33 +189,46 @@ def in_training(doc_id):
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", vocabulary_path: str | None = None) -> dict:
     """A model: {"languages", "pieces", "p", "unknown"}.
 
-    Sample: of training rows with lang and a text of 1 to FIT_CHARS characters, the FIT_ROWS of each language with least hash, after a
-    first cut by hash to about MARGIN times as many (by counts over all rows), so that ranking never gathers more. Words are counted
-    in Spark, and only the counts of that bounded sample reach the driver. More than FIT_LANGUAGES languages are an error.
+    Sample: of training rows with lang and a text, the FIT_ROWS of each language with least hash, texts of FIT_CHARS characters or less
+    first, that have FIT_ROWS * FIT_CHARS characters together (but one row at least), after a first cut by hash to about MARGIN times as
+    many rows (by counts over all rows), so that ranking never gathers more. Words are counted on the executors, and only the counts of
+    that bounded sample reach the driver. More than FIT_LANGUAGES languages are an error.
     """
     import numpy as np
 
-    labelled = docs.where(in_training(F.col(key)) & F.col(lang).isNotNull())
+    labelled = docs.where(in_training(F.col(key)) & F.col(lang).isNotNull() & (F.char_length(text) > 0))
     sizes = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(FIT_LANGUAGES + 1).collect()
     if len(sizes) > FIT_LANGUAGES:
         raise ValueError(f"more than {FIT_LANGUAGES} languages")
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, MARGIN * FIT_ROWS / r["n"])) for r in sizes], "lang string, share double")
     h = F.xxhash64(key, text)
-    rows = labelled.where(F.char_length(text).between(1, FIT_CHARS)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"))
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"))
     some = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    picked = some.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text"))).where(F.col("n") <= FIT_ROWS)
-    words = picked.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").count().collect()
+    size = F.char_length("text")
+    by = W.partitionBy("lang").orderBy(size > FIT_CHARS, F.pmod("h", F.lit(1 << 30)), "h", "text")
+    ranked = some.withColumn("n", F.row_number().over(by)).where(F.col("n") <= FIT_ROWS)
+    picked = ranked.withColumn("whole", F.sum(size).over(by.rowsBetween(W.unboundedPreceding, 0))).where((F.col("n") == 1) | (F.col("whole") <= FIT_ROWS * FIT_CHARS))
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = Counter((x, w) for x, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) for w in words_in(t))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in n], pa.string()), pa.array([w for _, w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "word", "count"])
+
+    bound_arrow(docs.sparkSession)
+    words = picked.select("lang", "text").mapInArrow(count, "lang string, word string, count long").groupBy("lang", "word").agg(F.sum("count").alias("count")).collect()
     languages = sorted({r["lang"] for r in words})
     pieces = vocabulary(vocabulary_path)
     model = {"languages": languages, "pieces": pieces, "p": np.zeros((len(pieces), 0)), "unknown": float(np.exp(UNKNOWN))}
     if not languages:
         return model
     place: dict[str, int] = {}
-    for r in words:
-        place.setdefault("▁" + r["word"], len(place))
+    for r in sorted(words):
+        place.setdefault(r["word"], len(place))
     weights = np.zeros((len(place), len(languages)))
     for r in words:
-        weights[place["▁" + r["word"]], languages.index(r["lang"])] += r["count"]
+        weights[place[r["word"]], languages.index(r["lang"])] += r["count"]
     lattice, held = Lattice(pieces), list(place)
     p = np.repeat(np.array([[0.1 ** min(len(x), 5) for x in pieces]]).T, len(languages), 1)
     p /= p.sum(0)
@@ -206,17 +249,20 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
         import pyarrow as pa
 
         lattice, known = Lattice(model["pieces"]), {}
-        scores = np.zeros((0, len(languages)))
+        scores = np.zeros((1024, len(languages)))
         for table in blocks(batches, text, 4_000_000):
             chosen, best = [], []
             texts = table.column(text).to_pylist()
             split = [words_in(t) for t in texts]
-            if len(known) > REMEMBERED:
-                known, scores = {}, scores[:0]
+            if len(known) * len(languages) > REMEMBERED or sum(map(len, known)) > REMEMBERED:
+                known, scores = {}, scores[:1024]
             fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in known))
             if fresh and languages:
-                known.update(zip(fresh, range(len(scores), len(scores) + len(fresh)), strict=True))
-                scores = np.concatenate([scores, lattice.score(fresh, model["p"], model["unknown"])])
+                low, high = len(known), len(known) + len(fresh)
+                known.update(zip(fresh, range(low, high), strict=True))
+                if high > len(scores):
+                    scores = np.concatenate([scores[:low], np.zeros((2 * high - low, len(languages)))])
+                scores[low:high] = lattice.score(fresh, model["p"], model["unknown"])
             for words in split:
                 if not words or not languages:
                     chosen.append("und")

@@ -337,3 +337,68 @@ def test_redaction_against_brute_force(spark, docs):
     df = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(long, "doc_id long, text string, lang string, source string"))
     want = Counter((r.doc_id, None if r.text is None else cut_out(r.text, r.s.spans)) for r in secrets.secret_scan(df, out="s").collect())
     assert Counter((r.doc_id, r.text) for r in secrets.redact(df).collect()) == want
+
+
+def log_sums(word, place, p, unknown):
+    """log of the sum over all segmentations of a word, for one language, piece by piece."""
+    import math
+
+    longest, logs = max(map(len, place)), [0.0]
+    for j in range(1, len(word) + 1):
+        terms = [logs[j - 1] + math.log(unknown)]
+        for m in range(1, min(longest, j) + 1):
+            i = place.get(word[j - m : j])
+            if i is not None and p[i] > 0:
+                terms.append(logs[j - m] + math.log(p[i]))
+        top = max(terms)
+        logs.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return logs[-1]
+
+
+def test_predictions_against_brute_force(spark, docs):
+    import math
+
+    import regex
+
+    more = [(3 * 10**6, "½ ² ³ 12 Ⅷ", "en", "s"), (3 * 10**6 + 1, "onlywordswithoutanyspaceatall" * 40, "en", "s"), (3 * 10**6 + 2, "我们今天一起去公园散步喝茶看花" * 30, "zh", "s"), (3 * 10**6 + 3, "ÉTÉ l'été x²y", None, "s"), (3 * 10**6 + 4, "a" * 300 + " " + "q" * 5000, None, None)]
+    base = docs.select("doc_id", "text", "lang", "source").where("char_length(text) < 1500 or text is null")
+    df = base.union(spark.createDataFrame(more, base.schema))
+    model = langid.fit(df)
+    languages, place = model["languages"], {x: i for i, x in enumerate(model["pieces"])}
+    assert languages == sorted({r.lang for r in df.collect() if r.lang and (r.doc_id is None or __import__("zlib").crc32(str(r.doc_id).encode()) % 3 != 1) and regex.search(r"\p{L}", r.text or "")})
+    known = {}
+    rows = langid.predict(df, model, keep=["doc_id", "text"]).collect()
+    for r in [*rows[:40], *rows[-5:]]:
+        words = ["▁" + w for w in regex.findall(r"\p{L}+", (r.text or "").lower())]
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        for w in words:
+            if w not in known:
+                known[w] = [log_sums(w, place, model["p"][:, k], model["unknown"]) for k in range(len(languages))]
+        total = [sum(known[w][k] for w in words) / sum(map(len, words)) for k in range(len(languages))]
+        assert r.lang_pred == languages[total.index(max(total))] and abs(r.score - 1 / sum(math.exp(t - max(total)) for t in total)) < 1e-6
+
+
+def test_expected_counts_are_derivatives():
+    """Expected counts of pieces are the derivatives of the log-likelihood by the log-probabilities, for short and long words."""
+    import numpy as np
+
+    pieces = ["▁", "a", "b", "ab", "ba", "aba", "▁a"]
+    rng = np.random.default_rng(2)
+    p = rng.random((len(pieces), 2))
+    p /= 2 * p.sum(0)
+    words = ["▁" + "".join(rng.choice(list("abc"), n)) for n in (1, 2, 3, 9, 16, 17, 40, 200)]
+    lattice = langid.Lattice(pieces)
+    got = lattice.expected(words, np.ones((len(words), 2)), p, 1e-7)
+    for i in range(len(pieces)):
+        q = p.copy()
+        q[i] *= 1 + 1e-6
+        near = (lattice.score(words, q, 1e-7) - lattice.score(words, p, 1e-7)).sum(0) / 1e-6
+        assert abs(near - got[i]).max() < 1e-3 * max(1, got[i].max())
+
+
+def test_a_language_of_long_texts_only(spark):
+    df = spark.createDataFrame([(i, ("ein zwei drei " * 2000 if i % 2 else "one two three ") + str(i), "de" if i % 2 else "en") for i in range(12)], "doc_id long, text string, lang string")
+    assert langid.fit(df)["languages"] == ["de", "en"]
+    assert {(r.doc_id % 2, r.lang_pred) for r in langid.op7(df).collect()} == {(0, "en"), (1, "de")}

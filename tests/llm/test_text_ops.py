@@ -218,17 +218,41 @@ def test_plain_pattern_equals_the_full_one():
         assert split(text) == full(text)
 
 
-def test_bpe_answers_that_do_not_fit_are_made_in_place():
+def bpe_block(texts, parts):
+    """What one block sends out, and the answers for its words."""
     import pyarrow as pa
+    import public_tokenizers
+    from types import SimpleNamespace
+
+    import pyspark
+
+    old, pyspark.TaskContext.get = pyspark.TaskContext.get, staticmethod(lambda: SimpleNamespace(partitionId=lambda: 3))
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+        docs = pa.Table.from_batches(list(bpe._positions(public_tokenizers.PATTERN, parts)([batch])))
+        words = list(bpe._words(public_tokenizers.PATTERN, parts)([batch]))
+    finally:
+        pyspark.TaskContext.get = old
+    return docs, pa.Table.from_batches(list(bpe._encode_words(bpe.load_ranks(bpe.default_ranks()))(words)))
 
-    text = "some words here"
-    docs = pa.table({"block": [1], "doc_ids": pa.array([[7]]), "texts": pa.array([bpe.pack([text.encode()])], pa.binary())})
+
+def test_bpe_blocks_join_ids_by_place():
     import public_tokenizers
+    import tiktoken
 
-    ranks = bpe.default_ranks()
-    wrong = pa.table({"block": [1], "part": pa.array([0], pa.int32()), "mark": pa.array([b"x"], pa.binary()), "codes": pa.array([bpe.pack([b"1234"])], pa.binary())})
-    out = bpe._assemble(ranks, public_tokenizers.PATTERN, 1)(None, docs, wrong)
-    assert bpe.load_ranks(ranks)[b"some"] == out.column("ids").to_pylist()[0][0]
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.default_ranks()), special_tokens={})
+    texts = [f"some words é {i % 7} here, and {i}!" for i in range(4500)] + ["", "   "]
+    for parts in (1, 7):
+        docs, words = bpe_block(texts, parts)
+        out = bpe._assemble(None, docs, words)
+        assert docs.num_rows == 3 and dict(zip(out["doc_id"].to_pylist(), out["ids"].to_pylist(), strict=True)) == dict(enumerate(map(own.encode_ordinary, texts)))
+
+
+def test_bpe_answers_that_do_not_fit_are_an_error():
+    docs, _ = bpe_block(["some words here"], 2)
+    _, words = bpe_block(["other words here"], 2)
+    with pytest.raises(ValueError, match="differ between two readings"):
+        bpe._assemble(None, docs, words)
 
 
 def test_decoding_skips_what_is_no_id(spark):

@@ -390,3 +390,27 @@ def test_hosts_of_very_many_labels(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"x://{h}/en/es/") for i, h in enumerate(hosts)] + [(9, "x://a.net/es/")], "page_id long, url string")
     got = {r.page_id: r.rule for r in urls.op5(df).collect()}
     assert got == {i: ruled(f"x://{h}/en/es/")[2][1] for i, h in enumerate(hosts)} | {9: "net/es/"}
+
+
+def test_scores_and_estimates(spark):
+    """Scores are the exact cosines; estimates from packed bits are off by the stated standard deviation; ties go to smaller ids."""
+    rng = np.random.default_rng(5)
+    for dim in (3, 64, 100):
+        x = rng.standard_normal((400, dim)) + 0.3
+        u, turn = ann.unit(x), ann.rotation(dim)
+        mean = u.mean(0)
+        r = u - mean
+        norm = np.sqrt((r * r).sum(1))
+        y = r / norm[:, None] @ turn
+        codes, fit = ann.packed(y >= 0), np.abs(y).sum(1) / np.sqrt(dim)
+        asked = ann.Query(u[:50] @ turn)
+        about = asked.products(slice(0, 50), codes, np.bitwise_count(codes).sum(1), dim) * (norm / fit) + (u[:50] @ mean)[:, None]
+        off = norm / fit * np.sqrt((1 - fit**2) / (dim - 1) + asked.step**2 / 12)
+        z = (about - u[:50] @ u.T) / off
+        assert (np.abs(z[~np.eye(50, 400, dtype=bool)]) < 3).mean() > 0.97
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(np.repeat(rng.standard_normal((60, 8)), 3, axis=0))]
+    got = ann.op1(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for r in got:
+        a, b = np.array(rows[r.query_id][1]), np.array(rows[r.vec_id][1])
+        assert abs(r.score - (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum())) < 1e-12
+    assert {r.query_id for r in got} == {0, 50, 100, 150} and [r.vec_id for r in sorted(got, key=lambda r: (r.query_id, r.rank)) if r.query_id == 0][:2] == [1, 2]

@@ -1,8 +1,8 @@
-"""Version and range expressions as Columns.
+"""Version and range expressions as Columns (D51-D54), by npm's published strict grammar.
 
-A range is an array of structs {lo, lo_open, hi, hi_open, pre}: bounds are version keys (arrays of decimals), null for none. Any
+A range is an array of structs {lo, lo_open, hi, hi_open, pre}: bounds are version keys (arrays of integers), null for none. Any
 interval of the array may hold a version; ``||`` makes several, and hyphen, caret, tilde, wildcard and comparator forms one each.
-Version parts are decimals, as they may exceed 64 bits.
+A version has at most MOST_CHARS characters and no part above LARGEST; a range with a greater part is none.
 """
 
 from __future__ import annotations
@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+LARGEST, MOST_CHARS = 2**53 - 1, 256
 PART = "(0|[1-9][0-9]*)"
-FULL = rf"^\s*[v=]?\s*{PART}\.{PART}\.{PART}(?:-([0-9A-Za-z.-]+))?(?:\+([0-9A-Za-z.-]+))?\s*$"
-NUM = "decimal(38,0)"
-KEY = "array<decimal(38,0)>"
+#: Identifiers of prereleases (numeric ones without leading zeros) and of builds.
+PRE_ID, BUILD_ID = "(?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*)", "[0-9A-Za-z-]+"
+PRE, BUILD = rf"({PRE_ID}(?:\.{PRE_ID})*)", rf"{BUILD_ID}(?:\.{BUILD_ID})*"
+FULL = rf"^\s*v?{PART}\.{PART}\.{PART}(?:-{PRE})?(?:\+({BUILD}))?\s*$"
+NUM = "bigint"
+KEY = "array<bigint>"
 XR = r"(0|[1-9][0-9]*|[xX*])"
-PARTIAL = rf"v?{XR}(?:\.{XR})?(?:\.{XR})?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?"
+PARTIAL = rf"[v=]*{XR}(?:\.{XR}(?:\.{XR}(?:-{PRE})?(?:\+{BUILD})?)?)?"
 #: Requirement statuses (fixed values).
 STATUSES = (
     "RESOLVED", "NO_SATISFYING_VERSION", "NO_ELIGIBLE_TARGET", "INVALID_SPEC", "INVALID_PACKAGE_NAME",
@@ -23,8 +27,14 @@ STATUSES = (
 )
 
 
+def too_large(part: Column) -> Column:
+    """Whether digits make a number above LARGEST."""
+    return (F.char_length(part) > len(str(LARGEST))) | F.coalesce(part.try_cast(NUM) > LARGEST, F.lit(False))
+
+
 def valid(version: Column) -> Column:
-    return F.coalesce(version.rlike(FULL), F.lit(False))
+    small = ~(too_large(F.regexp_extract(version, FULL, 1)) | too_large(F.regexp_extract(version, FULL, 2)) | too_large(F.regexp_extract(version, FULL, 3)))
+    return F.coalesce(version.rlike(FULL) & (F.char_length(F.trim(version)) <= MOST_CHARS) & small, F.lit(False))
 
 
 def key(version: Column) -> Column:
@@ -64,7 +74,7 @@ def _interval(lo, lo_open, hi, hi_open, pre=None) -> Column:
     )
 
 
-INTERVAL = "struct<lo:array<decimal(38,0)>,lo_open:boolean,hi:array<decimal(38,0)>,hi_open:boolean,pre:string>"
+INTERVAL = "struct<lo:array<bigint>,lo_open:boolean,hi:array<bigint>,hi_open:boolean,pre:string>"
 
 
 def _let(value: Column, body) -> Column:
@@ -80,7 +90,8 @@ def comparator(text: Column) -> Column:
     pattern = rf"{OP}\s*{PARTIAL}\s*$"
     part = lambda i: F.regexp_extract(text, pattern, i)
     parsed = F.struct(part(1).alias("op"), *[part(i).try_cast(NUM).alias(n) for i, n in ((2, "a"), (3, "b"), (4, "c"))], F.nullif(part(5), F.lit("")).alias("pre"))
-    return F.when(text.rlike(pattern), _let(parsed, _interval_of))
+    small = ~(too_large(part(2)) | too_large(part(3)) | too_large(part(4)))
+    return F.when(text.rlike(pattern) & small, _let(parsed, _interval_of))
 
 
 def _interval_of(p: Column) -> Column:

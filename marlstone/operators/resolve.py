@@ -33,15 +33,24 @@ def lookups(declared: DataFrame) -> DataFrame:
 def resolve(looked: DataFrame, versions: DataFrame) -> DataFrame:
     """``looked`` with status, target_version. ``versions``: name, version.
 
-    Eligible versions are joined by name; the greatest that satisfies wins, ties to the smaller text. A name's versions are joined with
-    its distinct requirements only, and the range test is an expression, so it stays within the JVM.
+    The greatest version in a range is the last one before the range's upper bound, if that is not below the lower bound. So bounds
+    and versions of a name are put in one order and each bound takes the version before it: a name with many versions and many
+    requirements costs their sum, not their product. Equal versions are one, by the smaller text.
     """
     spec = looked.withColumn("status", semver.spec_status(F.col("declared_name"), F.col("requirement"))).withColumn("ranges", semver.parse_range(F.col("requirement")))
-    eligible = versions.where(semver.classify(F.col("version")) == "ELIGIBLE").select(F.col("name").alias("declared_name"), "version", semver.key(F.col("version")).alias("key")).distinct()
+    eligible = versions.where(semver.classify(F.col("version")) == "ELIGIBLE").groupBy(F.col("name").alias("declared_name"), semver.key(F.col("version")).alias("key")).agg(F.min("version").alias("version"))
+    place = lambda key, side: F.struct(key.isNull().alias("end"), key.alias("key"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    ranges = spec.where("status is null").select("declared_name", "lookup_id", F.explode("ranges").alias("r"))
+    # an open bound stands before an equal version, a closed one behind it
+    bound = place(F.col("r.hi"), F.when(F.col("r.hi_open") | F.col("r.pre").isNotNull(), 0).otherwise(2))
+    none = F.lit(None)
+    both = ranges.select("declared_name", bound.alias("at"), none.cast("struct<key:array<bigint>,version:string>").alias("v"), "lookup_id", "r").unionByName(
+        eligible.select("declared_name", place(F.col("key"), 1).alias("at"), F.struct("key", "version").alias("v"), none.cast("string").alias("lookup_id"), none.cast(semver.INTERVAL).alias("r"))
+    )
+    before = F.last("v", ignorenulls=True).over(W.partitionBy("declared_name").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    met = both.withColumn("v", before).where(F.col("lookup_id").isNotNull() & F.col("v").isNotNull()).where(semver.satisfies(F.col("v.key"), F.array("r")))
+    best = met.groupBy("lookup_id").agg(F.max_by("v.version", "v.key").alias("target_version"))
     some = eligible.select("declared_name").distinct().withColumn("known", F.lit(True))
-    fits = spec.where("status is null").join(eligible, "declared_name").where(semver.satisfies(F.col("key"), F.col("ranges")))
-    w = W.partitionBy("lookup_id").orderBy(F.desc("key"), "version")
-    best = fits.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("lookup_id", F.col("version").alias("target_version"))
     out = spec.join(best, "lookup_id", "left").join(some, "declared_name", "left")
     status = F.coalesce("status", F.when(F.col("target_version").isNotNull(), "RESOLVED").when(F.col("known"), "NO_SATISFYING_VERSION").otherwise("NO_ELIGIBLE_TARGET"))
     return out.select("lookup_id", "declared_name", "requirement", status.alias("status"), "target_version")
@@ -64,10 +73,20 @@ def dependents_count(edge_list: DataFrame, population: DataFrame, source: str, t
 
 
 def birth_index(events: DataFrame, calendar: DataFrame, at: str, last: int) -> DataFrame:
-    """The first calendar slot at or after an instant, from a sorted array of the calendar: a small parameter, no join."""
-    slots = calendar.agg(F.sort_array(F.collect_list(F.struct("snapshot_timestamp", "slot"))).alias("__slots"))
-    found = F.get(F.filter("__slots", lambda s: s["snapshot_timestamp"] >= F.col(at)), F.lit(0))["slot"]
-    return events.crossJoin(F.broadcast(slots)).withColumn("birth_index", F.coalesce(found, F.lit(last))).drop("__slots")
+    """The first calendar slot at or after an instant, ``last`` behind the calendar: the calendar's dates cut the time into half-open
+    stretches, which are a small table of their own, met by the stretch's number as an array search finds it."""
+    slots = calendar.agg(F.sort_array(F.collect_list(F.struct("snapshot_timestamp", "slot"))).alias("s")).first()["s"]
+    if not slots:
+        return events.withColumn("birth_index", F.lit(last))
+    found = F.lit(last)
+    # a balanced tree of comparisons, as the calendar is a parameter of some hundred dates
+    def tree(low: int, high: int):
+        if low == high:
+            return F.lit(slots[low]["slot"]) if low < len(slots) else found
+        middle = (low + high) // 2
+        return F.when(F.col(at) <= F.lit(slots[middle]["snapshot_timestamp"]), tree(low, middle)).otherwise(tree(middle + 1, high))
+
+    return events.withColumn("birth_index", F.when(F.col(at).isNull(), found).otherwise(tree(0, len(slots))))
 
 
 def winners_over_time(candidates: DataFrame, by: list[str], close: int) -> DataFrame:
@@ -104,14 +123,59 @@ def weighted_sweep(weights: DataFrame, intervals: DataFrame, close: int) -> Data
     return running(deltas(cut, ["target"], weight=F.col("weight")), ["target"], close)
 
 
-def source_status(first_last: DataFrame, close: int) -> DataFrame:
-    """At most three intervals a source: BEFORE its first resolution, RESOLVED from it, and ENDED after its last."""
-    born, first, last = F.col("birth_index"), F.col("first_resolved"), F.col("last_resolved")
-    part = lambda a, b, s: F.struct(a.cast("int").alias("start_index"), b.cast("int").alias("end_index"), F.lit(s).alias("status"))
-    rows = F.array(
-        part(born, F.coalesce(first, F.lit(close)), "UNRESOLVED"), part(F.coalesce(first, F.lit(close)), F.coalesce(last, F.lit(close)), "RESOLVED"), part(F.coalesce(last, F.lit(close)), F.lit(close), "ENDED")
+#: Statuses of a source, in order of precedence (fixed values).
+SOURCE_STATUSES = ("MISSING_REQUIREMENTS", "NULL_DEPENDENCY_LIST", "DEPENDENCY_EXTRACTION_ERROR", "DEPENDENCY_EXTRACTION_UNKNOWN", "OBSERVED_NO_DEPENDENCIES", "RESOLVED", "PARTIAL", "UNRESOLVED")
+
+
+def standing(declared: Column) -> Column:
+    """The status that a source has all the time, whatever resolves; null if that depends. From has_requirements, null_dependencies and dependency_error."""
+    return (
+        F.when(~F.col("has_requirements"), SOURCE_STATUSES[0]).when(F.col("null_dependencies"), SOURCE_STATUSES[1]).when(F.col("dependency_error"), SOURCE_STATUSES[2])
+        .when(F.col("dependency_error").isNull(), SOURCE_STATUSES[3]).when(declared == 0, SOURCE_STATUSES[4])
+    )
+
+
+def source_intervals(sources: DataFrame, resolved: DataFrame, close: int) -> DataFrame:
+    """(source, start_index, end_index, resolved_count, unresolved_count, status) from each source's birth to ``close``.
+
+    ``sources``: source, birth_index, has_requirements, null_dependencies, dependency_error, declaration_count. ``resolved``: source,
+    start_index, end_index of each declaration while it is resolved. A source's intervals change where the number of its
+    resolved declarations does; a change of the target alone changes nothing.
+    """
+    births = sources.select("source", F.col("birth_index").alias("index"), F.lit(0).cast("long").alias("delta"))
+    steps = births.unionByName(deltas(resolved, ["source"]).select("source", "index", F.col("delta").cast("long").alias("delta"))).groupBy("source", "index").agg(F.sum("delta").alias("delta"))
+    w = W.partitionBy("source").orderBy("index")
+    parts = steps.select(
+        "source", F.col("index").alias("start_index"), F.lead("index", 1, close).over(w).alias("end_index"), F.sum("delta").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("resolved_count")
+    ).where("start_index < end_index")
+    n = F.col("declaration_count")
+    status = F.coalesce(standing(n), F.when(F.col("resolved_count") == n, SOURCE_STATUSES[5]).when(F.col("resolved_count") > 0, SOURCE_STATUSES[6]).otherwise(SOURCE_STATUSES[7]))
+    return parts.join(sources.drop("birth_index"), "source").select("source", "start_index", "end_index", "resolved_count", (n - F.col("resolved_count")).alias("unresolved_count"), status.alias("status"))
+
+
+def first_resolutions(declared: DataFrame, firsts: DataFrame) -> DataFrame:
+    """For each source declaration_count, never_resolved_count, and the first and last index at which a declaration of it is first resolved.
+
+    ``declared``: source, birth_index, lookup_id; ``firsts``: lookup_id, first_resolved. A declaration isn't resolved before its source is born.
+    """
+    at = F.when(F.col("first_resolved").isNotNull(), F.greatest("birth_index", "first_resolved"))
+    return declared.join(firsts, "lookup_id", "left").withColumn("at", at).groupBy("source").agg(
+        F.min("birth_index").alias("birth_index"), F.count("*").alias("declaration_count"), F.count_if(F.col("at").isNull()).alias("never_resolved_count"), F.min("at").alias("first_any"), F.max("at").alias("last_first")
     )
-    return first_last.select("source", F.explode(rows).alias("s")).select("source", "s.*").where("start_index < end_index")
+
+
+def source_status(sources: DataFrame, close: int) -> DataFrame:
+    """(source, start_index, end_index, status): one interval of a standing status, or UNRESOLVED until the first declaration is
+    resolved, PARTIAL until the last one is, and RESOLVED from then on, where what is once resolved stays so.
+
+    ``sources``: as :func:`first_resolutions` gives them, with has_requirements, null_dependencies and dependency_error.
+    """
+    part = lambda a, b, s: F.struct(a.cast("int").alias("start_index"), b.cast("int").alias("end_index"), s.alias("status"))
+    born, end, always = F.col("birth_index"), F.lit(close), standing(F.col("declaration_count"))
+    some, every = F.coalesce("first_any", end), F.when(F.col("never_resolved_count") == 0, F.coalesce("last_first", end)).otherwise(end)
+    turns = F.array(part(born, some, F.lit("UNRESOLVED")), part(some, every, F.lit("PARTIAL")), part(every, end, F.lit("RESOLVED")))
+    rows = F.when(always.isNotNull(), F.array(part(born, end, always))).otherwise(turns)
+    return sources.select("source", F.explode(rows).alias("s")).select("source", "s.*").where("start_index < end_index")
 
 
 def status_series(intervals: DataFrame, close: int, status: str = "status") -> DataFrame:

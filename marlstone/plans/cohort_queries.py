@@ -92,11 +92,11 @@ def cohort_conservation(spark, d):
     return c.conservation_faults(classes, c.counted(classes, targets, kinds, per.select("period")))
 
 
-@register("reverse_dependents", f"""WITH d AS (SELECT DISTINCT l_suppkey % {TARGETS} AS target, l_returnflag AS kind, o_custkey AS dependent FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'),
+@register("reverse_dependents", f"""WITH d AS (SELECT DISTINCT l_suppkey % {TARGETS} AS target, l_returnflag AS kind, o_custkey AS dependent FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 g AS (SELECT t.range AS target, k.kind FROM range({TARGETS + 5}) t CROSS JOIN (VALUES ('A'), ('N'), ('R')) k(kind))
 SELECT g.target, g.kind, count(dependent) AS n_dependents, coalesce(array_to_string(list_sort(list(dependent) FILTER (WHERE dependent IS NOT NULL)), '|'), '') AS dependents FROM g LEFT JOIN d ON d.target = g.target AND d.kind = g.kind GROUP BY 1, 2""")
 def reverse_dependents(spark, d):
-    items, orders = table(spark, d, "lineitem"), table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    items, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     decl = items.join(orders, items.l_orderkey == orders.o_orderkey).select((F.col("l_suppkey") % TARGETS).alias("target"), F.col("l_returnflag").alias("kind"), F.col("o_custkey").alias("dependent"))
     targets, kinds = spark.range(TARGETS + 5).select(F.col("id").alias("name")), _grid(spark)[1]
     return c.reverse_dependents(decl, targets, kinds).withColumn("dependents", F.array_join(F.col("dependents").cast("array<string>"), "|"))

@@ -88,22 +88,79 @@ def weighted_sweep(spark, d):
     return densify(v.weighted_sweep(v.weighted_births(_decl(spark, d)), _winners(spark, d), CLOSE)).select("target", "index", "active")
 
 
-@register("direct_dependents", "WITH e AS (SELECT DISTINCT l_suppkey AS target, o_custkey AS source FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P') SELECT s_suppkey AS target, count(source) AS dependents_count FROM supplier LEFT JOIN e ON target = s_suppkey GROUP BY 1")
+@register("direct_dependents", "WITH e AS (SELECT DISTINCT l_suppkey AS target, o_custkey AS source FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT s_suppkey AS target, count(source) AS dependents_count FROM supplier LEFT JOIN e ON target = s_suppkey GROUP BY 1")
 def direct_dependents(spark, d):
-    i, o = table(spark, d, "lineitem"), table(spark, d, "orders").where("o_orderstatus = 'P'")
+    i, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     e = i.join(o, i.l_orderkey == o.o_orderkey).select(F.col("l_suppkey").alias("target"), F.col("o_custkey").alias("source"))
     return v.dependents_count(e, table(spark, d, "supplier").select(F.col("s_suppkey").alias("target")), "source", ["target"])
 
 
-@register("source_status_series", f"""WITH f AS (SELECT o_custkey AS source, min(o_orderkey % {CLOSE}) AS b, min(o_orderkey % {CLOSE}) FILTER (WHERE o_orderstatus = 'F') AS x, max(o_orderkey % {CLOSE}) FILTER (WHERE o_orderstatus = 'F') AS y FROM orders GROUP BY 1),
-i AS (SELECT source, b AS s, coalesce(x, {CLOSE}) AS e, 'UNRESOLVED' AS status FROM f UNION ALL SELECT source, coalesce(x, {CLOSE}), coalesce(y, {CLOSE}), 'RESOLVED' FROM f UNION ALL SELECT source, coalesce(y, {CLOSE}), {CLOSE}, 'ENDED' FROM f)
-SELECT status, index, count(*) AS active FROM (SELECT status, unnest(range(s, e)) AS index FROM i WHERE s < e) GROUP BY 1, 2""")
+SOURCES = f"""src AS (
+  SELECT o_custkey AS source, min(o_orderkey % {CLOSE}) AS birth, o_custkey % 23 <> 0 AS has_requirements, o_custkey % 19 = 0 AS null_dependencies,
+    CASE WHEN o_custkey % 17 = 0 THEN true WHEN o_custkey % 13 <> 0 THEN false END AS dependency_error
+  FROM orders GROUP BY o_custkey),
+decl AS (SELECT o_custkey AS source, l_suppkey AS lookup_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 11 <> 0),
+firsts AS (SELECT l_suppkey AS lookup_id, min(l_orderkey % {CLOSE}) AS first FROM lineitem WHERE l_suppkey % 5 <> 0 GROUP BY 1),
+slots AS (SELECT *, unnest(range(birth, {CLOSE})) AS index FROM src)"""
+
+
+def _sources(spark, d):
+    key, o = F.col("o_custkey"), table(spark, d, "orders")
+    error = F.when(key % 17 == 0, True).when(key % 13 != 0, False)
+    return o.groupBy(key).agg(F.min(F.col("o_orderkey") % CLOSE).alias("birth_index")).select(key.alias("source"), "birth_index", (key % 23 != 0).alias("has_requirements"), (key % 19 == 0).alias("null_dependencies"), error.alias("dependency_error"))
+
+
+def _declared_and_firsts(spark, d):
+    i, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    declared = i.join(o, i.l_orderkey == o.o_orderkey).where("o_custkey % 11 <> 0").select(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("lookup_id"))
+    firsts = i.where("l_suppkey % 5 <> 0").groupBy(F.col("l_suppkey").alias("lookup_id")).agg(F.min(F.col("l_orderkey") % CLOSE).alias("first_resolved"))
+    return declared, firsts
+
+
+STATUS = """CASE WHEN NOT has_requirements THEN 'MISSING_REQUIREMENTS' WHEN null_dependencies THEN 'NULL_DEPENDENCY_LIST' WHEN dependency_error THEN 'DEPENDENCY_EXTRACTION_ERROR'
+  WHEN dependency_error IS NULL THEN 'DEPENDENCY_EXTRACTION_UNKNOWN' WHEN n = 0 THEN 'OBSERVED_NO_DEPENDENCIES' WHEN done = n THEN 'RESOLVED' WHEN done > 0 THEN 'PARTIAL' ELSE 'UNRESOLVED' END"""
+
+
+@register("source_status_series", f"""WITH {SOURCES},
+each_ AS (SELECT s.source, s.index, count(d.lookup_id) AS n, count(*) FILTER (f.first <= s.index) AS done FROM slots s LEFT JOIN decl d USING (source) LEFT JOIN firsts f USING (lookup_id) GROUP BY 1, 2)
+SELECT {STATUS} AS status, index, count(*) AS active FROM each_ JOIN src USING (source) GROUP BY 1, 2""")
 def source_status_series(spark, d):
+    """Compared slot by slot with a brute-force count of resolved declarations."""
+    from ..operators.windows import densify
+
+    sources, (declared, firsts) = _sources(spark, d), _declared_and_firsts(spark, d)
+    counted = v.first_resolutions(declared.join(sources.select("source", "birth_index"), "source"), firsts).drop("birth_index")
+    every = sources.join(counted, "source", "left").fillna(0, ["declaration_count", "never_resolved_count"])
+    return densify(v.status_series(v.source_status(every, CLOSE), CLOSE)).select("status", F.col("index").cast("long").alias("index"), "active")
+
+
+@register("source_intervals_series", f"""WITH {SOURCES},
+spans AS (SELECT source, lookup_id, CASE WHEN first IS NOT NULL THEN greatest(birth, first) END AS a, CASE WHEN first IS NOT NULL THEN least({CLOSE}, greatest(birth, first) + 10 + lookup_id % 40) END AS z FROM decl JOIN src USING (source) LEFT JOIN firsts USING (lookup_id)),
+each_ AS (SELECT s.source, s.index, count(d.lookup_id) AS n, count(*) FILTER (d.a <= s.index AND s.index < d.z) AS done FROM slots s LEFT JOIN spans d USING (source) GROUP BY 1, 2)
+SELECT {STATUS} AS status, index, count(*) AS active, CAST(sum(done) AS BIGINT) AS resolved, CAST(sum(n - done) AS BIGINT) AS unresolved FROM each_ JOIN src USING (source) GROUP BY 1, 2""")
+def source_intervals_series(spark, d):
+    """Resolutions that end again, compared slot by slot."""
     from ..operators.windows import densify
 
-    slot, done = F.col("o_orderkey") % CLOSE, F.col("o_orderstatus") == "F"
-    f = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("source")).agg(F.min(slot).alias("birth_index"), F.min(F.when(done, slot)).alias("first_resolved"), F.max(F.when(done, slot)).alias("last_resolved"))
-    return densify(v.status_series(v.source_status(f, CLOSE), CLOSE)).select("status", F.col("index").cast("long").alias("index"), "active")
+    sources, (declared, firsts) = _sources(spark, d), _declared_and_firsts(spark, d)
+    met = declared.join(sources.select("source", "birth_index"), "source").join(firsts, "lookup_id")
+    start = F.greatest("birth_index", "first_resolved")
+    spans = met.select("source", start.alias("start_index"), F.least(F.lit(CLOSE), start + 10 + F.col("lookup_id") % 40).alias("end_index"))
+    n = declared.groupBy("source").agg(F.count("*").alias("declaration_count"))
+    each = densify(v.source_intervals(sources.join(n, "source", "left").fillna(0, ["declaration_count"]), spans, CLOSE))
+    return each.groupBy("status", "index").agg(F.count("*").alias("active"), F.sum("resolved_count").alias("resolved"), F.sum("unresolved_count").alias("unresolved"))
+
+
+@register("source_edges", "SELECT o_custkey AS name, l_suppkey % 40 AS target_name, list_sort(list(DISTINCT l_returnflag)) AS kinds FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def source_edges(spark, d):
+    """Declarations taken out of arrays, looked up once each, and collapsed into edges with their kinds."""
+    i, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    rows = i.join(o, i.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("name"), "l_returnflag", F.concat(F.lit("p"), F.col("l_suppkey") % 40).alias("t"))
+    arrays = rows.groupBy("name").agg(*[F.collect_list(F.when(F.col("l_returnflag") == k, F.struct(F.col("t").alias("Name"), F.lit("^1.0.0").alias("Requirement")))).alias(k) for k in "ANR"])
+    declared = v.declarations(arrays, ["name"], [(k, k) for k in "ANR"])
+    versions = declared.select(F.col("declared_name").alias("name"), F.lit("1.2.0").alias("version")).distinct()
+    edges = v.edges(declared, v.resolve(v.lookups(declared), versions), ["name"])
+    return edges.select("name", F.substring("target_name", 2, 9).cast("long").alias("target_name"), "kinds")
 
 
 @register("population_over_time", f"SELECT birth_index, born, CAST(sum(born) OVER (ORDER BY birth_index) AS BIGINT) AS population FROM (SELECT o_orderkey % {CLOSE} AS birth_index, count(*) AS born FROM orders GROUP BY 1)")

@@ -18,7 +18,7 @@ def one(spark, value, kind, f):
         ("~1", ["1.0.0", "1.9.9"], ["2.0.0"]), ("1.x", ["1.5.0"], ["2.0.0"]), ("*", ["0.0.1", "9.9.9"], []), ("", ["3.0.0"], []), ("1.2", ["1.2.7"], ["1.3.0"]),
         (">=1.0.0 <2.0.0", ["1.0.0", "1.99.0"], ["2.0.0", "0.9.9"]), ("1.0.0 - 1.4", ["1.0.0", "1.4.9"], ["1.5.0"]), ("^1.0.0 || ^3.0.0", ["1.1.0", "3.2.0"], ["2.0.0"]),
         (">1.2", ["1.3.0"], ["1.2.9"]), ("<=1.2", ["1.2.9"], ["1.3.0"]), ("=1.2.3", ["1.2.3"], ["1.2.4"]), ("v1.2.3", ["1.2.3"], ["1.2.4"]), ("> 1.2.3", ["1.2.4"], ["1.2.3"]),
-        ("99999999999999999999.x", ["99999999999999999999.1.0"], ["1.0.0"]), ("<0.0.0", [], ["0.0.0"]), ("^1.2.3-beta.1", ["1.2.3", "1.3.0"], ["2.0.0"]),
+        ("9007199254740990.x", ["9007199254740990.1.0"], ["1.0.0"]), ("<0.0.0", [], ["0.0.0"]), ("^1.2.3-beta.1", ["1.2.3", "1.3.0"], ["2.0.0"]),
     ],
 )
 def test_ranges(spark, range_, inside, outside):
@@ -125,3 +125,33 @@ def test_chart_domains(spark):
     rows = spark.createDataFrame([(10.0, 10.0), (0.0, 0.0), (100.0, 5000.0), (1.0, 4.0)], "a double, b double").select(charts.domain(F.col("a"), F.col("b")).alias("d")).select("d", charts.ticks(F.col("d"), 4).alias("t")).collect()
     assert tuple(rows[0].d) == (9.0, 11.0) and tuple(rows[1].d) == (0.0, 1.0) and rows[2].d.hi == pytest.approx(5750.0) or rows[2].d.hi < 5750.0
     assert len(rows[2].t) == 5 and rows[2].t == sorted(rows[2].t) and all(x == int(x) for x in rows[3].t)
+
+
+def test_versions_are_npm_strict(spark):
+    kinds = {
+        "1.2.3": "ELIGIBLE", " v1.2.3 ": "ELIGIBLE", "1.2.3+build.01": "ELIGIBLE", "0.0.0": "ELIGIBLE", "1.9007199254740991.0": "ELIGIBLE", "1.2.3-0a": "PRERELEASE_TARGET", "1.2.3-a.0.b-c": "PRERELEASE_TARGET", "1.2.3--": "PRERELEASE_TARGET",
+        "=1.2.3": "INVALID_TARGET_SEMVER", "v 1.2.3": "INVALID_TARGET_SEMVER", "1.9007199254740992.0": "INVALID_TARGET_SEMVER", "1.99999999999999999999.0": "INVALID_TARGET_SEMVER", "1.2.3-01": "INVALID_TARGET_SEMVER", "1.2.3-a..b": "INVALID_TARGET_SEMVER",
+        "1.2.3-": "INVALID_TARGET_SEMVER", "1.2": "INVALID_TARGET_SEMVER", "01.2.3": "INVALID_TARGET_SEMVER", "1.2.3+": "INVALID_TARGET_SEMVER", "1.2.3+a_b": "INVALID_TARGET_SEMVER", "1.2.3-" + "a" * 251: "INVALID_TARGET_SEMVER", "1.2.3-" + "a" * 250: "PRERELEASE_TARGET", "": "INVALID_TARGET_SEMVER",
+    }
+    rows = spark.createDataFrame([(k,) for k in kinds], "v string").select("v", semver.classify(F.col("v")).alias("kind")).collect()
+    assert {r.v: r.kind for r in rows} == kinds
+    bad = ["^99999999999999999999", ">=1.9007199254740992.0", "1.2.3-01", "1.2-beta", "~1.2.3-a..b", "1.2.3.4"]
+    good = ["=v1.2.3", ">= 1.2", "1.x", "*", "", "^0.2.3-beta.1", "1.2.3 - 2", "<=1.2.3+b || 5"]
+    rows = spark.createDataFrame([(x,) for x in bad + good], "r string").select("r", semver.parse_range(F.col("r")).isNotNull().alias("ok")).collect()
+    assert {r.r for r in rows if r.ok} == set(good)
+
+
+def test_resolution_against_brute_force(spark):
+    """One name with many versions and requirements; equal versions by the smaller text."""
+    from marlstone.operators import resolve
+
+    versions = [f"{a}.{b}.{c}" for a in range(4) for b in range(4) for c in range(3) if (a * b + c) % 4 != 3] + ["v1.2.0", "2.0.0+b", "2.0.0+a", "3.3.3-rc.1", "bad"]
+    asked = [f"{op}{a}.{b}.{c}" for op in ("", "^", "~", ">", ">=", "<", "<=") for a in (0, 1, 2, 9) for b in (0, 2) for c in (0, 1)] + ["*", "", "1", "1.x", "<1 || >=3", "0.1 - 1.2", ">1.1 <2.2", ">2 <1", "^1.0.0-rc.1", "latest"]
+    looked = resolve.lookups(spark.createDataFrame([("p", x) for x in asked] + [("none", "*")], "declared_name string, requirement string"))
+    got = {(r.declared_name, r.requirement): (r.status, r.target_version) for r in resolve.resolve(looked, spark.createDataFrame([("p", x) for x in versions], "name string, version string")).collect()}
+    pairs = spark.createDataFrame([(x, w) for x in asked for w in versions], "r string, v string").where(semver.classify(F.col("v")) == "ELIGIBLE")
+    fits = pairs.select("r", "v", semver.key(F.col("v")).alias("key")).where(semver.satisfies(F.col("key"), semver.parse_range(F.col("r")))).collect()
+    want = {}
+    for r in sorted(sorted(fits, key=lambda r: r.v, reverse=True), key=lambda r: r.key):
+        want[r.r] = r.v
+    assert {k[1]: t for k, (_, t) in got.items() if t} == want and got["none", "*"] == ("NO_ELIGIBLE_TARGET", None) and got["p", "latest"] == ("UNSUPPORTED_TAG", None) and got["p", ">2 <1"] == ("NO_SATISFYING_VERSION", None)

@@ -24,7 +24,7 @@ def representatives(releases: DataFrame, name: str = "name", ordinal: str = "ord
 
 def representative_at(reps: DataFrame, points: DataFrame, name: str = "name", ordinal: str = "ordinal", at: str = "published_at", version: str = "version") -> DataFrame:
     """(name, point, version) of the greatest ordinal at or before each point. ``points``: point, t; a few rows."""
-    return reps.join(F.broadcast(points), F.col(at) <= F.col("t")).groupBy(name, "point").agg(F.max_by(version, F.struct(ordinal, version)).alias(version))
+    return reps.join(points, F.col(at) <= F.col("t")).groupBy(name, "point").agg(F.max_by(version, F.struct(ordinal, version)).alias(version))
 
 
 def declared_at(rep_points: DataFrame, declared: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def declared_at(rep_points: DataFrame, declared: DataFrame, targets: DataFrame |
 
 def moved(reps: DataFrame, periods: DataFrame, t2: Column) -> DataFrame:
     """(dependent, period) with a representative release in (t1, t2]."""
-    return reps.join(F.broadcast(periods), (F.col("published_at") > F.col("t1")) & (F.col("published_at") <= t2)).select(F.col("name").alias("dependent"), "period").distinct()
+    return reps.join(periods, (F.col("published_at") > F.col("t1")) & (F.col("published_at") <= t2)).select(F.col("name").alias("dependent"), "period").distinct()
 
 
 def classify(declared: DataFrame, moved_: DataFrame, lives: DataFrame, periods: DataFrame, stale: Column, dormant: Column) -> DataFrame:
@@ -49,8 +49,9 @@ def classify(declared: DataFrame, moved_: DataFrame, lives: DataFrame, periods:
     ``declared``: dependent, point (a period's name, or t2), target, kind; ``lives``: dependent, first_release, last_release;
     ``periods``: period, t1. a and b: declared at t1 and at t2. Freshness is one exclusive CASE, so its parts add up.
     """
-    points = declared.join(F.broadcast(periods), (F.col("point") == F.col("period")) | (F.col("point") == "t2"))
-    states = points.groupBy("period", "t1", "target", "kind", "dependent").agg(F.bool_or(F.col("point") == F.col("period")).alias("a"), F.bool_or(F.col("point") == "t2").alias("b"))
+    # a period meets its own point and the common end
+    each = periods.select("period", "t1", F.explode(F.array(F.col("period"), F.lit("t2"))).alias("point"))
+    states = declared.join(each, "point").groupBy("period", "t1", "target", "kind", "dependent").agg(F.bool_or(F.col("point") == F.col("period")).alias("a"), F.bool_or(F.col("point") == "t2").alias("b"))
     went = moved_.select("dependent", "period").distinct().withColumn("moved", F.lit(True))
     rows = states.join(went, ["dependent", "period"], "left").join(lives, "dependent", "left")
     fresh = F.when(F.col("last_release") > stale, "recent").when(F.col("last_release") > dormant, "stale").otherwise("dormant")
@@ -80,6 +81,6 @@ def conservation_faults(classes: DataFrame, counts: DataFrame) -> DataFrame:
 def reverse_dependents(declared: DataFrame, targets: DataFrame, kinds: DataFrame) -> DataFrame:
     """For each target and kind, the count of distinct dependents and their sorted array; zero rows are kept."""
     facts = declared.join(targets.select(F.col("name").alias("target")), "target", "left_semi").select("target", "kind", "dependent").distinct().groupBy("target", "kind").agg(F.count("*").alias("n_dependents"), F.array_sort(F.collect_list("dependent")).alias("dependents"))
-    grid = targets.select(F.col("name").alias("target")).crossJoin(F.broadcast(kinds.select("kind")))
+    grid = targets.select(F.col("name").alias("target")).crossJoin(kinds.select("kind"))
     empty = F.array().cast(facts.schema["dependents"].dataType)
     return grid.join(facts, ["target", "kind"], "left").select("target", "kind", F.coalesce("n_dependents", F.lit(0)).alias("n_dependents"), F.coalesce("dependents", empty).alias("dependents"))

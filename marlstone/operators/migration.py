@@ -13,9 +13,13 @@ TIERS = {"strict": {"votes": 12, "months": 10, "a_rate": 0.03}, "recommended": {
 LEAST_LIFT, DEFAULT_VOTES, DEFAULT_MONTHS = 5, 5, 3
 
 
+#: What is taken off a repository's address (fixed pattern): an ending, and one prefix.
+ADDRESS = r"\.git$|^git\+|^https?://|^git://|^ssh://git@"
+
+
 def publisher(name: Column, repository: Column) -> Column:
     """The scope of a scoped name, else the normalised repository, else the name."""
-    bare = F.trim(F.regexp_replace(F.lower(repository), r"\.git$|^git\+|^https?://|^git://|^ssh://git@", ""))
+    bare = F.trim(F.regexp_replace(F.lower(repository), ADDRESS, ""))
     return F.when(name.startswith("@"), F.split_part(name, F.lit("/"), F.lit(1))).otherwise(F.coalesce(F.nullif(bare, F.lit("")), name))
 
 
@@ -43,7 +47,7 @@ def removal_events(trans: DataFrame) -> DataFrame:
 def base_rates(trans: DataFrame) -> DataFrame:
     """The share of all transitions that add a package."""
     n = trans.agg(F.count("*").alias("n"))
-    return trans.select(F.explode("added").alias("to_pkg")).groupBy("to_pkg").agg(F.count("*").alias("adds")).crossJoin(F.broadcast(n)).select("to_pkg", F.try_divide(F.col("adds").cast("double"), "n").alias("b_rate"))
+    return trans.select(F.explode("added").alias("to_pkg")).groupBy("to_pkg").agg(F.count("*").alias("adds")).crossJoin(n).select("to_pkg", F.try_divide(F.col("adds").cast("double"), "n").alias("b_rate"))
 
 
 def month_key(publisher_: str, at: str) -> Column:
@@ -114,7 +118,7 @@ def removals_by_year(trans: DataFrame, name: str = "name") -> DataFrame:
 
 def removals_by_period(trans: DataFrame, periods: DataFrame, name: str = "name") -> DataFrame:
     """Removals in (t1, t2] of each of a few overlapping periods (period, t1, t2)."""
-    rows = _removed(trans).join(F.broadcast(periods), (F.col("to_ts") > F.col("t1")) & (F.col("to_ts") <= F.col("t2")))
+    rows = _removed(trans).join(periods, (F.col("to_ts") > F.col("t1")) & (F.col("to_ts") <= F.col("t2")))
     return rows.groupBy("period", "removed_pkg").agg(
         F.count("*").alias("removals"), F.count_if(~F.col("replaced")).alias("removals_no_replacement"), F.count_if("replaced").alias("removals_with_replacement"), F.countDistinct(name).alias("dependents")
     )

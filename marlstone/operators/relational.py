@@ -69,14 +69,41 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def filled_grid(facts: DataFrame, *axes: DataFrame, measures: list[str]) -> DataFrame:
-    """Every combination of the axes' rows, with 0 where ``facts`` has none. Axes but the first are small parameters and broadcast."""
+    """Every combination of the axes' rows, with 0 where ``facts`` has none. The grid is the result, so its size is what was asked for; the engine sees which axis is small."""
     grid = axes[0]
     for axis in axes[1:]:
-        grid = grid.crossJoin(F.broadcast(axis))
+        grid = grid.crossJoin(axis)
     keys = grid.columns
     return grid.join(facts, keys, "left").select(*keys, *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in measures])
 
 
+def projected(df: DataFrame, exclude: tuple[str, ...] = (), replace: dict[str, Column] | None = None) -> DataFrame:
+    """All columns but ``exclude``, some replaced in their places; a column that isn't there is an error."""
+    replace = replace or {}
+    absent = [c for c in (*exclude, *replace) if c not in df.columns]
+    if absent:
+        raise ValueError(f"no such columns: {absent}")
+    return df.select(*[replace[c].alias(c) if c in replace else df[c] for c in df.columns if c not in exclude])
+
+
+def guarded_sum(value: Column, most: int = 2**63 - 1) -> Column:
+    """A sum in wide decimals, as a 64-bit integer; an error if it exceeds ``most`` either way, null without values."""
+    total = F.sum(value.cast("decimal(38,0)"))
+    return F.when(F.abs(total) > F.lit(most), F.raise_error(F.concat(F.lit("sum out of range: "), total.cast("string")))).otherwise(total.cast("long"))
+
+
+def partials(df: DataFrame, by: list[str], value: str, part: Column) -> DataFrame:
+    """What :func:`merged_partials` needs of each ``part`` of the rows (a file, a day): rows, values, sum, least, greatest and a sketch of distinct values."""
+    v = F.col(value)
+    return df.groupBy(part.alias("part"), *by).agg(F.count("*").alias("n"), F.count(v).alias("n_values"), F.sum(v.cast("decimal(38,4)")).alias("total"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.hll_sketch_agg(v).alias("sketch"))
+
+
+def merged_partials(parts: DataFrame, by: list[str]) -> DataFrame:
+    """The aggregates over all parts, from partials that may come from different runs."""
+    distinct = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), distinct.alias("about_distinct"))
+
+
 def share_of_group(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """Value over its group's sum; null where the sum is 0."""
     return df.withColumn(name, F.try_divide(F.col(value).cast("double"), F.sum(value).over(W.partitionBy(*by))))

@@ -29,7 +29,7 @@ def downloads_trend(metrics: DataFrame, names: list[str], first: Column, last: C
     """SQ2, W19: metrics in a window with the previous snapshot's date (of the calendar, not of the package)."""
     days = metrics.select("snapshot_at").distinct()
     calendar = days.withColumn("previous_at", F.lag("snapshot_at").over(W.orderBy("snapshot_at")))
-    return names_table(metrics, names).where(F.col("snapshot_at").between(first, last)).join(F.broadcast(calendar), "snapshot_at")
+    return names_table(metrics, names).where(F.col("snapshot_at").between(first, last)).join(calendar, "snapshot_at")
 
 
 def major(version: Column) -> Column:

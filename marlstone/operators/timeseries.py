@@ -74,7 +74,8 @@ def weekly(intervals: DataFrame, first: Column, last: Column, key: str = "name",
     should be read some weeks wider than shown, so that its edge weeks are whole.
     """
     days = F.datediff(end, start)
-    rows = intervals.where(days > 0).withColumn("monday", F.explode(F.sequence(F.next_day(start, "MON"), F.next_day(F.date_sub(end, 1), "MON"), F.expr("interval 7 days"))))
+    near = (F.col(start) < F.date_add(last, 1)) & (F.col(end) > F.date_sub(first, WEEK))
+    rows = intervals.where((days > 0) & near).withColumn("monday", F.explode(F.sequence(F.next_day(start, "MON"), F.next_day(F.date_sub(end, 1), "MON"), F.expr("interval 7 days"))))
     overlap = F.datediff(F.least(F.col(end), F.col("monday")), F.greatest(F.col(start), F.date_sub("monday", WEEK)))
     part = F.round((F.col(value).cast("decimal(20,0)") * overlap.cast("decimal(4,0)")).cast("decimal(26,0)") / days.cast("decimal(8,0)"), 6).cast("decimal(32,6)")
     sums = rows.where(overlap > 0).groupBy(key, "monday").agg(F.sum(overlap).alias("covered"), F.sum(part).alias("total"))
@@ -137,10 +138,34 @@ def repository_timeline(candidates: DataFrame, by: list[str], at: str, rank: str
     return spans(last, by, [at], at, "__value").select(*by, F.col("__value").alias(value), "valid_from", "valid_to")
 
 
-def snapshot_at(packages: DataFrame, timeline: DataFrame, intervals: DataFrame, metrics: DataFrame, instant: Column, key: str = "name") -> DataFrame:
-    """One row a package at an instant: its repository in force, interval sums and exact-instant metrics."""
+def snapshot_at(packages: DataFrame, timeline: DataFrame, daily: DataFrame, metrics: DataFrame, instant: Column, previous: Column, key: str = "name", born: str = "first_published_at") -> DataFrame:
+    """One row a package that was published by ``instant``: the repository in force then, daily sums since the ``previous`` date, and the
+    repository's metrics of exactly that instant.
+
+    ``timeline``: key, url, valid_from, valid_to; ``daily``: key, day, downloads; ``metrics``: url, snapshot_at, stars, open_issues.
+    The reason of missing metrics tells a package without a repository from one without an observation or with conflicting ones.
+    """
+    alive = packages.where(F.col(born) <= instant).select(key).distinct()
     current = timeline.where((F.col("valid_from") <= instant) & (F.col("valid_to").isNull() | (instant < F.col("valid_to")))).select(key, "url")
-    return packages.select(key).distinct().join(current, key, "left").join(intervals, key, "left").join(metrics, key, "left")
+    sums = interval_sums(alive, daily, previous.cast("date"), instant.cast("date"), key)
+    out = matched_metrics(sums.join(current, key, "left"), metrics, instant)
+    reason = F.when(F.col("url").isNull(), "NO_VALID_REPOSITORY").when(F.col("metric_status") == "CONFLICT", "PROJECT_METRIC_CONFLICT").when(F.col("metric_status") == "UNMAPPED", "NO_EXACT_OBSERVATION").otherwise("SELECTED")
+    return out.withColumn("repository_reason", reason).drop("metric_status")
+
+
+def integrated(population: DataFrame, key: str, **parts: DataFrame) -> DataFrame:
+    """``population`` with the columns of each part; the parts must have exactly its keys, once each, else it is an error (one count a part)."""
+    from .relational import reconcile
+
+    keys, out = population.select(key), population
+    for name, part in parts.items():
+        differ = reconcile(keys, part, [key]).where("not (in_a and in_b)")
+        twice = part.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+        wrong = differ.select(key).unionByName(twice).agg(F.count("*").alias("n")).first()["n"]
+        if wrong:
+            raise ValueError(f"{wrong} keys of {name} are missing, strange or repeated")
+        out = out.join(part, key)
+    return out
 
 
 def inherited(new: DataFrame, old: DataFrame, by: list[str], ordinal: str, take: list[str]) -> DataFrame:

@@ -25,4 +25,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Imports every module of queries."""
-    from . import cohort_queries, migration_queries, relational_queries, resolve_queries, serving_queries, timeseries_queries, vector_text_queries  # noqa: F401
+    from . import cohort_queries, composed_queries, migration_queries, relational_queries, resolve_queries, serving_queries, timeseries_queries, vector_text_queries  # noqa: F401

@@ -44,11 +44,14 @@ def serve_version_share(spark, d):
     return s.version_share(_facts(spark, d), [1, 2, 3])
 
 
-@register("serve_search", "SELECT p_name AS name, CAST(CASE WHEN lower(p_name) = 'part#00000001' THEN 0 WHEN starts_with(lower(p_name), 'part#00000001') THEN 1 ELSE 2 END AS INTEGER) AS tier FROM part WHERE contains(lower(p_name), '1') ORDER BY tier, p_retailprice DESC NULLS LAST, p_name LIMIT 20")
+@register("serve_search", """WITH p AS (SELECT CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN upper(p_name) ELSE 'x-' || p_name END AS name, p_retailprice AS downloads FROM part),
+m AS (SELECT *, CASE WHEN lower(name) = 'red' THEN 0 WHEN starts_with(lower(name), 'red') THEN 1 ELSE 2 END AS tier FROM p WHERE contains(lower(name), 'red'))
+SELECT name, downloads, CAST(tier AS INTEGER) AS tier FROM m ORDER BY tier, downloads DESC NULLS LAST, name LIMIT 150""")
 def serve_search(spark, d):
-    p = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_retailprice").alias("downloads"))
-    tier = F.lower("name")
-    return s.search(p, "1").select("name", F.when(tier == "part#00000001", 0).when(tier.startswith("part#00000001"), 1).otherwise(2).alias("tier"))
+    """Names equal to the query, names that begin with it, and names that have it within."""
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).when(k == 1, F.upper("p_name")).otherwise(F.concat(F.lit("x-"), "p_name"))
+    return s.search(table(spark, d, "part").select(name.alias("name"), F.col("p_retailprice").alias("downloads")), "red", 150)
 
 
 @register("serve_recent_versions", "WITH n(at_, name) AS (VALUES (0, 7), (1, 4), (2, 1)), r AS (SELECT at_, o_custkey AS name, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders JOIN n ON name = o_custkey) SELECT at_, name, o_orderkey FROM r WHERE rn <= 3")

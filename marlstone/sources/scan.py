@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from . import files
 from pyspark.sql import types as T
 
 
@@ -101,42 +103,81 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def json_table(spark: SparkSession, text: str, schema: str) -> DataFrame:
-    """A JSON array of objects as a table, parsed by the engine."""
+def unnested(df: DataFrame) -> DataFrame:
+    """Arrays of structs as rows and structs as columns, level by level, until neither is left; an empty array leaves nulls."""
+    from pyspark.sql import types as T
+
+    while True:
+        for f in df.schema:
+            rest = [F.col(f"`{c}`") for c in df.columns if c != f.name]
+            if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+                df = df.select(*rest, F.explode_outer(f"`{f.name}`").alias(f.name))
+                break
+            if isinstance(f.dataType, T.StructType):
+                df = df.select(*rest, *[F.col(f"`{f.name}`.`{n}`").alias(n) for n in f.dataType.names])
+                break
+        else:
+            return df
+
+
+def json_table(spark: SparkSession, text: str, schema: str | None = None) -> DataFrame:
+    """A JSON array of objects as a table, parsed by the engine; without a schema that of the text, taken apart by :func:`unnested`."""
+    if schema is None:
+        one = spark.range(1).select(F.from_json(F.lit(text), F.schema_of_json(F.lit(text))).alias("rows"))
+        return unnested(one)
     one = spark.createDataFrame([(text,)], "j string")
     return one.select(F.inline(F.from_json("j", f"array<struct<{schema}>>")))
 
 
-def footer_range(paths: list[str], column: str) -> tuple:
-    """(rows, min, max) of a column from Parquet footers alone; min and max are None if a row group lacks statistics."""
-    import pyarrow.parquet as pq
-
-    rows, low, high, known = 0, [], [], True
-    for path in paths:
-        meta = pq.ParquetFile(path).metadata
-        at = meta.schema.to_arrow_schema().names.index(column)
-        rows += meta.num_rows
-        for g in range(meta.num_row_groups):
-            stats = meta.row_group(g).column(at).statistics
-            if stats is None or not stats.has_min_max:
-                known = False
-            else:
-                low.append(stats.min)
-                high.append(stats.max)
-    return rows, min(low) if known and low else None, max(high) if known and high else None
-
-
-def complete_parts(paths: list[str], in_progress: bool = True) -> tuple[list[str], list[str]]:
-    """(complete, broken) gzip parts. The newest part may still be written: if broken it is left out without being reported."""
-    complete, broken = [], []
-    for path in sorted(paths):
-        try:
-            with gzip.open(path) as part:
-                while part.read(1 << 20):
-                    pass
-            complete.append(path)
-        except (EOFError, OSError):
-            broken.append(path)
+def footer_range(spark: SparkSession, paths: list[str], column: str) -> tuple:
+    """(rows, min, max) of a column from Parquet footers alone, read on the executors; min and max are None if a row group lacks statistics."""
+    if not paths:
+        return 0, None, None
+    kind = spark.read.parquet(paths[0]).schema[column].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, place = fs.FileSystem.from_uri(path)
+                meta = pq.ParquetFile(place, filesystem=store).metadata
+                at = meta.schema.to_arrow_schema().names.index(column)
+                groups = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+                known = all(x is not None and x.has_min_max for x in groups)
+                ends = [x for s in groups for x in (s.min, s.max)] if known else []
+                of = meta.schema.to_arrow_schema().field(at).type
+                yield pa.RecordBatch.from_arrays([pa.array([meta.num_rows], pa.int64()), pa.array([min(ends, default=None)], of), pa.array([max(ends, default=None)], of), pa.array([known])], ["n", "low", "high", "known"])
+
+    rows = files.each_path(spark, paths).mapInArrow(run, f"n long, low {kind}, high {kind}, known boolean")
+    r = rows.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_and("known").alias("known")).first()
+    return r["n"], r["low"] if r["known"] else None, r["high"] if r["known"] else None
+
+
+def complete_parts(spark: SparkSession, paths: list[str], in_progress: bool = True) -> tuple[list[str], list[str]]:
+    """(complete, broken) gzip parts, inflated on the executors. The newest part may still be written: if broken it is left out without being reported."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, place = fs.FileSystem.from_uri(path)
+                try:
+                    with store.open_input_stream(place, compression=None) as raw, gzip.open(raw) as part:
+                        while part.read(1 << 20):
+                            pass
+                    ok = True
+                except (EOFError, OSError):
+                    ok = False
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([ok])], ["path", "ok"])
+
+    whole = {r["path"]: r["ok"] for r in files.each_path(spark, paths).mapInArrow(run, "path string, ok boolean").collect()} if paths else {}
+    complete = [p for p in sorted(paths) if whole[files.uri(spark, p)]]
+    broken = [p for p in sorted(paths) if not whole[files.uri(spark, p)]]
     if in_progress and broken and broken[-1] == max(paths):
         broken.pop()
     return complete, broken

@@ -77,11 +77,21 @@ def simulated_sums(samples: DataFrame, leg: str, value: str, runs: int, seed: in
     return draws.join(numbered, [leg, "pick"]).groupBy("run").agg(F.sum(value).alias("total"))
 
 
-def newest_stream(events: DataFrame, keys: list[str], at: str, delay: str = "1 day") -> DataFrame:
-    """ST5: the first arrival of each key within the watermark."""
+def first_arrivals_stream(events: DataFrame, keys: list[str], at: str, delay: str = "1 day") -> DataFrame:
+    """The first arrival of each key within the watermark, at once."""
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def newest_stream(events: DataFrame, keys: list[str], day: str, order: list[str], delay: str = "1 day") -> DataFrame:
+    """ST5: of each (keys, ``day``) the row that comes last by ``order`` (such as the time of its fetch), once the watermark has passed the day.
+
+    A running maximum a key is all the state there is; later fetches replace earlier ones, whichever arrives first.
+    """
+    rest = [c for c in events.columns if c not in (*keys, day)]
+    best = F.max_by(F.struct(*rest), F.struct(*order))
+    return events.withWatermark(day, delay).groupBy(*keys, day).agg(best.alias("__v")).select(*keys, day, "__v.*")
+
+
 def run_once(df: DataFrame, path: str, checkpoint: str, form: str = "parquet", mode: str = "append", by: list[str] | None = None):
     """ST6: everything that has arrived, once; the checkpoint makes a repeated run take up where the last ended."""
     writer = df.writeStream.format(form).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -25,7 +25,7 @@ def test_state_changes_equal_batch(spark, events, tmp_path):
 def test_run_once_takes_up_where_it_ended(spark, events, tmp_path):
     source = streams.files(spark, events, spark.read.parquet(events).schema)
     for _ in range(2):
-        streams.run_once(streams.newest_stream(source, ["k", "at"], "at"), str(tmp_path / "out"), str(tmp_path / "cp"))
+        streams.run_once(streams.first_arrivals_stream(source, ["k", "at"], "at"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
 
 
@@ -41,3 +41,13 @@ def test_forward_match(spark, events, tmp_path):
     out = streams.forward_matches_stream(p, a, "k", "at", "actual").select(F.col("p.k").alias("k"), "at", "actual")
     streams.run_once(out, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted((r.k, (r.actual - r["at"]).seconds) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 300), ("a", 300), ("b", 60)]
+
+
+def test_newest_fetch_wins(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    rows = [("a", t, 1, "old"), ("a", t, 3, "new"), ("a", t, 2, "middle"), ("b", t, 1, "only"), ("a", t + timedelta(days=1), 1, "next"), ("z", t + timedelta(days=40), 1, "late")]
+    spark.createDataFrame(rows, "name string, day timestamp, fetched int, v string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = streams.files(spark, str(tmp_path / "in"), "name string, day timestamp, fetched int, v string")
+    streams.run_once(streams.newest_stream(source, ["name"], "day", ["fetched"]), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.name, r.day, r.v) for r in got.collect()) == [("a", t, "new"), ("a", t + timedelta(days=1), "next"), ("b", t, "only")]

@@ -195,7 +195,7 @@ def _encoder(ranks: dict[bytes, int]):
 
 
 #: Text for each part of the words, and most parts: a part reads its words as a stream and remembers up to REMEMBERED of them.
-PART_BYTES, MOST_PARTS, REMEMBERED = 32 << 20, 10_000, 2_000_000
+PART_BYTES, MOST_PARTS, REMEMBERED = 32 << 20, 10_000, 1_000_000
 
 
 def _encode_words(ranks: dict[bytes, int]):

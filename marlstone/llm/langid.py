@@ -33,7 +33,7 @@ FIT_ROWS, FIT_CHARS, FIT_LANGUAGES = 400, 20_000, 200
 MARGIN = 4
 ROUNDS = 3
 #: Numbers (words x languages) that a task remembers, characters of words (with languages in fitting) that are worked on at once, and places between two scalings.
-REMEMBERED, CELLS, SCALED = 4_000_000, 400_000, 16
+REMEMBERED, CELLS, SCALED = 1_200_000, 400_000, 16
 #: Weight of one pseudo-count spread over the vocabulary, and the log-probability of a character in no piece.
 SMOOTHING, UNKNOWN = 0.05, -16.0
 #: :func:`keep` rejects a text whose score is below this multiple of an even share among the languages.

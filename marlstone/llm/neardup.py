@@ -44,8 +44,8 @@ SIDE, LOAD = 512, 400_000
 FREQUENT, PRIOR, FLOOR = 1000, 1000, 0.5
 #: Contents are broadcast if they are members of at most so many blocks, which are counted.
 BROADCAST_ROWS = 200_000
-#: Bytes of text that are hashed at a time; documents (or distinct shingles, whichever comes first) that are counted together; bytes of a counting task.
-BLOCK, SEGMENT, SEGMENT_SHINGLES, SEGMENT_BYTES = 4_000_000, 8 * FREQUENT, 8_000_000, 64_000_000
+#: Bytes of text that are hashed at a time; documents (or shingles, whichever come first) that are counted together; bytes of a counting task.
+BLOCK, SEGMENT, SEGMENT_SHINGLES, SEGMENT_BYTES = 4_000_000, 8 * FREQUENT, 4_000_000, 64_000_000
 #: Entries of a block's dense matrix at a time, and shingles of a batch of members' sets.
 DENSE, SENT = 4_000_000, 1_000_000
 
@@ -206,24 +206,23 @@ def heavy_shingles(docs: DataFrame, text: str) -> list[tuple[int, float]]:
         import numpy as np
         import pyarrow as pa
 
-        def joined(x, y):
-            s, at = np.unique(np.concatenate([x[0], y[0]]), return_inverse=True)
-            return s, np.bincount(at, np.concatenate([x[1], y[1]]), len(s)).astype(np.int64), x[2] + y[2]
-
-        def report(s, n, found):
+        def report(parts, found):
+            s = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint64)
+            s.sort()
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(s)))
             often = n >= found / (2 * FREQUENT)  # places, which are no fewer than documents
-            return pa.RecordBatch.from_arrays([pa.array(s[often].view(np.int64)), pa.array(n[often])], ["s", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(s[first[often]].view(np.int64)), pa.array(n[often])], ["s", "n"])
 
         # parts of SEGMENT documents or SEGMENT_SHINGLES at least; what is left at the end goes to the last one
-        done, held = None, (np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
+        done, held = [], []
         for table in blocks(batches, text, BLOCK):
-            s, n = np.unique(shingles(table.column(text).to_pylist())[2], return_counts=True)
-            held = joined(held, (s, n, table.num_rows))
-            if held[2] >= SEGMENT or len(held[0]) >= SEGMENT_SHINGLES:
+            held.append((shingles(table.column(text).to_pylist())[2], table.num_rows))
+            if sum(n for _, n in held) >= SEGMENT or sum(len(x) for x, _ in held) >= SEGMENT_SHINGLES:
                 if done:
-                    yield report(*done)
-                done, held = held, (np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
-        yield report(*(joined(done, held) if done else held))
+                    yield report(done, sum(n for _, n in done))
+                done, held = held, []
+        yield report(done + held, sum(n for _, n in done + held))
 
     # small partitions are read by one task, up to a segment of documents or some MB
     parts = max(1, total // SEGMENT, (size or 0) // SEGMENT_BYTES)

@@ -87,53 +87,62 @@ def target_weights(counts: dict[str | None, int], targets: dict[str, float] | No
 
 
 def timetable(counts: dict[str | None, int], targets: dict[str, float] | None, block_rows: int) -> tuple[list[tuple], int]:
-    """((source, (block, release, deadline, slot) of each block) of each source, the first slot that a source with no rows left should have had)."""
+    """((source, (block, release, deadline, slot, turn) of each block) of each source, the first slot that a source with no rows left
+    should have had). A block's turn is its number in the order of slots."""
     share = shares(target_weights(counts, targets))
     blocks = {k: -(-n // block_rows) for k, n in counts.items()}
     rows: dict[str | None, list] = {k: [] for k in counts}
-    for k, j, slot in schedule(share, blocks):
+    for turn, (k, j, slot) in enumerate(schedule(share, blocks)):
         s = share[k]
-        rows[k].append((j, release(j, s), deadline(j, s), slot) if s else (j, slot, slot + 1, slot))
+        rows[k].append((j, *((release(j, s), deadline(j, s)) if s else (slot, slot + 1)), slot, turn))
     return list(rows.items()), min((release(blocks[k] + 1, s) for k, s in share.items() if s), default=0)
 
 
-def mix(
-    docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", targets: dict[str, float] | None = None,
-    block_rows: int | None = None, bucket_rows: int = BUCKET_ROWS, out: str = "mix",
-) -> DataFrame:
-    """``docs`` with struct column ``out``: block, release, deadline, slot, place (of the row in its slot), within.
-
-    ``docs`` are computed twice, and equal rows must be in the same partitions both times, as they are in scans of files.
-    """
+def scheduled(docs: DataFrame, source: str, key: str, text: str, targets: dict[str, float] | None, block_rows: int | None, bucket_rows: int) -> tuple[DataFrame, int, int]:
+    """(doc, i, at, within) of each row: its columns, its place in its source, its block's line of the timetable; the rows of a block and the number of blocks."""
     spark = docs.sparkSession
     counts = {r[0]: r["count"] for r in docs.groupBy(source).count().collect()}
     block_rows = block_rows or max(BLOCK_ROWS, -(-sum(counts.values()) // SLOTS))
     held, horizon = timetable(counts, targets, block_rows)
-    name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
-    sources = spark.createDataFrame([(k, -(-counts[k] // bucket_rows), rows) for k, rows in held], "source string, buckets int, rows array<struct<block:long,release:long,deadline:long,slot:long>>").withColumn("source", name(F.col("source")))
-    table = sources.select("source", F.explode("rows").alias("at"))
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    sources = spark.createDataFrame([(k, -(-counts[k] // bucket_rows), rows) for k, rows in held], "source string, buckets int, rows array<struct<block:long,release:long,deadline:long,slot:long,turn:long>>").withColumn("source", name(F.col("source")))
+    table = sources.select("source", F.explode("rows").alias("at")).withColumn("block", F.col("at.block"))
     hashed = lambda word: F.xxhash64(F.lit(word), F.col(key), F.col(text))
-    named = docs.select(F.struct(*docs.columns).alias("doc"), name(F.col(source).cast("string")).alias("source"), hashed("bucket").alias("h"), F.col(key).alias("k"), hashed("mix").alias("tie"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    named = docs.select(
+        F.struct(*docs.columns).alias("doc"), name(F.col(source)).alias("source"), hashed("bucket").alias("h"), F.col(key).alias("k"), name(F.col(key)).alias("named"), hashed("mix").alias("tie"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"),
+    )
     rows = named.join(F.broadcast(sources.select("source", "buckets")), "source").withColumn("bucket", F.pmod("h", "buckets").cast("int")).drop("buckets", "h")
-    same = ["source", "bucket", "k", "tie", "salt"]
+    same = ["source", "bucket", "named", "tie", "salt"]
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    equal = rows.groupBy(*same).agg(F.count("*").alias("n"))
+    equal = rows.groupBy(*same).agg(F.count("*").alias("n"), F.min("k").alias("k"))
     offsets = equal.groupBy("source", "bucket").agg(F.sum("n").alias("n")).withColumn("offset", before(W.partitionBy("source").orderBy("bucket"))).drop("n")
     starts = equal.withColumn("before", before(W.partitionBy("source", "bucket").orderBy("k", "tie", "salt"))).join(offsets, ["source", "bucket"])
-    starts = starts.select(*[F.col(c).alias(f"{c}_") for c in same], (F.col("offset") + F.col("before")).alias("start"))
-    numbered = rows.withColumn("nth", F.row_number().over(W.partitionBy(*same).orderBy(F.lit(0))) - 1)
-    met = [F.col(c).eqNullSafe(F.col(f"{c}_")) if c == "k" else F.col(c) == F.col(f"{c}_") for c in same]
-    placed = numbered.join(starts, met).select("doc", "source", (F.col("start") + F.col("nth")).alias("i"))
-    placed = placed.withColumn("block", F.floor(F.col("i") / block_rows) + 1).join(F.broadcast(table.withColumn("block", F.col("at.block"))), ["source", "block"])
-    slot = F.col("at.slot")
-    return placed.select("doc.*", F.struct("block", "at.release", "at.deadline", slot.alias("slot"), (F.col("i") % block_rows).alias("place"), (slot < horizon).alias("within")).alias(out))
-
-
-def mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` in the order of the schedule: range-partitioned and sorted by slot and place. Every row stays."""
-    by = ["__mix.slot", "__mix.place"]
+    starts = starts.select(*same, (F.col("offset") + F.col("before")).alias("start"))
+    # numbers of equal rows and their starts have the same keys, so documents are shuffled once
+    numbered = rows.withColumn("nth", F.row_number().over(W.partitionBy(*same).orderBy(F.lit(0))) - 1).join(starts, same)
+    placed = numbered.select("doc", "source", (F.col("start") + F.col("nth")).alias("i")).withColumn("block", F.floor(F.col("i") / block_rows) + 1)
+    return placed.join(F.broadcast(table), ["source", "block"]).select("doc", "i", "at", (F.col("at.slot") < horizon).alias("within")), block_rows, sum(len(x) for _, x in held)
+
+
+def mix(
+    docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", targets: dict[str, float] | None = None,
+    block_rows: int | None = None, bucket_rows: int = BUCKET_ROWS, out: str = "mix",
+) -> DataFrame:
+    """``docs`` with struct column ``out``: block, release, deadline, slot, place (of the row in its slot), within.
+
+    ``docs`` are computed twice, and equal rows must be in the same partitions both times, as they are in scans of files.
+    """
+    rows, size, _ = scheduled(docs, source, key, text, targets, block_rows, bucket_rows)
+    return rows.select("doc.*", F.struct("at.block", "at.release", "at.deadline", "at.slot", (F.col("i") % size).alias("place"), "within").alias(out))
+
+
+def mixed_order(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", targets: dict[str, float] | None = None, block_rows: int | None = None) -> DataFrame:
+    """``docs`` in the order of the schedule: dealt by turns of blocks, as many to each partition, and sorted by turn and place. Every row stays."""
+    rows, _, turns = scheduled(docs, source, key, text, targets, block_rows, BUCKET_ROWS)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mix(docs, out="__mix", **options).repartitionByRange(n, *by).sortWithinPartitions(*by).drop("__mix")
+    by = F.least(F.lit(n - 1), F.floor(F.col("at.turn") * n / max(1, turns))).cast("int")
+    return rows.repartitionById(n, by).sortWithinPartitions("at.turn", "i").select("doc.*")
 
 
 def op2(docs: DataFrame) -> DataFrame:

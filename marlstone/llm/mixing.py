@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import columns_of
+
 BLOCK_ROWS, SLOTS, BUCKET_ROWS, SALTS = 16, 200_000, 1000, 1024
 #: Exponent of the default target: weight in proportion to rows ** TEMPERATURE.
 TEMPERATURE = 0.7
@@ -109,7 +111,7 @@ def scheduled(docs: DataFrame, source: str, key: str, text: str, targets: dict[s
     table = sources.select("source", F.explode("rows").alias("at")).withColumn("block", F.col("at.block"))
     hashed = lambda word: F.xxhash64(F.lit(word), F.col(key), F.col(text))
     named = docs.select(
-        F.struct(*docs.columns).alias("doc"), name(F.col(source)).alias("source"), hashed("bucket").alias("h"), F.col(key).alias("k"), name(F.col(key)).alias("named"), hashed("mix").alias("tie"),
+        F.struct(*columns_of(docs)).alias("doc"), name(F.col(source)).alias("source"), hashed("bucket").alias("h"), F.col(key).alias("k"), name(F.col(key)).alias("named"), hashed("mix").alias("tie"),
         F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"),
     )
     rows = named.join(F.broadcast(sources.select("source", "buckets")), "source").withColumn("bucket", F.pmod("h", "buckets").cast("int")).drop("buckets", "h")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, bound_arrow, cut, shared_dir
+from .common import blocks, bound_arrow, columns_of, cut, shared_dir
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 9, 3
@@ -291,7 +291,7 @@ def signed(docs: DataFrame, text: str, heavy) -> DataFrame:
             rid += batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc"), ids, pa.array(contents, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(ends - begins, pa.int64())], ["doc", "rid", "content", "bands", "size"])
 
-    doc = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    doc = F.struct(*columns_of(docs))
     rows = docs.select(doc.alias("doc"), F.col(text).alias("text"))
     own = T._parse_datatype_string("rid long, content binary, bands array<long>, size long")
     return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *own.fields]))

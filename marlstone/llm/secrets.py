@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import columns_of, cut, let
 
 VALUE = "[A-Za-z0-9+/_.=-]+"
 #: Kind and pattern, in order of kind (fixed values); only letters A-Z ignore case in the first.
@@ -129,7 +129,7 @@ def secret_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", out: s
     and by a join of the documents beyond.
     """
     row = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit(""))))
-    found = find(docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"), row.alias("row")), "text")
+    found = find(docs.select(F.struct(*columns_of(docs)).alias("doc"), F.col(text).alias("text"), row.alias("row")), "text")
     base = F.array_sort(F.concat("found.assign", "found.access", "found.hex"))
     sizes = {f"n_{k}": F.size(f"found.{k}").cast("long") for k in KINDS[:3]}
     n = {k: (F.size(f"found.{k}") > 0).cast("int") for k in ("assign", "access", "key", "endpoint")}

@@ -444,3 +444,12 @@ def test_scores_and_estimates(spark):
         a, b = np.array(rows[r.query_id][1]), np.array(rows[r.vec_id][1])
         assert abs(r.score - (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum())) < 1e-12
     assert {r.query_id for r in got} == {0, 50, 100, 150} and [r.vec_id for r in sorted(got, key=lambda r: (r.query_id, r.rank)) if r.query_id == 0][:2] == [1, 2]
+
+
+def test_awkward_column_names(spark):
+    from marlstone.llm import secrets
+
+    names = ["doc_id", "text", "source", "a.b", "c`d", "doc", "at", "k", "block"]
+    df = spark.createDataFrame([(i, f"some text {i}", "s", 1, 2, 3, 4, 5, 6) for i in range(3)], "doc_id long, text string, source string, x int, y int, doc int, at int, k int, block int").toDF(*names)
+    for out in (neardup.deduplicated(df), secrets.redact(df), mixing.mixed_order(df)):
+        assert out.columns == names and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))

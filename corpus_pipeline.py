@@ -40,15 +40,14 @@ def encode_bytes(spark, docs, sf_dir):
     """Token ids of every document, in the order in which ``docs`` were written. Ids are decoded, and it is an error if that isn't the text.
 
     ``docs`` are read from files: the number in a file's name and the row's place in the file are carried through the encoding, and the
-    result is dealt and sorted by them.
+    result is dealt and sorted by them. Ids are decoded after that, so that no task needs more than one Python worker at a time.
     """
     at = F.struct("doc_id", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int").alias("part"), F.col("_metadata.row_index").alias("place"), digest(F.coalesce("text", F.lit(""))).alias("digest"))
-    coded = bpe.decode(bpe.encode(docs.select(at.alias("doc_id"), "text")))
-    same = digest(F.col("decoded")) == F.col("doc_id.digest")
-    coded = coded.select("doc_id", F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("decoded ids differ from the text"))).alias("ids"))
+    coded = bpe.encode(docs.select(at.alias("doc_id"), "text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = coded.repartitionById(n, F.least("doc_id.part", F.lit(n - 1))).sortWithinPartitions("doc_id.part", "doc_id.place")
-    return ordered.select("doc_id.doc_id", "ids")
+    same = digest(F.col("decoded")) == F.col("doc_id.digest")
+    return bpe.decode(ordered).select("doc_id.doc_id", F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("decoded ids differ from the text"))).alias("ids"))
 
 
 STAGES = [

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bound_arrow
+from .common import bound_arrow, freeing, freeing_groups
 
 BLOCK_ROWS, QUERY_ROWS = 4096, 16_384
 #: Standard deviations of the bound, bits of a query's component, vectors that are scored first as a multiple of k, vectors of the centre's sample.
@@ -112,7 +112,7 @@ def index(rows: DataFrame, means: dict) -> DataFrame:
                     codes[i] = word.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), pa.array(norms), pa.array(fits)], [*batch.schema.names, "code", "norm", "fit"])
 
-    return rows.mapInArrow(run, f"vec_id long, v {dict(rows.dtypes)['v']}, dim int, code binary, norm double, fit double")
+    return rows.mapInArrow(freeing(run), f"vec_id long, v {dict(rows.dtypes)['v']}, dim int, code binary, norm double, fit double")
 
 
 class Query:
@@ -198,7 +198,7 @@ def search(indexed: DataFrame, queries: DataFrame, means: dict, n_vectors: int,
     asked = queries.withColumn("row", F.monotonically_increasing_id()).withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(q_blocks)).cast("int")).withColumn("vb", each(v_blocks))
     by = ["dim", "vb", "qb"]
     kinds = "query_id long, query_row long, vec_id long, score double"
-    near = vectors.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_search_block(means, k, epsilon), kinds)
+    near = vectors.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(freeing_groups(_search_block(means, k, epsilon)), kinds)
     w = W.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_CHARS, blocks, bound_arrow
+from .common import BLOCK_CHARS, blocks, bound_arrow, freeing, freeing_groups
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Letters and digits for which ``re`` classes written out equal the pattern's Unicode classes.
@@ -272,10 +272,10 @@ def encode(docs: DataFrame, text: str = "text", ranks: str | None = None, patter
     kind = dict(rows.dtypes)["doc_id"]
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(MOST_PARTS, max(1, -(-size // PART_BYTES)))
-    words = rows.select("text").mapInArrow(_words(pattern, parts), "block long, part int, words binary")
-    coded = words.repartitionById(parts, "part").mapInArrow(_encode_words(table), "block long, part int, mark binary, lengths binary, codes binary")
-    places = rows.mapInArrow(_positions(pattern, parts), f"block long, first int, doc_ids array<{kind}>, lengths binary, places binary, order binary, answers array<struct<part:int,mark:binary>>")
-    return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble, f"doc_id {kind}, ids array<int>")
+    words = rows.select("text").mapInArrow(freeing(_words(pattern, parts)), "block long, part int, words binary")
+    coded = words.repartitionById(parts, "part").mapInArrow(freeing(_encode_words(table)), "block long, part int, mark binary, lengths binary, codes binary")
+    places = rows.mapInArrow(freeing(_positions(pattern, parts)), f"block long, first int, doc_ids array<{kind}>, lengths binary, places binary, order binary, answers array<struct<part:int,mark:binary>>")
+    return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(freeing_groups(_assemble), f"doc_id {kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, ids: str = "ids", ranks: str | None = None) -> DataFrame:
@@ -305,7 +305,7 @@ def decode(coded: DataFrame, ids: str = "ids", ranks: str | None = None) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
-    return coded.mapInArrow(run, f"{fields}, decoded binary")
+    return coded.mapInArrow(freeing(run), f"{fields}, decoded binary")
 
 
 def op9(docs: DataFrame) -> DataFrame:

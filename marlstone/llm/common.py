@@ -43,6 +43,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free() -> None:
+    """Give memory that this worker no longer uses back to the machine: workers are kept for later tasks, which may need little."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # a function of the GNU C library
+        trim(0)
+
+
+def freeing_groups(run):
+    """A function of a key and two tables that frees memory after each group."""
+
+    def wrapped(key, left, right):
+        out = run(key, left, right)
+        free()
+        return out
+
+    return wrapped
+
+
+def freeing(run):
+    """A function of Arrow batches that frees memory when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            free()
+
+    return wrapped
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns, whatever their names."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

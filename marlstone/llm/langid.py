@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import blocks, bound_arrow
+from .common import blocks, bound_arrow, freeing
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Bounds of the training sample: rows of each language, mean characters of a row (longer texts are taken whole, after the others), languages.
@@ -33,7 +33,9 @@ FIT_ROWS, FIT_CHARS, FIT_LANGUAGES = 400, 20_000, 200
 MARGIN = 4
 ROUNDS = 3
 #: Numbers (words x languages) that a task remembers, characters of words (with languages in fitting) that are worked on at once, and places between two scalings.
-REMEMBERED, CELLS, SCALED = 1_200_000, 400_000, 16
+REMEMBERED, CELLS, SCALED = 800_000, 100_000, 16
+#: Bytes of text that are taken apart at once.
+BLOCK = 1_000_000
 #: Weight of one pseudo-count spread over the vocabulary, and the log-probability of a character in no piece.
 SMOOTHING, UNKNOWN = 0.05, -16.0
 #: :func:`keep` rejects a text whose score is below this multiple of an even share among the languages.
@@ -217,7 +219,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in n], pa.string()), pa.array([w for _, w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "word", "count"])
 
     bound_arrow(docs.sparkSession)
-    words = picked.select("lang", "text").mapInArrow(count, "lang string, word string, count long").groupBy("lang", "word").agg(F.sum("count").alias("count")).collect()
+    words = picked.select("lang", "text").mapInArrow(freeing(count), "lang string, word string, count long").groupBy("lang", "word").agg(F.sum("count").alias("count")).collect()
     languages = sorted({r["lang"] for r in words})
     pieces = vocabulary(vocabulary_path)
     model = {"languages": languages, "pieces": pieces, "p": np.zeros((len(pieces), 0)), "unknown": float(np.exp(UNKNOWN))}
@@ -250,7 +252,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
 
         lattice, known = Lattice(model["pieces"]), {}
         scores = np.zeros((1024, len(languages)))
-        for table in blocks(batches, text, 4_000_000):
+        for table in blocks(batches, text, BLOCK):
             chosen, best = [], []
             texts = table.column(text).to_pylist()
             split = [words_in(t) for t in texts]
@@ -278,7 +280,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
 
     bound_arrow(docs.sparkSession)
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(freeing(run), schema)
 
 
 def keep(docs: DataFrame, model: dict, text: str = "text", min_score: float | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, bound_arrow, columns_of, cut, shared_dir
+from .common import blocks, bound_arrow, columns_of, cut, freeing, shared_dir
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 9, 3
@@ -226,7 +226,7 @@ def heavy_shingles(docs: DataFrame, text: str) -> list[tuple[int, float]]:
 
     # small partitions are read by one task, up to a segment of documents or some MB
     parts = max(1, total // SEGMENT, (size or 0) // SEGMENT_BYTES)
-    sums = docs.select(text).coalesce(parts).mapInArrow(local, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    sums = docs.select(text).coalesce(parts).mapInArrow(freeing(local), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     # parts that report nothing hold less than total / (2 * FREQUENT) of a shingle's documents
     chosen = sums.where(F.col("n") > least - total / (2 * FREQUENT)).select("s").toArrow().column("s").to_numpy()
     if not len(chosen):
@@ -247,7 +247,7 @@ def heavy_shingles(docs: DataFrame, text: str) -> list[tuple[int, float]]:
         some = counts > 0
         yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(counts[some])], ["s", "n"])
 
-    rows = docs.select(text).mapInArrow(exact, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > least).toArrow()
+    rows = docs.select(text).mapInArrow(freeing(exact), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > least).toArrow()
     return [(s, FLOOR + (1 - FLOOR) * log((total + PRIOR) / n) / log(FREQUENT)) for s, n in zip(rows["s"].to_pylist(), rows["n"].to_pylist(), strict=True)]
 
 
@@ -294,7 +294,7 @@ def signed(docs: DataFrame, text: str, heavy) -> DataFrame:
     doc = F.struct(*columns_of(docs))
     rows = docs.select(doc.alias("doc"), F.col(text).alias("text"))
     own = T._parse_datatype_string("rid long, content binary, bands array<long>, size long")
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *own.fields]))
+    return rows.mapInArrow(freeing(run), T.StructType([rows.schema["doc"], *own.fields]))
 
 
 def block_rows(members: DataFrame, texts_of, *keys: str) -> DataFrame:
@@ -327,7 +327,7 @@ def block_rows(members: DataFrame, texts_of, *keys: str) -> DataFrame:
 
     per_text = members.groupBy("rid", "content").agg(F.collect_list(F.struct(*keys, "root")).alias("blocks"))
     own = T._parse_datatype_string("root binary, content binary, shingles array<long>, at array<int>, times array<int>")
-    rows = texts_of(per_text).select("content", "blocks", "text").mapInArrow(run, T.StructType([*(T.StructField(c, members.schema[c].dataType) for c in keys), *own.fields]))
+    rows = texts_of(per_text).select("content", "blocks", "text").mapInArrow(freeing(run), T.StructType([*(T.StructField(c, members.schema[c].dataType) for c in keys), *own.fields]))
     return rows.groupBy(*keys).agg(F.collect_list(F.struct("content", "root", "shingles", "at", "times")).alias("held"))
 
 
@@ -433,7 +433,7 @@ def compared(members: DataFrame, texts_of, heavy, similarity: float, *keys: str)
                 if found := Block(held, known).links(similarity):
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
 
-    return block_rows(members, texts_of, *keys).select("held").mapInArrow(run, "a binary, b binary").distinct()
+    return block_rows(members, texts_of, *keys).select("held").mapInArrow(freeing(run), "a binary, b binary").distinct()
 
 
 def linkable(members: DataFrame, texts_of, heavy, similarity: float, folder: str) -> DataFrame:
@@ -480,10 +480,10 @@ def linkable(members: DataFrame, texts_of, heavy, similarity: float, folder: str
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "content", "root"])
 
     held = cut(block_rows(members.withColumn("side", F.pmod(F.xxhash64("content"), "sides").cast("int")), texts_of, "bucket", "side", "sides"), folder)
-    parts = held.select("bucket", "side", "sides", "held").mapInArrow(own, "bucket long, side int, part int, own array<long>")
-    shared = parts.groupBy("bucket", "part").agg(F.collect_list(F.struct("side", "own")).alias("blocks")).select("bucket", "blocks").mapInArrow(repeated, "bucket long, side int, shared array<long>")
+    parts = held.select("bucket", "side", "sides", "held").mapInArrow(freeing(own), "bucket long, side int, part int, own array<long>")
+    shared = parts.groupBy("bucket", "part").agg(F.collect_list(F.struct("side", "own")).alias("blocks")).select("bucket", "blocks").mapInArrow(freeing(repeated), "bucket long, side int, shared array<long>")
     shared = shared.groupBy("bucket", "side").agg(F.flatten(F.collect_list("shared")).alias("shared"))
-    kept = held.join(shared, ["bucket", "side"], "left").select("bucket", "shared", "held").mapInArrow(chosen, "bucket long, content binary, root binary")
+    kept = held.join(shared, ["bucket", "side"], "left").select("bucket", "shared", "held").mapInArrow(freeing(chosen), "bucket long, content binary, root binary")
     return kept.join(members.select("bucket", "content", "rid"), ["bucket", "content"])
 
 

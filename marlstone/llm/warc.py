@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, cut, shared_dir
+from .common import bound_arrow, cut, freeing, shared_dir
 
 MIN_REVISIT = 100
 #: Payload bytes that one archive is meant to hold.
@@ -125,7 +125,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
             yield close()
 
     bound_arrow(records.sparkSession)
-    return records.mapInArrow(run, "path string")
+    return records.mapInArrow(freeing(run), "path string")
 
 
 class Stream:
@@ -193,7 +193,7 @@ def normalise(paths: DataFrame, folder: str) -> DataFrame:
                         at, n = at + len(member), n + 1
                 yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([f"{final}.idx"]), pa.array([n], pa.int64())], ["path", "index", "records"])
 
-    return paths.mapInArrow(run, "path string, index string, records long")
+    return paths.mapInArrow(freeing(run), "path string, index string, records long")
 
 
 def read_archives(members: DataFrame, folder: str) -> DataFrame:
@@ -233,7 +233,7 @@ def read_archives(members: DataFrame, folder: str) -> DataFrame:
                 yield batch_of(rows)
 
     kinds = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-    return members.mapInArrow(run, kinds)
+    return members.mapInArrow(freeing(run), kinds)
 
 
 def one_task_each(paths: DataFrame) -> DataFrame:

@@ -27,14 +27,15 @@ STATUSES = (
 )
 
 
-def too_large(part: Column) -> Column:
-    """Whether digits make a number above LARGEST."""
-    return (F.char_length(part) > len(str(LARGEST))) | F.coalesce(part.try_cast(NUM) > LARGEST, F.lit(False))
+def too_large(text: Column) -> Column:
+    """Whether a number above LARGEST stands before any prerelease or build. Only numbers of as many digits are looked at."""
+    digits = len(str(LARGEST))
+    long = F.regexp_extract_all(F.regexp_extract(text, "^[^+-]*", 0), F.lit(rf"[0-9]{{{digits},}}"), F.lit(0))
+    return F.exists(long, lambda x: (F.char_length(x) > digits) | (x > F.lit(str(LARGEST))))
 
 
 def valid(version: Column) -> Column:
-    small = ~(too_large(F.regexp_extract(version, FULL, 1)) | too_large(F.regexp_extract(version, FULL, 2)) | too_large(F.regexp_extract(version, FULL, 3)))
-    return F.coalesce(version.rlike(FULL) & (F.char_length(F.trim(version)) <= MOST_CHARS) & small, F.lit(False))
+    return F.coalesce(version.rlike(FULL) & (F.char_length(F.trim(version)) <= MOST_CHARS) & ~too_large(version), F.lit(False))
 
 
 def key(version: Column) -> Column:
@@ -90,8 +91,7 @@ def comparator(text: Column) -> Column:
     pattern = rf"{OP}\s*{PARTIAL}\s*$"
     part = lambda i: F.regexp_extract(text, pattern, i)
     parsed = F.struct(part(1).alias("op"), *[part(i).try_cast(NUM).alias(n) for i, n in ((2, "a"), (3, "b"), (4, "c"))], F.nullif(part(5), F.lit("")).alias("pre"))
-    small = ~(too_large(part(2)) | too_large(part(3)) | too_large(part(4)))
-    return F.when(text.rlike(pattern) & small, _let(parsed, _interval_of))
+    return F.when(text.rlike(pattern) & ~too_large(text), _let(parsed, _interval_of))
 
 
 def _interval_of(p: Column) -> Column:

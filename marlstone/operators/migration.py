@@ -57,20 +57,34 @@ def month_key(publisher_: str, at: str) -> Column:
 
 def migration_pairs(trans: DataFrame, name: str = "name", publisher_: str = "publisher") -> DataFrame:
     """For each (removed, added) pair: votes, co-events, publisher months, dependents, rates, lift, first and last seen."""
-    events = removal_events(trans)
-    total = events.groupBy(F.col("removed_pkg").alias("from_pkg")).agg(F.count("*").alias("removal_events"))
     pairs = (
-        events.select("*", F.explode("added").alias("to_pkg")).where("to_pkg <> removed_pkg")
+        removal_events(trans).select("*", F.explode("added").alias("to_pkg")).where("to_pkg <> removed_pkg")
         .groupBy(F.col("removed_pkg").alias("from_pkg"), "to_pkg")
         .agg(
             F.sum(F.col("vote").cast("decimal(38,0)")).alias("votes_scaled"), F.count("*").alias("co_events"), F.countDistinct(month_key(publisher_, "to_ts")).alias("publisher_months"),
             F.countDistinct(name).alias("dependents"), F.min("to_ts").alias("first_seen"), F.max("to_ts").alias("last_seen"),
         )
     )
-    rated = pairs.join(total, "from_pkg").join(base_rates(trans), "to_pkg").withColumn("votes", votes(F.col("votes_scaled"))).withColumn("a_rate", F.col("co_events").cast("double") / F.col("removal_events"))
+    counts = occurrences(trans)
+    total = counts.where("n_removed > 0").select(F.col("pkg").alias("from_pkg"), F.col("n_removed").alias("removal_events"))
+    every = counts.where("n_all > 0").select(F.col("n_all").alias("n"))
+    rate = counts.where("n_added > 0").crossJoin(every).select(F.col("pkg").alias("to_pkg"), F.try_divide(F.col("n_added").cast("double"), "n").alias("b_rate"))
+    rated = pairs.join(total, "from_pkg").join(rate, "to_pkg").withColumn("votes", votes(F.col("votes_scaled"))).withColumn("a_rate", F.col("co_events").cast("double") / F.col("removal_events"))
     return rated.withColumn("lift", F.try_divide("a_rate", "b_rate"))
 
 
+def occurrences(trans: DataFrame) -> DataFrame:
+    """(pkg, n_added, n_removed, n_all) in one pass: transitions that add a package, removals of it that come with additions, and, in the
+    one row without a package, the number of transitions."""
+    kind = dict(trans.dtypes)["added"].removeprefix("array<").removesuffix(">")
+    one = lambda x, tag: F.struct(x.cast(kind).alias("pkg"), F.lit(tag).alias("tag"))
+    none = F.array().cast(f"array<struct<pkg:{kind},tag:string>>")
+    tagged = lambda c, tag: F.coalesce(F.transform(c, lambda x: one(x, tag)), none)
+    gone = F.when(F.size("added") > 0, F.col("removed"))
+    rows = trans.select(F.explode(F.concat(F.array(one(F.lit(None), "all")), tagged(F.col("added"), "added"), tagged(gone, "removed"))).alias("x")).select("x.*")
+    return rows.groupBy("pkg").agg(*[F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in ("added", "removed", "all")])
+
+
 def with_shares(pairs: DataFrame, least_lift: float = LEAST_LIFT, least_votes: float = 3) -> DataFrame:
     """Pairs of enough lift with share of votes, share of publisher months, and whether the reverse pair is strong as well."""
     w = W.partitionBy("from_pkg")

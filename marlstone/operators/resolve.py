@@ -36,9 +36,13 @@ def resolve(looked: DataFrame, versions: DataFrame) -> DataFrame:
     The greatest version in a range is the last one before the range's upper bound, if that is not below the lower bound. So bounds
     and versions of a name are put in one order and each bound takes the version before it: a name with many versions and many
     requirements costs their sum, not their product. Equal versions are one, by the smaller text.
+
+    Texts are parsed once for each distinct one: they come out of aggregates, below which the engine can't move a test of what they say.
     """
-    spec = looked.withColumn("status", semver.spec_status(F.col("declared_name"), F.col("requirement"))).withColumn("ranges", semver.parse_range(F.col("requirement")))
-    eligible = versions.where(semver.classify(F.col("version")) == "ELIGIBLE").groupBy(F.col("name").alias("declared_name"), semver.key(F.col("version")).alias("key")).agg(F.min("version").alias("version"))
+    once = looked.groupBy("lookup_id").agg(F.min("declared_name").alias("declared_name"), F.min("requirement").alias("requirement"))
+    spec = once.withColumn("status", semver.spec_status(F.col("declared_name"), F.col("requirement"))).withColumn("ranges", semver.parse_range(F.col("requirement")))
+    distinct = versions.groupBy("name", "version").agg(F.min("version").alias("v")).select(F.col("name").alias("declared_name"), F.col("v").alias("version"))
+    eligible = distinct.where(semver.classify(F.col("version")) == "ELIGIBLE").groupBy("declared_name", semver.key(F.col("version")).alias("key")).agg(F.min("version").alias("version"))
     place = lambda key, side: F.struct(key.isNull().alias("end"), key.alias("key"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
     ranges = spec.where("status is null").select("declared_name", "lookup_id", F.explode("ranges").alias("r"))
     # an open bound stands before an equal version, a closed one behind it

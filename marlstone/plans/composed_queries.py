@@ -119,16 +119,18 @@ ranks AS (SELECT ' ' || p_name || '-' || p_partkey % 700 AS name, CAST(p_partkey
 
 
 @register("package_texts", f"""WITH {PACKAGES},
-alive AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY fetched_at DESC, rank) AS rn FROM packages) WHERE rn = 1 AND (status IS NULL OR status NOT IN ('removed', 'unpublished'))),
-repos AS (SELECT repo_full_name AS r, count(*) AS n, avg(CASE WHEN len(keywords) > 0 THEN 1.0 ELSE 0.0 END) AS kw, max(coalesce(dependent_packages_count, 0)) AS deps, max(coalesce(repo_stars, 0)) AS stars,
-  date_diff('day', min(latest_release_published_at), max(latest_release_published_at)) AS days FROM alive WHERE repo_full_name IS NOT NULL GROUP BY 1),
-one AS (SELECT name, nullif(trim(arg_max(description, ordinal)), '') AS dd FROM second GROUP BY 1), listed AS (SELECT trim(name) AS name, min(rank) AS download_rank FROM ranks GROUP BY 1),
-j AS (SELECT a.*, n, kw, deps, stars, days, dd, download_rank, nullif(trim(a.description), '') AS de, nullif(trim(repo_description), '') AS dr,
-  CASE WHEN coalesce(n, 1) <= 20 THEN list_distinct(list_filter(list_transform(repo_topics, lambda t: lower(trim(t))), lambda t: t <> '' AND t <> 'javascript')) ELSE [] END AS topics_
-  FROM alive a LEFT JOIN repos ON r = repo_full_name LEFT JOIN one USING (name) LEFT JOIN listed USING (name))
-SELECT name, rank, download_rank, coalesce(de, dd, dr) AS description, CASE WHEN de IS NOT NULL THEN 'npm' WHEN dd IS NOT NULL THEN 'depsdev' WHEN dr IS NOT NULL THEN 'repo' ELSE 'none' END AS description_source,
-  array_to_string(coalesce(keywords, []), '|') AS keywords, array_to_string(list_sort(topics_), '|') AS topics, CASE WHEN len(coalesce(keywords, [])) > 0 THEN 'npm' WHEN len(topics_) > 0 THEN 'github_topics' ELSE 'none' END AS keywords_source,
-  repo_full_name, coalesce(n, 0) AS repo_pkg_count, coalesce(n >= 100 AND kw < 0.15 AND deps < 20 AND (stars < 10 OR days < 90) AND NOT starts_with(name, '@types/'), false) AS is_spam FROM j""")
+newest AS (SELECT unnest(arg_max(p, [fetched_at, -rank])) FROM packages p GROUP BY p.name),
+measured AS (
+  SELECT *, CASE WHEN repo_full_name IS NULL THEN 0 ELSE count(*) OVER repo END AS n, max(dependent_packages_count) OVER repo < 20 AS unused, coalesce(max(repo_stars) OVER repo, 0) < 10 AS unseen,
+    max(latest_release_published_at) OVER repo - min(latest_release_published_at) OVER repo < INTERVAL 90 DAY AS sudden, avg(CAST(coalesce(len(keywords), 0) > 0 AS INTEGER)) OVER repo < 0.15 AS unlabelled
+  FROM newest WHERE coalesce(status, '') <> 'removed' WINDOW repo AS (PARTITION BY repo_full_name)),
+told AS (
+  SELECT m.*, [trim(m.description), trim((SELECT arg_max(description, ordinal) FROM second WHERE second.name = m.name)), trim(repo_description)] AS texts,
+    list_sort(list_distinct(CASE WHEN n > 20 THEN [] ELSE ['t' || substr(repo_topics[2], 2)] END)) AS topics_, coalesce(keywords, []) AS words, (SELECT min(ranks.rank) FROM ranks WHERE trim(ranks.name) = m.name) AS download_rank
+  FROM measured m),
+chosen AS (SELECT *, list_min(list_filter([1, 2, 3], lambda i: texts[i] <> '')) AS which FROM told)
+SELECT name, rank, download_rank, texts[which] AS description, coalesce(['npm', 'depsdev', 'repo'][which], 'none') AS description_source, array_to_string(words, '|') AS keywords, array_to_string(topics_, '|') AS topics,
+  CASE WHEN words <> [] THEN 'npm' WHEN topics_ <> [] THEN 'github_topics' ELSE 'none' END AS keywords_source, repo_full_name, n AS repo_pkg_count, n >= 100 AND unlabelled AND unused AND (unseen OR sudden) AS is_spam FROM chosen""")
 def package_texts(spark, d):
     p, k, size = table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
     name = F.concat("p_name", F.lit("-"), (k % 700).cast("string"))

@@ -17,6 +17,17 @@ def test_sums_out_of_range_are_errors(spark):
         df.agg(relational.guarded_sum(F.col("v"))).collect()
 
 
+def test_a_sum_is_out_of_range_where_its_sql_is(spark, duck, tmp_path):
+    """The registered query and its SQL, on keys whose sum is 2^63 or more."""
+    rows = [("A", 9_000_000_000_000), ("A", 9_000_000_000_000), ("N", 5)]
+    spark.createDataFrame(rows, "l_returnflag string, l_orderkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    sql, con = registry.oracle_sql()["guarded_sums"].replace("lineitem", f"read_parquet('{tmp_path}/lineitem.parquet/*.parquet')"), duck.cursor()
+    with pytest.raises(Exception, match="18000000000000000000"):
+        con.execute(sql).fetchall()
+    with pytest.raises(Exception, match="sum out of range: 18000000000000000000"):
+        registry.queries()["guarded_sums"](spark, str(tmp_path)).collect()
+
+
 def test_merged_sketches_are_near(spark):
     df = spark.range(50_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 7919).alias("v"))
     parts = relational.partials(df, ["g"], "v", F.col("v") % 5)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import values
-from marlstone.operators import relational, serving, text, timeseries, vectors
+from marlstone.operators import relational, serving, text, timeseries, vectors, windows
 from marlstone.plans import registry
 from marlstone.sources import sinks
 
@@ -28,6 +28,19 @@ def test_a_sum_is_out_of_range_where_its_sql_is(spark, duck, tmp_path):
         registry.queries()["guarded_sums"](spark, str(tmp_path)).collect()
 
 
+def test_islands_of_tied_intervals(spark):
+    """Equal intervals may stand in any order: both windows use one sort, and the result is the union, in islands and in indexes."""
+    rows = [(i % 20, s := i * i % 211 // 7 * 9, s + 1 + i % 11) for i in range(3000)] * 2
+    cells = {(k, x) for k, s, e in rows for x in range(s, e)}
+    found = windows.islands(spark.createDataFrame(rows, "k int, start_index long, end_index long").repartition(3), ["k"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    got = found.collect()
+    starts, ends = {c for c in cells if (c[0], c[1] - 1) not in cells}, {(k, x + 1) for k, x in cells if (k, x + 1) not in cells}
+    assert len(got) == len(starts) > 20 and {(r.k, r.start_index) for r in got} == starts and {(r.k, r.end_index) for r in got} == ends
+    dense = [(r.k, r["index"]) for r in windows.densify(found).collect()]
+    assert len(dense) == len(cells) and set(dense) == cells
+
+
 def test_merged_sketches_are_near(spark):
     df = spark.range(50_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 7919).alias("v"))
     parts = relational.partials(df, ["g"], "v", F.col("v") % 5)

@@ -1,5 +1,6 @@
 """What SQL can't show: errors, files, sketches, encoders."""
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,15 @@ def test_a_sum_is_out_of_range_where_its_sql_is(spark, duck, tmp_path):
         registry.queries()["guarded_sums"](spark, str(tmp_path)).collect()
 
 
+def test_products_beyond_64_bits_are_summed(spark, duck, tmp_path):
+    """Only the sum must fit, as in the SQL: its products are wide."""
+    rows = [("A", 10_000_000_000_000), ("A", -9_999_999_999_999), ("N", 5), ("R", None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_orderkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    sql = registry.oracle_sql()["guarded_sums"].replace("lineitem", f"read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert sorted(duck.cursor().execute(sql).fetchall()) == [("A", 1_000_000), ("N", 5_000_000), ("R", None)]
+    assert oracle.compare(registry.queries()["guarded_sums"](spark, str(tmp_path)), duck.cursor(), sql) == ""
+
+
 def test_islands_of_tied_intervals(spark):
     """Equal intervals may stand in any order: both windows use one sort, and the result is the union, in islands and in indexes."""
     rows = [(i % 20, s := i * i % 211 // 7 * 9, s + 1 + i % 11) for i in range(3000)] * 2

@@ -27,8 +27,8 @@ def spans(df: DataFrame, by: list[str], order: list, start: str, value: str, onl
 
 
 def islands(df: DataFrame, by: list[str], start: str = "start_index", end: str = "end_index") -> DataFrame:
-    """The union of nested, overlapping and adjacent [start, end) intervals of each group."""
-    w = W.partitionBy(*by).orderBy(start, end)
+    """The union of nested, overlapping and adjacent [start, end) intervals of each group; null bounds come last, so they join an island."""
+    w = W.partitionBy(*by).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
     flagged = df.select(*by, start, end).withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
     numbered = flagged.withColumn("__island", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))

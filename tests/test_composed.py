@@ -51,6 +51,16 @@ def test_islands_of_tied_intervals(spark):
     assert len(dense) == len(cells) and set(dense) == cells
 
 
+def test_islands_of_null_bounds(spark, duck, tmp_path):
+    """Rows without a bound come last, as in the SQL, and open an island only where there is nothing to join."""
+    rows = [(1, 3, 2), (1, None, 2), (1, None, 4), (1, 9, None), (1, 9, 3), (2, None, 1), (2, None, None), (3, 7, None), (3, 7, 7), (None, 5, 1), (None, None, 1), (4, 1, 1)]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name, n in (("islands", 7), ("densified", 14)):
+        sql = registry.oracle_sql()[name].replace("lineitem", f"read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+        found = registry.queries()[name](spark, str(tmp_path))
+        assert found.count() == n and oracle.compare(found, duck.cursor(), sql) == ""
+
+
 def test_merged_sketches_are_near(spark):
     df = spark.range(50_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 7919).alias("v"))
     parts = relational.partials(df, ["g"], "v", F.col("v") % 5)
